@@ -68,17 +68,16 @@ def _legacy_prob(score: Column) -> Column:
 
 
 def _read(text: Column, cut: bool, words: bool) -> Column:
-    """A pair from text with a comma, or a plain score as older models answered.
+    """A pair from stripped text with a comma, or a plain score as older models answered.
 
     ``cut`` ignores what follows the probability; ``words`` ignores what
     follows the first word of a plain score.
     """
-    text = strip_space(text)
     comma = text.contains(",")
     before = F.substring_index(text, ",", 1)
     prob = parse_number(F.substr(text, F.instr(text, ",") + 1))
     if cut:
-        prob = F.coalesce(parse_number(F.regexp_extract(text, PROB_OF_PAIR, 1)), prob)
+        prob = F.coalesce(F.regexp_extract(text, PROB_OF_PAIR, 1).try_cast("double"), prob)
     label = F.when(before.rlike(WHOLE_NUMBER), before.try_cast("bigint"))
     score = parse_score(text) if words else parse_number(text)
     return _pair(
@@ -87,19 +86,29 @@ def _read(text: Column, cut: bool, words: bool) -> Column:
     )
 
 
-def parse_pair(text: Column) -> Column:
-    """The pair in a model's answer; only a text without comma is read as a score.
+def parse_stripped_pair(text: Column) -> Column:
+    """The pair in an answer that is stripped already.
 
-    Either half may be null: such an answer is no pair (``is_pair``).
+    Only a text without comma is read as a score. Either half may be null: such
+    an answer is no pair (``is_pair``).
     """
     return _read(text, cut=True, words=True)
 
 
-def parse_label_pair(text: Column) -> Column:
-    """The pair in a label, which has nothing after it."""
+def parse_stripped_label_pair(text: Column) -> Column:
+    """The pair in a stripped label, which has nothing after it."""
     return _read(text, cut=False, words=True)
 
 
+def parse_pair(text: Column) -> Column:
+    return parse_stripped_pair(strip_space(text))
+
+
+def parse_label_pair(text: Column) -> Column:
+    return parse_stripped_label_pair(strip_space(text))
+
+
 def normalise_pair_text(text: Column) -> Column:
     """One answer as clean pair text; an answer that is neither pair nor score is only stripped."""
-    return F.coalesce(pair_text(_read(text, cut=True, words=False)), strip_space(text))
+    stripped = strip_space(text)
+    return F.coalesce(pair_text(_read(stripped, cut=True, words=False)), stripped)

@@ -31,15 +31,23 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def score_word(text: Column) -> Column:
+    """The first word of a model's answer without the quotes around it."""
+    return F.btrim(label_word(text), F.lit(QUOTE_CHARS))
+
+
+def label_word(text: Column) -> Column:
+    """The first word of a label, which is never quoted."""
+    return F.substring_index(text, " ", 1)
+
+
 def parse_score(text: Column) -> Column:
     """The score at the start of a model's answer, or null."""
-    first_word = F.substring_index(text, " ", 1)
-    return parse_number(F.btrim(first_word, F.lit(QUOTE_CHARS)))
+    return parse_number(score_word(text))
 
 
 def parse_label_score(text: Column) -> Column:
-    """The score of a label, which is never quoted."""
-    return parse_number(F.substring_index(text, " ", 1))
+    return parse_number(label_word(text))
 
 
 def require_score(text: Column) -> Column:

@@ -51,8 +51,16 @@ def without_hint(
 def zip_results(
     predictions: DataFrame, labels: DataFrame, keys: Sequence[str] = HINT_KEYS
 ) -> DataFrame:
-    """Predictions beside their labels, by key rather than by row order."""
-    return predictions.join(labels, list(keys))
+    """Predictions beside their labels, by key rather than by row order.
+
+    A prediction without label, or the reverse, fails the job.
+    """
+    left = predictions.withColumn("_predicted", F.lit(True))
+    right = labels.withColumn("_labelled", F.lit(True))
+    both = left.join(right, list(keys), "full_outer")
+    alone = F.raise_error(F.lit("predictions and labels do not match")).cast("boolean")
+    matched = F.when(F.col("_predicted") & F.col("_labelled"), True).otherwise(alone)
+    return both.where(matched).drop("_predicted", "_labelled")
 
 
 def catalogue_lookup(rows: DataFrame, catalogue: DataFrame) -> DataFrame:

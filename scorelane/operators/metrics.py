@@ -12,17 +12,21 @@ from scorelane.functions.pairs import (
     PROB_TOLERANCE,
     PROB_WEIGHT,
     is_pair,
-    parse_label_pair,
-    parse_pair,
+    parse_stripped_label_pair,
+    parse_stripped_pair,
 )
 from scorelane.functions.scores import (
     SCORE_TOLERANCE,
     decimal_text,
+    label_word,
     parse_label_score,
+    parse_number,
     parse_score,
     passes,
     require_score,
     round_half_down,
+    score_word,
+    strip_space,
 )
 from scorelane.schemas import METRIC_NAMES
 
@@ -45,10 +49,13 @@ def _score_metrics(metric: str) -> list[Column]:
 
 
 def _pair_metrics(metric: str) -> list[Column]:
-    guess, truth = F.col("_guess_pair"), F.col("_truth_pair")
-    valid = is_pair(guess) & is_pair(truth)
-    gap = F.when(valid, guess["prob"] - truth["prob"])
-    same = F.when(valid, (guess["label"] == truth["label"]).cast("double"))
+    label, true_label = F.col("_guess_label"), F.col("_true_label")
+    prob, true_prob = F.col("_guess_prob"), F.col("_true_prob")
+    valid = (
+        label.isNotNull() & true_label.isNotNull() & prob.isNotNull() & true_prob.isNotNull()
+    )
+    gap = F.when(valid, prob - true_prob)
+    same = F.when(valid, (label == true_label).cast("double"))
     near = F.when(valid, (F.abs(gap) <= PROB_TOLERANCE).cast("double"))
     plain = [_share(F.abs(F.col("_guess") - F.col("_truth")) <= SCORE_TOLERANCE).alias("accuracy")]
     paired = [
@@ -61,14 +68,21 @@ def _pair_metrics(metric: str) -> list[Column]:
 
 
 def _parsed(rows: DataFrame, mode: str, metric: str, prediction: str, label: str) -> DataFrame:
-    columns = {}
+    """Rows with what the metrics need, read in two steps so that no text is trimmed twice."""
+    words, values = {}, {}
     if mode == "score" or metric != "binary":
-        columns["_guess"] = parse_score(F.col(prediction))
-        columns["_truth"] = parse_label_score(F.col(label))
+        words["_word"] = score_word(F.col(prediction))
+        words["_label_word"] = label_word(F.col(label))
+        values["_guess"] = parse_number(F.col("_word"))
+        values["_truth"] = parse_number(F.col("_label_word"))
     if mode == "pair" and metric != "cl":
-        columns["_guess_pair"] = parse_pair(F.col(prediction))
-        columns["_truth_pair"] = parse_label_pair(F.col(label))
-    return rows.withColumns(columns)
+        words["_answer"] = strip_space(F.col(prediction))
+        words["_label_answer"] = strip_space(F.col(label))
+        guess = parse_stripped_pair(F.col("_answer"))
+        truth = parse_stripped_label_pair(F.col("_label_answer"))
+        values.update(_guess_label=guess["label"], _guess_prob=guess["prob"])
+        values.update(_true_label=truth["label"], _true_prob=truth["prob"])
+    return rows.withColumns(words).withColumns(values)
 
 
 def metrics(
@@ -117,10 +131,10 @@ def parse_failures(
     label: str = "label",
 ) -> DataFrame:
     """How many texts cannot be read: as score, as pair, or for want of a comma."""
-    parsed = rows.withColumns(
+    parsed = rows.withColumn("_answer", strip_space(F.col(prediction))).withColumns(
         {
             "_score": parse_score(F.col(prediction)),
-            "_pair": parse_pair(F.col(prediction)),
+            "_pair": parse_stripped_pair(F.col("_answer")),
             "_label": parse_label_score(F.col(label)),
         }
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,14 +10,6 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 20
 
 
-def _join_same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join on equal names, where null equals null."""
-    renamed = right.withColumnsRenamed({name: f"_right_{name}" for name in names})
-    same = [F.col(name).eqNullSafe(F.col(f"_right_{name}")) for name in names]
-    joined = left.join(renamed, reduce(lambda a, b: a & b, same))
-    return joined.drop(*[f"_right_{name}" for name in names])
-
-
 def with_position(
     rows: DataFrame,
     key: str,
@@ -32,35 +23,42 @@ def with_position(
     ``2**bucket_bits`` keys, and the buckets into blocks of as many buckets.
     Rows are numbered inside their bucket, buckets are summed up inside their
     block, and only one row per block is brought together per dataset.
+
+    Dataset and bucket form one struct, in which null equals null, so rows of a
+    null dataset are numbered too. Numbering and join share its partitioning:
+    the rows are shuffled once.
     """
     bucket = F.shiftright(F.col(key), bucket_bits)
+    block = F.shiftright(F.col("_bucket.bucket"), bucket_bits)
     buckets = (
-        rows.select(*within, bucket.alias("_bucket"))
-        .groupBy(*within, "_bucket")
+        rows.select(F.struct(*within, bucket.alias("bucket")).alias("_bucket"))
+        .groupBy("_bucket")
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_block", F.shiftright("_bucket", bucket_bits))
+        .withColumn("_set", F.struct(*[f"_bucket.{name}" for name in within], F.lit(0).alias("all")))
+        .withColumn("_block", F.struct("_set", block.alias("block")))
     )
-    blocks = buckets.groupBy(*within, "_block").agg(F.sum("_rows").alias("_block_rows"))
+    blocks = buckets.groupBy("_block").agg(F.sum("_rows").alias("_block_rows"))
 
-    def rows_before(count: str, order: str, *group: str) -> Column:
-        earlier = Window.partitionBy(*within, *group).orderBy(order)
+    def rows_before(count: str, group: str, order: str) -> Column:
+        earlier = Window.partitionBy(group).orderBy(order)
         earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(count).over(earlier), F.lit(0))
 
     blocks = blocks.select(
-        *within,
         "_block",
-        rows_before("_block_rows", "_block").alias("_block_start"),
-        F.sum("_block_rows").over(Window.partitionBy(*within)).alias("total"),
+        rows_before("_block_rows", "_block._set", "_block.block").alias("_block_start"),
+        F.sum("_block_rows").over(Window.partitionBy("_block._set")).alias("total"),
     )
-    in_block = rows_before("_rows", "_bucket", "_block")
-    starts = _join_same(buckets, blocks, [*within, "_block"]).select(
-        *within, "_bucket", (F.col("_block_start") + in_block).alias("_start"), "total"
+    in_block = rows_before("_rows", "_block", "_bucket.bucket")
+    starts = buckets.join(blocks, "_block").select(
+        "_bucket", (F.col("_block_start") + in_block).alias("_start"), "total"
     )
-    own_bucket = Window.partitionBy(*within, "_bucket").orderBy(key)
-    placed = _join_same(rows.withColumn("_bucket", bucket), starts, [*within, "_bucket"])
-    number = F.row_number().over(own_bucket) - 1
-    return placed.withColumn("position", F.col("_start") + number).select(
+    own_bucket = Window.partitionBy("_bucket").orderBy(key)
+    numbered = rows.withColumn(
+        "_bucket", F.struct(*within, bucket.alias("bucket"))
+    ).withColumn("_number", F.row_number().over(own_bucket) - 1)
+    placed = numbered.join(starts, "_bucket")
+    return placed.withColumn("position", F.col("_start") + F.col("_number")).select(
         *rows.columns, "position", "total"
     )
 

@@ -11,13 +11,18 @@ from scorelane.functions.scores import strip_space
 
 
 def select_by(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is wanted. Spark broadcasts ``wanted`` only if it is small."""
-    return rows.join(wanted.select(key), key, "left_semi")
+    """The rows whose key is wanted.
+
+    Spark broadcasts the wanted keys only if they are few. Otherwise they meet
+    the rows by key, where a key with many rows is split over tasks.
+    """
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def missing_from(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The wanted keys that no row has, each once."""
-    return wanted.select(key).distinct().join(rows.select(key), key, "left_anti")
+    present = rows.select(key).distinct()
+    return wanted.select(key).distinct().join(present, key, "left_anti")
 
 
 def choose_samples(

@@ -27,11 +27,27 @@ def write_results(rows: DataFrame, path: str, by: Sequence[str] = RUN_KEYS) -> N
     rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_bucketed(
+    rows: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str]
+) -> None:
+    """Write rows as a table bucketed by key.
+
+    Responses with audio are wide. Where they and their hints are bucketed
+    alike, joining them moves neither side.
+    """
+    (
+        rows.write.mode("overwrite")
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
 def write_metrics(wide: DataFrame, path: str, by: Sequence[str] = RUN_KEYS) -> None:
     """Replace the metrics of the runs at hand, and leave those of other runs alone."""
     (
-        wide.coalesce(1)
-        .write.mode("overwrite")
+        wide.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .json(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,16 +110,18 @@ def audio_origin(audio: Column) -> Column:
     )
 
 
-def attach_audio_files(rows: DataFrame, audio: str, files: str) -> DataFrame:
-    """Add the bytes of each row's audio file as ``content``; null where none is found.
+def attach_audio_files(rows: DataFrame, audio: str, root: str) -> DataFrame:
+    """Add the bytes of each row's audio file as ``content``; null where there is none.
 
-    Both sides are joined on the file's base name, and only the bytes cross the
-    shuffle with it. ``files`` is any path or pattern that Spark can list.
+    Paths in the audio column count from ``root``, whose folders are searched
+    at any depth.
     """
-    listed = (
-        rows.sparkSession.read.format("binaryFile")
-        .load(files)
-        .select(F.substring_index("path", "/", -1).alias("_file"), "content")
+    folder = urlparse(root).path.rstrip("/") + "/"
+    files = rows.sparkSession.read.option("recursiveFileLookup", True).format("binaryFile")
+    start = F.instr(F.col("path"), folder) + len(folder)
+    listed = files.load(root).select(F.substr("path", start).alias("_file"), "content")
+    return (
+        rows.withColumn("_file", F.col(f"{audio}.path"))
+        .join(listed, "_file", "left")
+        .drop("_file")
     )
-    name = F.substring_index(F.col(f"{audio}.path"), "/", -1)
-    return rows.withColumn("_file", name).join(listed, "_file", "left").drop("_file")
