@@ -169,9 +169,9 @@ def compare_runs(
 ) -> DataFrame:
     """Metrics of two runs side by side, with the change."""
     runs = [
-        metrics_long(wide, by).withColumn("run", F.lit(name))
+        metrics_long(wide, by).withColumn("_run", F.lit(name))
         for name, wide in (("before", before), ("after", after))
     ]
     both = runs[0].unionByName(runs[1]).where(F.col("metric").isin(list(metric_names)))
-    side_by_side = both.groupBy(*by, "metric").pivot("run", ["before", "after"]).agg(F.first("value"))
+    side_by_side = both.groupBy(*by, "metric").pivot("_run", ["before", "after"]).agg(F.first("value"))
     return side_by_side.withColumn("change", F.col("after") - F.col("before"))

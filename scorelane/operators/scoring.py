@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+import scorelane
+
 Scorer = Callable[[pd.DataFrame], Sequence[str]]
 ScorerFactory = Callable[[], Scorer]
 
-# Models this Python worker has loaded. Spark keeps workers between tasks, so a
-# model is loaded once per worker and not once per partition.
-_loaded: dict[str, Scorer] = {}
+# Our functions travel with the plan, so executors need not have this package.
+register_pickle_by_value(scorelane)
 
 
 def _scorer(name: str, factory: ScorerFactory) -> Scorer:
-    if name not in _loaded:
-        _loaded[name] = factory()
-    return _loaded[name]
+    """The scorer, loaded once per Python worker.
+
+    Spark keeps workers between tasks. Functions that travel bring their own
+    globals each time, so the models are kept in a module of the worker's.
+    """
+    loaded = vars(sys.modules.setdefault("scorelane_models", ModuleType("scorelane_models")))
+    if name not in loaded:
+        loaded[name] = factory()
+    return loaded[name]
 
 
 def score_batches(

@@ -33,8 +33,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="scorelane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scorelane-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/scorelane/{name}-{uuid.uuid4().hex}"
 
 
