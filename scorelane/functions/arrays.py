@@ -58,13 +58,13 @@ def evaluation_labels(prompt_ids: Column, answer_ids: Column) -> Column:
 
 
 def drop_pad(ids: Column) -> Column:
-    return F.filter(ids, lambda token: token != PAD_ID)
+    return F.array_remove(ids, F.lit(PAD_ID).cast("bigint"))
 
 
 def cut_generated(ids: Column, prompt_length: Column, stop_ids: Sequence[int]) -> Column:
     """What was generated behind the prompt, up to the first stop id if there is one."""
-    stops = F.array(*[F.lit(stop).cast("bigint") for stop in stop_ids])
     generated = F.slice(ids, prompt_length + 1, F.greatest(F.size(ids) - prompt_length, F.lit(0)))
-    is_stop = F.transform(generated, lambda token: F.array_contains(stops, token))
-    first = F.array_position(is_stop, True).cast("int")
+    found = [F.array_position(generated, F.lit(stop).cast("bigint")) for stop in stop_ids]
+    places = [F.nullif(place, F.lit(0)) for place in found]
+    first = (F.least(*places) if len(places) > 1 else places[0]).cast("int")
     return F.when(first > 0, F.slice(generated, 1, first - 1)).otherwise(generated)

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorelane.functions.scores import (
-    WHOLE_NUMBER,
+    PLAIN_NUMBER,
     decimal_text,
+    extract_number,
     parse_number,
     parse_score,
     strip_space,
@@ -15,7 +16,9 @@ from scorelane.functions.scores import (
 
 # Fixed values.
 PASS_GRADE = 4.0
-PROB_OF_PAIR = r"^\d+,(\d+\.\d+)"
+LABEL_OF_PAIR = r"^\s*([+-]?\d+)\s*,"
+PROB_OF_PAIR = rf"^[^,]*,\s*{PLAIN_NUMBER}\s*\z"
+PROB_BEFORE_WORDS = r"^\d+,(\d+\.\d+)"
 LEGACY_PASS_PROB = 0.75
 LEGACY_FAIL_PROB = 0.25
 PROB_TOLERANCE = 0.1
@@ -74,11 +77,10 @@ def _read(text: Column, cut: bool, words: bool) -> Column:
     follows the first word of a plain score.
     """
     comma = text.contains(",")
-    before = F.substring_index(text, ",", 1)
-    prob = parse_number(F.substr(text, F.instr(text, ",") + 1))
+    label = F.regexp_extract(text, LABEL_OF_PAIR, 1).try_cast("bigint")
+    prob = extract_number(text, PROB_OF_PAIR)
     if cut:
-        prob = F.coalesce(F.regexp_extract(text, PROB_OF_PAIR, 1).try_cast("double"), prob)
-    label = F.when(before.rlike(WHOLE_NUMBER), before.try_cast("bigint"))
+        prob = F.coalesce(extract_number(text, PROB_BEFORE_WORDS), prob)
     score = parse_score(text) if words else parse_number(text)
     return _pair(
         F.when(comma, label).otherwise((score >= PASS_GRADE).cast("bigint")),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 QUOTE_CHARS = "\"',\\/"
-NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*\z"
-WHOLE_NUMBER = r"^\s*[+-]?\d+\s*\z"
+PLAIN_NUMBER = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
+NUMBER = rf"^\s*{PLAIN_NUMBER}\s*\z"
 SPACE_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -23,12 +23,18 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
-def parse_number(text: Column) -> Column:
-    """The text as a double, or null where it is not one plain number.
+def extract_number(text: Column, pattern: str) -> Column:
+    """The first group of the pattern as a double, or null.
 
-    The pattern guards the cast, which alone would also take ``3f`` and ``nan``.
+    Spark's cast alone would also take ``3f`` and ``nan``; the pattern decides
+    what is a number, and the text is looked at once.
     """
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, pattern, 1).try_cast("double")
+
+
+def parse_number(text: Column) -> Column:
+    """The text as a double, or null where it is not one plain number."""
+    return extract_number(text, NUMBER)
 
 
 def score_word(text: Column) -> Column:

@@ -46,7 +46,8 @@ def score_batches(
     Only the named columns are sent to Python. ``name`` stands for the model:
     it tells workers which loaded model to use again, so every distinct model
     needs its own. A plan that is used twice scores twice: write the result
-    first. Rows with audio are large, so lower
+    first. There are as many tasks as ``rows`` has partitions: where rows are few
+    but dear, repartition them first. Rows with audio are large, so lower
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` to what a worker can hold.
     """
     if batch_size < 1:

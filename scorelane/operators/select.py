@@ -40,10 +40,10 @@ def choose_samples(
 
 def split_usable(rows: DataFrame, prediction: str = "prediction") -> tuple[DataFrame, DataFrame]:
     """Rows whose stripped prediction holds a comma, and the rejected others."""
-    text = strip_space(F.coalesce(F.col(prediction), F.lit("")))
-    usable = rows.withColumn(prediction, text)
-    has_comma = F.col(prediction).contains(",")
-    return usable.where(has_comma), usable.where(~has_comma)
+    text = F.coalesce(F.col(prediction), F.lit(""))
+    has_comma = text.contains(",")
+    stripped = {prediction: strip_space(text)}
+    return rows.where(has_comma).withColumns(stripped), rows.where(~has_comma).withColumns(stripped)
 
 
 def unmatched_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -53,7 +53,7 @@ def tenths_text(tenths: Column) -> Column:
 
 def score_results(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with scores: some quoted, chatty, shifted by a space, or no score at all."""
-    n, text = F.col("sample_id"), tenths_text(F.col("tenths"))
+    n, text = F.col("sample_id"), F.col("plain")
     answer = (
         F.when(n % 11 == 0, "no score")
         .when(n % 7 == 0, F.concat(F.lit('"'), text, F.lit('",')))
@@ -64,16 +64,22 @@ def score_results(spark: SparkSession, folder: str) -> DataFrame:
         .when(n % 29 == 0, F.concat(text, F.lit("/5")))
         .otherwise(text)
     )
-    return responses(spark, folder).withColumns(
-        {"prediction": answer, "label": F.col("grade").cast("string")}
+    rows = responses(spark, folder).withColumn("plain", tenths_text(F.col("tenths")))
+    return rows.withColumns({"prediction": answer, "label": F.col("grade").cast("string")}).drop(
+        "plain"
     )
 
 
+def near_pair(tenths: Column) -> Column:
+    """A pair near the grade: surer the lower a fail and the higher a pass."""
+    passed = tenths >= 40
+    sure = F.when(passed, tenths + 25).otherwise(99 - tenths)
+    return F.concat(F.when(passed, "1,0.").otherwise("0,0."), sure.cast("string"))
+
+
 def pair_results(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with pairs: some with words behind, older plain scores, or nothing usable."""
-    n = F.col("sample_id")
-    near = pair_text(grade_to_pair(F.col("tenths") / 10))
-    plain = tenths_text(F.col("tenths"))
+    n, near, plain = F.col("sample_id"), F.col("near"), F.col("plain")
     answer = (
         F.when(n % 13 == 0, F.concat(near, F.lit("\n(sure)")))
         .when(n % 17 == 0, plain)
@@ -86,9 +92,12 @@ def pair_results(spark: SparkSession, folder: str) -> DataFrame:
         .when(n % 43 == 0, "1,1")
         .otherwise(near)
     )
-    return responses(spark, folder).withColumns(
-        {"prediction": answer, "label": pair_text(grade_to_pair(F.col("grade")))}
+    tenths = F.col("tenths")
+    rows = responses(spark, folder).withColumns(
+        {"near": near_pair(tenths), "plain": tenths_text(tenths)}
     )
+    label = pair_text(grade_to_pair(F.col("grade")))
+    return rows.withColumns({"prediction": answer, "label": label}).drop("near", "plain")
 
 
 def word_lengths(text: Column) -> Column:
@@ -152,4 +161,4 @@ def audio_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ids_text(ids: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return F.array_join(ids.cast("array<string>"), ",")

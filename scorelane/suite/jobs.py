@@ -51,9 +51,9 @@ def plain_rule():
     return answer
 
 
-FIRST = Model("suite/pass-fail", pass_fail_rule, ("prompt_text", "tenths"), 64)
-SECOND = Model("suite/guided", guided_rule, ("prompt_text", "tenths"), 64)
-PLAIN = Model("suite/plain", plain_rule, ("prompt_text", "tenths"), 64)
+FIRST = Model("suite/pass-fail", pass_fail_rule, ("prompt_text", "tenths"), 1024)
+SECOND = Model("suite/guided", guided_rule, ("prompt_text", "tenths"), 1024)
+PLAIN = Model("suite/plain", plain_rule, ("prompt_text", "tenths"), 1024)
 
 FIRST_SQL = """printf('%d,0.%d', CASE WHEN tenths >= 40 THEN 1 ELSE 0 END, 60 + tenths % 10)"""
 

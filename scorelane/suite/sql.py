@@ -51,7 +51,8 @@ def pair_text(grade: str) -> str:
 
 
 PAIRS = f"""{RESPONSES}, near AS (
-  SELECT *, {pair_text('(tenths / 10)')} AS near, {TENTHS} AS plain,
+  SELECT *, {TENTHS} AS plain, CASE WHEN tenths >= 40 THEN '1,0.' || (tenths + 25)
+           ELSE '0,0.' || (99 - tenths) END AS near,
          {pair_text('grade')} AS label
   FROM responses
 ), pairs AS (
