@@ -1,17 +1,25 @@
-"""Evaluating a model: examples, scoring, results and metrics."""
+"""Evaluating a model: examples, scoring, results and metrics.
+
+Joining hints to responses is the one step that could move audio. Keep large
+response sets in a table bucketed by their key (``write_bucketed``): then only
+the hints, a few bytes a row, are shuffled to them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scorelane.functions.text import base_name
 from scorelane.operators.hints import HINT_KEYS, hints_from_results
 from scorelane.operators.metrics import metrics
 from scorelane.operators.prompts import hint_examples, supervised_examples
 from scorelane.operators.scoring import ScorerFactory, score_batches
 from scorelane.plans.stages import stage
+from scorelane.sinks.results import catalogue_entries, hint_maps, write_catalogue, write_documents
 
 
 @dataclass(frozen=True)
@@ -57,6 +65,32 @@ def evaluate(
     return rows, metrics(rows, by, mode=target, metric=metric)
 
 
+def evaluate_with_catalogue(
+    spark: SparkSession,
+    responses: DataFrame,
+    model: Model,
+    path: str,
+    form_id: Column,
+    audio_column: str,
+    reuse: bool = True,
+) -> DataFrame:
+    """Run a pass/fail model over all datasets of a split, and return its metrics.
+
+    Leaves results, prediction maps and the catalogue below ``path``. Maps lie
+    in a folder per dataset, which the catalogue names. Forms follow from
+    ``form_id``, an expression over ``dataset``.
+    """
+    by, folder = ["dataset"], base_name(F.col("dataset"))
+    rows, _ = evaluate(spark, responses, model, f"{path}/results", "pair", "binary", reuse=reuse)
+    maps = hint_maps(hints_from_results(rows), audio_column, form_id, by)
+    write_documents(maps.withColumn("folder", folder), f"{path}/preds", ["folder"])
+    wide = metrics(rows, by, mode="pair", metric="binary")
+    location = F.concat(F.lit(f"{path}/preds/folder="), folder)
+    entries = catalogue_entries(wide, location, form_id, F.lit(audio_column))
+    write_catalogue(entries, f"{path}/catalogue")
+    return wide
+
+
 def cascade(
     spark: SparkSession,
     responses: DataFrame,

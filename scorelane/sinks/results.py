@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scorelane.operators.position import whole_part
 
 RUN_KEYS = ("model", "dataset", "split")
-SLICE_ROWS = 100_000
+SLICE_ROWS = 10_000
 
 
 def write_results(rows: DataFrame, path: str, by: Sequence[str] = RUN_KEYS) -> None:
@@ -84,9 +84,9 @@ def result_documents(
     return docs if metrics is None else docs.join(metrics, list(by))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
+def write_documents(docs: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     """One document per line, so that Spark can read a file of many in parallel."""
-    docs.write.mode("overwrite").json(path)
+    docs.write.mode("overwrite").partitionBy(*partitions).json(path)
 
 
 def hint_maps(

@@ -22,8 +22,8 @@ def restore_revision(
 ) -> None:
     """Append the restored rows to the table at ``path`` as new partitions.
 
-    A repeated attempt replaces only its own partitions, so a job that was
-    lost half-way can run again.
+    They appear when the whole job commits, so one that was lost half-way
+    leaves nothing behind and can run again.
     """
     if not path_exists(rows.sparkSession, path):
         raise ValueError(f"there is no table at {path}")

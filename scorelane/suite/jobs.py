@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from scorelane.operators.metrics import metrics
 from scorelane.operators.position import first_rows, with_position
 from scorelane.operators.prompts import supervised_examples
-from scorelane.plans.evaluation import Model, cascade, evaluate, score
+from scorelane.plans.conversion import convert_results
+from scorelane.plans.evaluation import Model, cascade, evaluate, evaluate_with_catalogue, score
+from scorelane.plans.export import export_samples, write_manifest
 from scorelane.plans.stages import stage
 from scorelane.session import is_complete, work_path
+from scorelane.sinks.results import result_documents, write_documents
+from scorelane.sources.hints import hint_rows, read_catalogue, read_hint_maps
 from scorelane.suite import data, sql
 from scorelane.suite.registry import query
 
@@ -160,3 +164,84 @@ def resumed_stage(spark: SparkSession, folder: str) -> DataFrame:
     reused = F.lit(True) & (F.col("num_samples") > 0) & (F.col("accuracy") > 0)
     complete = F.lit(is_complete(spark, path))
     return metrics(again, ["dataset"]).withColumns({"complete": complete, "reused": reused})
+
+
+@query(
+    f"""WITH {sql.RESPONSES}, parsed AS (
+  SELECT *, CAST(tenths >= 40 AS INTEGER) = {sql.pair_label('grade')} AS same FROM responses
+)
+SELECT dataset, '1764' AS form_id, 'wav_path' AS audio_column, count(*) AS hints,
+  'folder=' || dataset AS folder, avg(CAST(same AS INTEGER)) AS binary_accuracy
+FROM parsed GROUP BY dataset"""
+)
+def catalogued_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A pass/fail run over all datasets: its catalogue, and the maps the catalogue names."""
+    path = work_path(spark, "run")
+    responses = data.responses(spark, folder)
+    evaluate_with_catalogue(spark, responses, FIRST, path, F.lit("1764"), "wav_path")
+    maps = read_hint_maps(spark, f"{path}/preds", multi_line=False)
+    hints = hint_rows(maps, "dataset").groupBy("dataset").agg(F.count("*").alias("hints"))
+    entries = read_catalogue(spark, f"{path}/catalogue", multi_line=False)
+    return entries.join(hints, "dataset").select(
+        "dataset",
+        "form_id",
+        "audio_column",
+        "hints",
+        F.substring_index("binary_preds_path", "/", -1).alias("folder"),
+        F.col("accuracy_metrics")["binary_accuracy"].alias("binary_accuracy"),
+    )
+
+
+@query(
+    f"""WITH {sql.PAIRS}, placed AS (
+  SELECT dataset, prediction,
+    row_number() OVER (PARTITION BY dataset ORDER BY sample_id) - 1 AS sample_id FROM pairs
+)
+SELECT dataset, sample_id, trim(prediction, {sql.SPACE}) AS hint, '1964' AS form_id
+FROM placed WHERE contains(prediction, ',')"""
+)
+def converted_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Result documents turned into prediction maps, as a reader of the maps finds them."""
+    path = work_path(spark, "convert")
+    rows = data.pair_results(spark, folder).select("dataset", "sample_id", "prediction", "label")
+    placed = with_position(rows, "sample_id", ["dataset"]).withColumns(
+        {"sample_id": F.col("position"), "split": F.lit("test")}
+    )
+    docs = result_documents(placed, ["dataset", "split"], slice_rows=700)
+    write_documents(docs, f"{path}/results_1964")
+    convert_results(
+        spark, f"{path}/results_1964", f"{path}/preds", "wav_path", multi_line=False, slice_rows=300
+    )
+    maps = read_hint_maps(spark, f"{path}/preds", multi_line=False)
+    return hint_rows(maps, "dataset", "form_id").select("dataset", "sample_id", "hint", "form_id")
+
+
+@query(
+    f"""WITH {sql.AUDIO}, asked AS (SELECT DISTINCT c_nationkey AS speaker_id FROM customer)
+SELECT 'exported' AS outcome, sample_id AS id FROM audio_rows JOIN asked USING (speaker_id)
+WHERE kind IN (0, 1, 3)
+UNION ALL
+SELECT 'skipped', sample_id FROM audio_rows JOIN asked USING (speaker_id) WHERE kind NOT IN (0, 1, 3)
+UNION ALL
+SELECT 'missing', CAST(speaker_id AS BIGINT) FROM asked
+WHERE speaker_id NOT IN (SELECT speaker_id FROM audio_rows)"""
+)
+def export_by_speaker(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of the speakers another table lists: exported, skipped, or nowhere to be found."""
+    path = work_path(spark, "export")
+    key = F.col("c_nationkey").cast("bigint")
+    speakers = data.table(spark, folder, "customer").select(key.alias("speaker_id"))
+    export = export_samples(
+        data.audio_rows(spark, folder), speakers=speakers, audio_column="wav_path"
+    )
+    write_manifest(export.manifest, path)
+    parts = [
+        (spark.read.parquet(path), "exported", "sample_id"),
+        (export.skipped, "skipped", "sample_id"),
+        (export.missing, "missing", "speaker_id"),
+    ]
+    named = [
+        part.select(F.lit(outcome).alias("outcome"), F.col(key).alias("id"))
+        for part, outcome, key in parts
+    ]
+    return named[0].union(named[1]).union(named[2])

@@ -81,11 +81,16 @@ def test_bucketed_tables_are_joined_without_a_shuffle(spark, tmp_path):
     try:
         keys = ["dataset", "split", "sample_id"]
         hints = responses(spark).withColumn("hint", F.lit("1,0.65"))
-        write_bucketed(responses(spark), "resp", str(tmp_path / "r"), 4, keys)
-        write_bucketed(hints, "hints", str(tmp_path / "h"), 4, keys)
+        write_bucketed(responses(spark), "resp", str(tmp_path / "r"), 8, keys)
+        write_bucketed(hints, "hints", str(tmp_path / "h"), 8, keys)
+        hints.write.parquet(str(tmp_path / "plain"))
         joined = attach_hints(spark.table("resp"), spark.table("hints"))
         assert exchanges(joined) == 0
-        assert joined.where("hint = '1,0.65'").count() == 6
+        # responses stay where they are also if only they are bucketed
+        plain = attach_hints(spark.table("resp"), spark.read.parquet(str(tmp_path / "plain")))
+        assert exchanges(plain) == 1
+        for found in (joined, plain):
+            assert found.where("hint = '1,0.65'").count() == 6
     finally:
         spark.sql("DROP TABLE IF EXISTS resp")
         spark.sql("DROP TABLE IF EXISTS hints")
