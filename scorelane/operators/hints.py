@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from scorelane.operators.select import split_usable
 from scorelane.schemas import NO_HINT
 
-HINT_KEYS = ("dataset", "split", "sample_id")
+# The id comes first: a sort-merge join sorts by it, and compares names only on a tie.
+HINT_KEYS = ("sample_id", "dataset", "split")
 
 
 def hints_from_results(rows: DataFrame, strict: bool = True) -> DataFrame:

@@ -51,53 +51,58 @@ def tenths_text(tenths: Column) -> Column:
     return F.concat(whole, F.lit("."), (tenths % 10).cast("string"))
 
 
+def _answer(templates: dict[int, str], usual: str, **texts: Column) -> Column:
+    """The template of the first step that divides the id, else the usual one, filled in."""
+    shown = F.lit(usual)
+    for step, template in reversed(list(templates.items())):
+        shown = F.when(F.col("sample_id") % step == 0, template).otherwise(shown)
+    for name, text in texts.items():
+        shown = F.replace(shown, F.lit(f"{{{name}}}"), text)
+    return shown
+
+
 def score_results(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with scores: some quoted, chatty, shifted by a space, or no score at all."""
-    n, text = F.col("sample_id"), F.col("plain")
-    answer = (
-        F.when(n % 11 == 0, "no score")
-        .when(n % 7 == 0, F.concat(F.lit('"'), text, F.lit('",')))
-        .when(n % 13 == 0, F.concat(text, F.lit(" out of 5")))
-        .when(n % 17 == 0, F.concat(F.lit(" "), text))
-        .when(n % 19 == 0, F.concat(text, F.lit("\n")))
-        .when(n % 23 == 0, F.concat(text, F.lit("f")))
-        .when(n % 29 == 0, F.concat(text, F.lit("/5")))
-        .otherwise(text)
-    )
-    rows = responses(spark, folder).withColumn("plain", tenths_text(F.col("tenths")))
-    return rows.withColumns({"prediction": answer, "label": F.col("grade").cast("string")}).drop(
-        "plain"
+    templates = {
+        11: "no score",
+        7: '"{score}",',
+        13: "{score} out of 5",
+        17: " {score}",
+        19: "{score}\n",
+        23: "{score}f",
+        29: "{score}/5",
+    }
+    answer = _answer(templates, "{score}", score=tenths_text(F.col("tenths")))
+    return responses(spark, folder).withColumns(
+        {"prediction": answer, "label": F.col("grade").cast("string")}
     )
 
 
 def near_pair(tenths: Column) -> Column:
     """A pair near the grade: surer the lower a fail and the higher a pass."""
-    passed = tenths >= 40
-    sure = F.when(passed, tenths + 25).otherwise(99 - tenths)
-    return F.concat(F.when(passed, "1,0.").otherwise("0,0."), sure.cast("string"))
+    pairs = [f"1,0.{tenth + 25}" if tenth >= 40 else f"0,0.{99 - tenth}" for tenth in range(51)]
+    return F.element_at(F.array(*[F.lit(pair) for pair in pairs]), (tenths + 1).cast("int"))
 
 
 def pair_results(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with pairs: some with words behind, older plain scores, or nothing usable."""
-    n, near, plain = F.col("sample_id"), F.col("near"), F.col("plain")
-    answer = (
-        F.when(n % 13 == 0, F.concat(near, F.lit("\n(sure)")))
-        .when(n % 17 == 0, plain)
-        .when(n % 19 == 0, "sorry")
-        .when(n % 23 == 0, "sorry, no")
-        .when(n % 29 == 0, "7,0.50")
-        .when(n % 31 == 0, F.concat(F.lit(" 0, 0.8"), (n % 10).cast("string"), F.lit("5 ")))
-        .when(n % 37 == 0, F.concat(plain, F.lit(",")))
-        .when(n % 41 == 0, F.concat(plain, F.lit(" or so")))
-        .when(n % 43 == 0, "1,1")
-        .otherwise(near)
-    )
-    tenths = F.col("tenths")
-    rows = responses(spark, folder).withColumns(
-        {"near": near_pair(tenths), "plain": tenths_text(tenths)}
+    templates = {
+        13: "{pair}\n(sure)",
+        17: "{score}",
+        19: "sorry",
+        23: "sorry, no",
+        29: "7,0.50",
+        31: " 0, 0.8{digit}5 ",
+        37: "{score},",
+        41: "{score} or so",
+        43: "1,1",
+    }
+    tenths, digit = F.col("tenths"), (F.col("sample_id") % 10).cast("string")
+    answer = _answer(
+        templates, "{pair}", pair=near_pair(tenths), score=tenths_text(tenths), digit=digit
     )
     label = pair_text(grade_to_pair(F.col("grade")))
-    return rows.withColumns({"prediction": answer, "label": label}).drop("near", "plain")
+    return responses(spark, folder).withColumns({"prediction": answer, "label": label})
 
 
 def word_lengths(text: Column) -> Column:
