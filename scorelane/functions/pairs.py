@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorelane.functions.scores import (
+    ANY_SPACE,
     PLAIN_NUMBER,
     decimal_text,
     extract_number,
@@ -16,8 +17,8 @@ from scorelane.functions.scores import (
 
 # Fixed values.
 PASS_GRADE = 4.0
-LABEL_OF_PAIR = r"^\s*([+-]?\d+)\s*,"
-PROB_OF_PAIR = rf"^[^,]*,\s*{PLAIN_NUMBER}\s*\z"
+LABEL_OF_PAIR = rf"^{ANY_SPACE}([+-]?\d+){ANY_SPACE},"
+PROB_OF_PAIR = rf"^[^,]*,{ANY_SPACE}{PLAIN_NUMBER}{ANY_SPACE}\z"
 PROB_BEFORE_WORDS = r"^\d+,(\d+\.\d+)"
 LEGACY_PASS_PROB = 0.75
 LEGACY_FAIL_PROB = 0.25

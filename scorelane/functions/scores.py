@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 QUOTE_CHARS = "\"',\\/"
 PLAIN_NUMBER = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
-NUMBER = rf"^\s*{PLAIN_NUMBER}\s*\z"
+ANY_SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+NUMBER = rf"^{ANY_SPACE}{PLAIN_NUMBER}{ANY_SPACE}\z"
 SPACE_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

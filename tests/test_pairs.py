@@ -18,6 +18,7 @@ PAIRS = {
     "0, 0.80": (0, 0.80),
     " 1,0.75 ": (1, 0.75),
     "1,1": (1, 1.0),
+    "1\u2003,\u30000.5": (1, 0.5),
     "7,0.50": (7, 0.50),
     "-1,0.5": (-1, 0.5),
     "1,0.85,0.1": (1, 0.85),
@@ -71,7 +72,7 @@ def by_rule(text):
 
 def test_pairs_agree_with_the_rule_on_random_text(spark):
     rng = random.Random(11)
-    texts = ["".join(rng.choices("0123459.., \n\"'-+ex", k=rng.randint(0, 9))) for _ in range(5000)]
+    texts = ["".join(rng.choices("0123459.., \n\u2003\"'-+ex", k=rng.randint(0, 9))) for _ in range(5000)]
     assert read(spark, texts, parse_pair) == [by_rule(text) for text in texts]
 
 

@@ -39,3 +39,26 @@ def test_query_equals_its_sql(spark, duck, folder, name):
 
 def test_entry_has_rows(spark, folder):
     assert contract.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["pair_metrics", "shards", "collated_batches", "chat_prompt_parts", "examples_with_hints",
+     "converted_results", "cascade_metrics"],
+)
+def test_results_do_not_depend_on_partitions(spark, folder, name):
+    """One shuffle partition or many, broadcast joins or none: the rows are the same."""
+    found = []
+    for partitions, broadcast in (("1", "10MB"), ("13", "-1")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            found.append(ordered(tuple(r) for r in contract.queries()[name](spark, folder).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1]
+
+
+def test_every_query_has_its_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())

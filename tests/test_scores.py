@@ -33,6 +33,8 @@ SCORES = {
     "1e": None,
     "3.0\n": 3.0,
     "3.0\n\n": 3.0,
+    "3.0\u3000": 3.0,
+    "\x1c4": None,
     "3f": None,
     "3.0d": None,
     "0x1p3": None,
@@ -57,7 +59,7 @@ def test_labels_are_not_unquoted(spark):
 def test_numbers_agree_with_python(spark):
     """Every text the pattern admits is the number that Python reads."""
     rng = random.Random(5)
-    texts = ["".join(rng.choices("0123456789.eE+- \n\t", k=rng.randint(0, 6))) for _ in range(4000)]
+    texts = ["".join(rng.choices("0123456789.eE+- \n\t\x1c", k=rng.randint(0, 6))) for _ in range(4000)]
 
     def read(text):
         try:
