@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelane.functions.text import form_of
+from scorelane.functions.text import base_name, dataset_of, form_of, predictions_path
 from scorelane.operators.hints import hints_from_results
 from scorelane.sinks.results import SLICE_ROWS, hint_maps, write_documents
 from scorelane.sources.results import read_result_documents, result_rows
@@ -18,18 +20,28 @@ def convert_results(
     audio_column: str,
     strict: bool = True,
     multi_line: bool = True,
+    names: Mapping[str, str] | None = None,
+    default: str = "",
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Write the maps of all result documents under ``results``; return their hints.
 
-    A document's form follows from its path. ``strict`` leaves out predictions
-    without a comma.
+    A document's form follows from its path, and so does its dataset where it
+    states none and ``names`` are given. Foreign documents number their samples
+    alike, so each gets a folder of its own; in our documents dataset and split
+    tell runs apart. ``strict`` leaves out predictions without a comma.
     """
-    rows = result_rows(
-        read_result_documents(spark, results, multi_line), "document", "dataset", "split"
+    docs = read_result_documents(spark, results, multi_line)
+    path = F.col("document")
+    if names is not None:
+        found = dataset_of(base_name(path), names, default)
+        docs = docs.withColumn("dataset", F.coalesce("dataset", found))
+    hints = hints_from_results(result_rows(docs, "document", "dataset", "split"), strict)
+    hints = hints.withColumns(
+        {"form": form_of(path), "file": base_name(predictions_path(path))}
     )
-    hints = hints_from_results(rows, strict).withColumn("form", form_of(F.col("document")))
-    by = ["dataset", "split", "form"]
-    maps = hint_maps(hints, audio_column, F.col("form"), by, slice_rows).drop("form")
-    write_documents(maps, output)
-    return hints.select("dataset", "split", "sample_id", "hint")
+    folders = ["file"] if multi_line else []
+    run = [*folders, "dataset", "split"]
+    maps = hint_maps(hints, audio_column, F.col("form"), [*run, "form"], slice_rows)
+    write_documents(maps.drop("form"), output, folders)
+    return hints.select(*run, "sample_id", "hint")

@@ -14,14 +14,15 @@ def read_hint_maps(
 ) -> DataFrame:
     """Prediction maps, one row per document.
 
-    A missing path fails the job unless ``on_missing="empty"`` asks for an
-    empty table, with which every response gets the default hint text.
+    A missing or damaged map fails the job. With ``on_missing="empty"`` it is an
+    empty one instead, with which responses get the default hint text.
     """
     if on_missing not in ("error", "empty"):
         raise ValueError(f"on_missing must be error or empty, not {on_missing!r}")
     if on_missing == "empty" and not path_exists(spark, path):
         return spark.createDataFrame([], HINT_MAP)
-    return spark.read.schema(HINT_MAP).json(path, multiLine=multi_line)
+    mode = "FAILFAST" if on_missing == "error" else "PERMISSIVE"
+    return spark.read.schema(HINT_MAP).json(path, multiLine=multi_line, mode=mode)
 
 
 def hint_rows(maps: DataFrame, *keep: str) -> DataFrame:
@@ -43,6 +44,6 @@ def read_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> D
     (``multi_line=False``).
     """
     entries = spark.read.text(path, wholetext=multi_line).select(
-        F.explode(F.from_json("value", CATALOGUE)).alias("dataset", "entry")
+        F.explode(F.from_json("value", CATALOGUE, {"mode": "FAILFAST"})).alias("dataset", "entry")
     )
     return entries.select("dataset", "entry.*")

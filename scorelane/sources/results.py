@@ -12,9 +12,10 @@ def read_result_documents(spark: SparkSession, path: str, multi_line: bool = Tru
     """One row per document.
 
     Foreign documents are indented JSON. Our own are one line per slice of a
-    run, which Spark can split (``multi_line=False``).
+    run, which Spark can split (``multi_line=False``). A damaged document fails
+    the job rather than counting as empty.
     """
-    docs = spark.read.schema(RESULT_DOCUMENT).json(path, multiLine=multi_line)
+    docs = spark.read.schema(RESULT_DOCUMENT).json(path, multiLine=multi_line, mode="FAILFAST")
     return docs.withColumn("document", F.col("_metadata.file_path"))
 
 

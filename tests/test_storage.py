@@ -5,6 +5,7 @@ from helpers import plan_of
 from pyspark.sql import functions as F
 
 from scorelane.operators.metrics import metrics
+from scorelane.plans.conversion import convert_results
 from scorelane.plans.stages import stage
 from scorelane.schemas import AUDIO
 from scorelane.session import is_complete, path_exists, work_path
@@ -229,3 +230,33 @@ def test_the_working_folder_is_the_shared_one(spark):
     local = Session("local[2]")
     assert work_path(local, "x").startswith(local.own)
     assert not path_exists(spark, work_path(spark, "x"))
+
+
+def test_foreign_results_are_converted_file_by_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    pairs = [{"prediction": p, "label": "x"} for p in (" 1,0.65\n", "4.5", "0,0.70")]
+    foreign(tmp_path / "in" / "results_SetA_1964.json", {"predictions_and_labels": pairs})
+    foreign(tmp_path / "in" / "results_SetB.json", {"samples": pairs[:1]})
+    out = str(tmp_path / "results_out")
+    names = {"SetA": "org/SetA", "SetB": "org/SetB"}
+    hints = convert_results(spark, str(tmp_path / "in"), out, "wav_path", names=names)
+    assert {(r.dataset, r.sample_id, r.hint) for r in hints.collect()} == {
+        ("org/SetA", 0, "1,0.65"), ("org/SetA", 2, "0,0.70"), ("org/SetB", 0, "1,0.65"),
+    }
+    first = read_hint_maps(spark, f"{out}/file=preds_SetA_1964.json", multi_line=False).first()
+    assert (first.form_id, first.audio_column, first.dataset) == ("1964", "wav_path", "org/SetA")
+    assert first.binary_predictions == {"0": "1,0.65", "2": "0,0.70"}
+    other = read_hint_maps(spark, f"{out}/file=preds_SetB.json", multi_line=False).first()
+    assert (other.form_id, other.binary_predictions) == ("1764", {"0": "1,0.65"})
+
+
+def test_damaged_documents_are_not_taken_for_empty_ones(spark, tmp_path):
+    path = tmp_path / "d.json"
+    path.write_text('{"binary_predictions": {"0": "1,0.65"')
+    with pytest.raises(Exception, match="FAILFAST"):
+        read_result_documents(spark, str(path)).collect()
+    with pytest.raises(Exception, match="FAILFAST"):
+        read_hint_maps(spark, str(path)).collect()
+    with pytest.raises(Exception, match="FAILFAST"):
+        read_catalogue(spark, str(path)).collect()
+    assert hint_rows(read_hint_maps(spark, str(path), "empty")).count() == 0
