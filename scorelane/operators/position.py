@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 20
+FEW_ROWS = 1000
 
 
 def with_position(
@@ -64,10 +65,25 @@ def with_position(
 
 
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows of each dataset, by position."""
+    """The first ``n`` rows of each dataset, by a position that is stored already."""
     return rows.where(F.col("position") < n)
 
 
+def take_first(rows: DataFrame, key: str, n: int, within: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows of each dataset in the order of ``key``, with their position.
+
+    For a small ``n`` each task passes on its own first ``n`` rows only, so a
+    dataset of any size comes down to a few rows before they are shuffled. Spark
+    does that up to a thousand rows; beyond, all rows are numbered.
+    """
+    if n > FEW_ROWS:
+        return first_rows(with_position(rows, key, within), n).drop("total")
+    order = Window.partitionBy(*within).orderBy(key)
+    numbered = rows.withColumn("_number", F.row_number().over(order)).where(F.col("_number") <= n)
+    position = (F.col("_number") - 1).cast("bigint")
+    return numbered.withColumn("position", position).drop("_number")
+
+
 def whole_part(dividend: Column, divisor: Column | int) -> Column:
     divisor = F.lit(divisor) if isinstance(divisor, int) else divisor
     return F.call_function("div", dividend, divisor)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelane.operators.metrics import metrics
-from scorelane.operators.position import first_rows, with_position
+from scorelane.operators.position import take_first, with_position
 from scorelane.operators.prompts import supervised_examples
 from scorelane.plans.conversion import convert_results
 from scorelane.plans.evaluation import Model, cascade, evaluate, evaluate_with_catalogue, score
@@ -81,8 +81,8 @@ SELECT dataset, sample_id, label, prediction FROM placed WHERE position < 10"""
 )
 def spot_check(spark: SparkSession, folder: str) -> DataFrame:
     """The first ten responses of each dataset, asked one by one."""
-    placed = with_position(data.responses(spark, folder), "sample_id", ["dataset"])
-    examples = supervised_examples(first_rows(placed, 10), variant="single")
+    first = take_first(data.responses(spark, folder), "sample_id", 10, ["dataset"])
+    examples = supervised_examples(first, variant="single")
     one_by_one = Model("suite/plain", plain_rule, ("prompt_text", "tenths"), 1)
     return score(examples, one_by_one).select("dataset", "sample_id", "label", "prediction")
 

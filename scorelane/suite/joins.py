@@ -14,8 +14,8 @@ from scorelane.operators.hints import (
 from scorelane.operators.position import (
     batch_number,
     drop_short_batch,
-    first_rows,
     shard_number,
+    take_first,
     with_position,
 )
 from scorelane.operators.select import (
@@ -160,8 +160,15 @@ def positions_overall(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{POSITIONS} SELECT sample_id, dataset, position FROM placed WHERE position < 25")
 def first_of_each_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """The first 25 responses of each dataset."""
-    rows = first_rows(_positions(spark, folder), 25)
-    return rows.select("sample_id", "dataset", "position")
+    rows = data.responses(spark, folder).select("sample_id", "dataset")
+    return take_first(rows, "sample_id", 25, ["dataset"])
+
+
+@query(f"{POSITIONS} SELECT sample_id, dataset, position FROM placed WHERE position < 1500")
+def first_many_of_each_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """So many responses of each dataset that all are numbered."""
+    rows = data.responses(spark, folder).select("sample_id", "dataset")
+    return take_first(rows, "sample_id", 1500, ["dataset"])
 
 
 @query(

@@ -9,6 +9,7 @@ from scorelane.operators.position import (
     drop_short_batch,
     first_rows,
     shard_number,
+    take_first,
     with_position,
 )
 
@@ -92,3 +93,23 @@ def test_bad_shards_are_refused(spark):
         shard_number(F.lit(1), 0)
     with pytest.raises(ValueError):
         shard_number(F.lit(1), 2, "other")
+
+
+@pytest.mark.parametrize("n", [1, 3, 5000])
+def test_the_first_rows_of_each_dataset(spark, n):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else rng.choice(["a", None]), i * 7) for i in rng.sample(range(900), 300)]
+    expected = {key: p for key, (p, _) in expected_positions(rows).items() if p < n}
+    found = take_first(keyed(spark, rows).repartition(6), "id", n, ["dataset"])
+    assert {(r.dataset, r.id): r.position for r in found.collect()} == expected
+
+
+def test_few_rows_are_taken_before_the_shuffle(spark):
+    lines = plan_of(take_first(keyed(spark, [("a", 1)]), "id", 10, ["dataset"])).split("\n")
+    shuffle = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[shuffle:])
+
+
+def test_the_first_rows_overall(spark):
+    rows = keyed(spark, [("a", i) for i in (5, 3, 9, 1)])
+    assert [(r.id, r.position) for r in take_first(rows, "id", 2).orderBy("id").collect()] == [(1, 0), (3, 1)]
