@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelane.functions.scores import (
     ANY_SPACE,
+    OUTER_SPACE,
     PLAIN_NUMBER,
     decimal_text,
     extract_number,
@@ -17,9 +18,9 @@ from scorelane.functions.scores import (
 
 # Fixed values.
 PASS_GRADE = 4.0
-LABEL_OF_PAIR = rf"^{ANY_SPACE}([+-]?\d+){ANY_SPACE},"
-PROB_OF_PAIR = rf"^[^,]*,{ANY_SPACE}{PLAIN_NUMBER}{ANY_SPACE}\z"
-PROB_BEFORE_WORDS = r"^\d+,(\d+\.\d+)"
+LABEL_OF_PAIR = rf"^{OUTER_SPACE}([+-]?\d+){ANY_SPACE},"
+PROB_OF_PAIR = rf"^[^,]*,{ANY_SPACE}{PLAIN_NUMBER}{OUTER_SPACE}\z"
+PROB_BEFORE_WORDS = rf"^{OUTER_SPACE}\d+,(\d+\.\d+)"
 LEGACY_PASS_PROB = 0.75
 LEGACY_FAIL_PROB = 0.25
 PROB_TOLERANCE = 0.1
@@ -72,46 +73,38 @@ def _legacy_prob(score: Column) -> Column:
 
 
 def _read(text: Column, cut: bool, words: bool) -> Column:
-    """A pair from stripped text with a comma, or a plain score as older models answered.
+    """A pair from a text with a comma, or a plain score as older models answered.
 
     ``cut`` ignores what follows the probability; ``words`` ignores what
-    follows the first word of a plain score.
+    follows the first word of a plain score. The patterns skip outer white
+    space, so that only the rare text without comma is trimmed.
     """
     comma = text.contains(",")
     label = F.regexp_extract(text, LABEL_OF_PAIR, 1).try_cast("bigint")
     prob = extract_number(text, PROB_OF_PAIR)
     if cut:
         prob = F.coalesce(extract_number(text, PROB_BEFORE_WORDS), prob)
-    score = parse_score(text) if words else parse_number(text)
+    stripped = strip_space(text)
+    score = parse_score(stripped) if words else parse_number(stripped)
     return _pair(
         F.when(comma, label).otherwise((score >= PASS_GRADE).cast("bigint")),
         F.when(comma, prob).otherwise(_legacy_prob(score)),
     )
 
 
-def parse_stripped_pair(text: Column) -> Column:
-    """The pair in an answer that is stripped already.
+def parse_pair(text: Column) -> Column:
+    """The pair in a model's answer; only a text without comma is read as a score.
 
-    Only a text without comma is read as a score. Either half may be null: such
-    an answer is no pair (``is_pair``).
+    Either half may be null: such an answer is no pair (``is_pair``).
     """
     return _read(text, cut=True, words=True)
 
 
-def parse_stripped_label_pair(text: Column) -> Column:
-    """The pair in a stripped label, which has nothing after it."""
-    return _read(text, cut=False, words=True)
-
-
-def parse_pair(text: Column) -> Column:
-    return parse_stripped_pair(strip_space(text))
-
-
 def parse_label_pair(text: Column) -> Column:
-    return parse_stripped_label_pair(strip_space(text))
+    """The pair in a label, which has nothing after it."""
+    return _read(text, cut=False, words=True)
 
 
 def normalise_pair_text(text: Column) -> Column:
     """One answer as clean pair text; an answer that is neither pair nor score is only stripped."""
-    stripped = strip_space(text)
-    return F.coalesce(pair_text(_read(stripped, cut=True, words=False)), stripped)
+    return F.coalesce(pair_text(_read(text, cut=True, words=False)), strip_space(text))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 QUOTE_CHARS = "\"',\\/"
 PLAIN_NUMBER = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
 ANY_SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+OUTER_SPACE = ANY_SPACE.replace(r"\s", r"\s\x1c-\x1f")
 NUMBER = rf"^{ANY_SPACE}{PLAIN_NUMBER}{ANY_SPACE}\z"
 SPACE_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
@@ -38,23 +39,15 @@ def parse_number(text: Column) -> Column:
     return extract_number(text, NUMBER)
 
 
-def score_word(text: Column) -> Column:
-    """The first word of a model's answer without the quotes around it."""
-    return F.btrim(label_word(text), F.lit(QUOTE_CHARS))
-
-
-def label_word(text: Column) -> Column:
-    """The first word of a label, which is never quoted."""
-    return F.substring_index(text, " ", 1)
-
-
 def parse_score(text: Column) -> Column:
     """The score at the start of a model's answer, or null."""
-    return parse_number(score_word(text))
+    first_word = F.substring_index(text, " ", 1)
+    return parse_number(F.btrim(first_word, F.lit(QUOTE_CHARS)))
 
 
 def parse_label_score(text: Column) -> Column:
-    return parse_number(label_word(text))
+    """The score of a label, which is never quoted."""
+    return parse_number(F.substring_index(text, " ", 1))
 
 
 def require_score(text: Column) -> Column:

@@ -12,21 +12,17 @@ from scorelane.functions.pairs import (
     PROB_TOLERANCE,
     PROB_WEIGHT,
     is_pair,
-    parse_stripped_label_pair,
-    parse_stripped_pair,
+    parse_label_pair,
+    parse_pair,
 )
 from scorelane.functions.scores import (
     SCORE_TOLERANCE,
     decimal_text,
-    label_word,
     parse_label_score,
-    parse_number,
     parse_score,
     passes,
     require_score,
     round_half_down,
-    score_word,
-    strip_space,
 )
 from scorelane.schemas import METRIC_NAMES
 
@@ -68,21 +64,16 @@ def _pair_metrics(metric: str) -> list[Column]:
 
 
 def _parsed(rows: DataFrame, mode: str, metric: str, prediction: str, label: str) -> DataFrame:
-    """Rows with what the metrics need, read in two steps so that no text is trimmed twice."""
-    words, values = {}, {}
+    """Rows with what the metrics need, each text read once for all of them."""
+    values = {}
     if mode == "score" or metric != "binary":
-        words["_word"] = score_word(F.col(prediction))
-        words["_label_word"] = label_word(F.col(label))
-        values["_guess"] = parse_number(F.col("_word"))
-        values["_truth"] = parse_number(F.col("_label_word"))
+        values["_guess"] = parse_score(F.col(prediction))
+        values["_truth"] = parse_label_score(F.col(label))
     if mode == "pair" and metric != "cl":
-        words["_answer"] = strip_space(F.col(prediction))
-        words["_label_answer"] = strip_space(F.col(label))
-        guess = parse_stripped_pair(F.col("_answer"))
-        truth = parse_stripped_label_pair(F.col("_label_answer"))
+        guess, truth = parse_pair(F.col(prediction)), parse_label_pair(F.col(label))
         values.update(_guess_label=guess["label"], _guess_prob=guess["prob"])
         values.update(_true_label=truth["label"], _true_prob=truth["prob"])
-    return rows.withColumns(words).withColumns(values)
+    return rows.withColumns(values)
 
 
 def metrics(
@@ -131,10 +122,10 @@ def parse_failures(
     label: str = "label",
 ) -> DataFrame:
     """How many texts cannot be read: as score, as pair, or for want of a comma."""
-    parsed = rows.withColumn("_answer", strip_space(F.col(prediction))).withColumns(
+    parsed = rows.withColumns(
         {
             "_score": parse_score(F.col(prediction)),
-            "_pair": parse_stripped_pair(F.col("_answer")),
+            "_pair": parse_pair(F.col(prediction)),
             "_label": parse_label_score(F.col(label)),
         }
     )
