@@ -12,6 +12,7 @@ from scorelane.functions.text import add_suffix
 from scorelane.operators.hints import HINT_KEYS, attach_hints
 from scorelane.operators.position import whole_part
 from scorelane.schemas import AUDIO_MARKER
+from scorelane.sources.responses import optional_question, require_columns
 
 HINT_PLACE = "{hint}"
 EXAMPLES_PLACE = "{examples}"
@@ -124,7 +125,13 @@ def supervised_examples(
     examples: Sequence[str] = (),
     ask: bool = True,
 ) -> DataFrame:
-    """Add ``prompt_text``, ``label`` and ``answer``. A projection, without a shuffle."""
+    """Add ``prompt_text``, ``label`` and ``answer``. A projection, without a shuffle.
+
+    Pair examples may do without a question column, score examples may not.
+    """
+    if target == "pair":
+        responses = optional_question(responses)
+    require_columns(responses, ["grade", "prompt"])
     rubric = rubric or (PAIR_RUBRIC if target == "pair" else SCORE_RUBRIC)
     content = user_content(F.lit(rubric_text(rubric, examples)), F.col("prompt"), variant, ask)
     return responses.withColumns(
@@ -141,6 +148,7 @@ def hint_examples(
     examples: Sequence[str] = (),
 ) -> DataFrame:
     """Examples of the second stage: the first stage's prediction is in the prompt."""
+    require_columns(responses, ["grade", "prompt", *keys])
     hinted = attach_hints(responses, hints, keys)
     filled = with_hint(rubric_text(rubric, examples), F.col("hint"))
     content = user_content(filled, F.col("prompt"), variant)

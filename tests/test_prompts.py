@@ -52,6 +52,15 @@ def test_score_and_pair_answers(spark):
         supervised_examples(responses(spark), "other")
 
 
+def test_only_pair_examples_do_without_questions(spark):
+    bare = responses(spark).drop("prompt")
+    assert supervised_examples(bare, "pair", rubric="R.").first().prompt_text.startswith("<|user|>R.<|audio")
+    with pytest.raises(ValueError, match="prompt"):
+        supervised_examples(bare)
+    with pytest.raises(ValueError, match="grade"):
+        supervised_examples(responses(spark).drop("grade"), "pair")
+
+
 def test_hints_stand_in_the_prompt(spark):
     hints = spark.createDataFrame([("a", "dev", 0, "1,{hint}")], "dataset string, split string, sample_id long, hint string")
     rows = hint_examples(responses(spark), hints, rubric="H={hint}.").orderBy("sample_id").collect()

@@ -131,8 +131,20 @@ def test_only_the_chosen_folders_are_read(spark, tmp_path):
     assert chosen.count() == 4
     plan = plan_of(chosen)
     assert "PartitionFilters: [isnotnull(dataset" in plan and "DataFilters: []" in plan
-    read = chosen._jdf.queryExecution().executedPlan()
-    assert len({f for f in chosen.inputFiles()}) <= len(rows.inputFiles()) and read is not None
+    read = {r.file_path for r in chosen.select("_metadata.file_path").collect()}
+    assert all("dataset=a/split=dev/revision=2" in path for path in read)
+
+
+def test_subsets_are_chosen_too(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, "a", "dev", 1, "x" if i % 2 else "y") for i in range(6)],
+        "sample_id long, dataset string, split string, revision long, subset string",
+    )
+    path = str(tmp_path / "t")
+    write_results(rows, path, ["dataset", "split", "revision"])
+    chosen = load_responses(spark, path, "a", "dev", subset="x", schema=rows.schema)
+    assert [r.sample_id for r in chosen.collect()] == [1, 3, 5]
+    assert load_responses(spark, path, "a", "test", schema=rows.schema).count() == 0
 
 
 def test_revisions(spark, tmp_path):
