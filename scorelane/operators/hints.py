@@ -34,8 +34,9 @@ def attach_hints(
     """Each response with its hint, or the default text.
 
     The full key names a response, so no key is hot, and hints of another
-    split can never be joined by position. Spark picks broadcast or sort-merge
-    from the size of ``hints``.
+    split can never be joined by position. Hints are unique by key, as the
+    results they come from are. Spark picks broadcast or sort-merge from their
+    size.
     """
     chosen = hints.select(*keys, F.col("hint"))
     joined = responses.join(chosen, list(keys), "left")
