@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from scorelane.llm.common import table
 from scorelane.llm.cuckoo import exact_groups
+from scorelane.llm.html import main_text
+from scorelane.llm.licences import scan
 from scorelane.llm.mixing import mix
 from scorelane.llm.packing import pack
 from scorelane.llm.quality import quality
 from scorelane.llm.simhash import near_groups
+from scorelane.llm.warc import round_trip
 
 #: Where the tokenizer's file lies; a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +35,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -106,3 +114,33 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", F.col("component_id"))
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(COALESCE(html, ''))::BIGINT AS payload_bytes, sha1(COALESCE(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, payload_bytes,
+    array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, (10 * (i // 8) + 1)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31)::INTEGER
+          + 1, 1)
+      for i in range(32)], '') AS payload_digest
+  FROM p),
+k AS (SELECT *, MAX(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+
+@query(WARC_SQL)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = round_trip(table(spark, sf_dir, "pages"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
