@@ -11,12 +11,15 @@ from scorelane.llm.cuckoo import exact_groups
 from scorelane.llm.html import main_text
 from scorelane.llm.licences import scan
 from scorelane.llm.mixing import mix
+from scorelane.llm.neighbours import search
 from scorelane.llm.packing import pack
 from scorelane.llm.quality import quality
 from scorelane.llm.simhash import near_groups
+from scorelane.llm.tokens import edited_counts
 from scorelane.llm.warc import round_trip
 
-#: Where the tokenizer's file lies; a parameter of the operators.
+#: Where the tokenizers' files lie; a parameter of the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {}
@@ -35,6 +38,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 @query()
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
@@ -93,6 +101,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id,
