@@ -19,7 +19,7 @@ BROADCAST_ROWS = 500_000
 #: A group is hot if it holds more than this part of all rows; so there are at most as many.
 HOT_PART = 1000
 
-ROW_KEY = "__row"
+ROW_KEY = "__scorelane_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -45,10 +45,10 @@ def sized(documents: DataFrame) -> DataFrame:
     """Identified documents with their source's key, size and two hashes."""
     return identified(documents, "mixing-input").withColumns(
         {
-            "__source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-            "__size": words(F.col("text")),
-            "__hash": _hash(F.col("doc_id")),
-            "__place": _hash(F.col(ROW_KEY)),
+            "__mix_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+            "__mix_size": words(F.col("text")),
+            "__mix_hash": _hash(F.col("doc_id")),
+            "__mix_place": _hash(F.col(ROW_KEY)),
         }
     )
 
@@ -109,30 +109,30 @@ def _refine(rows: DataFrame, open_: DataFrame, value: str, shift: int) -> DataFr
     so their running sum is a small window.
     """
     bucket = F.shiftright(value, shift)
-    held = rows.groupBy("__source", bucket.alias("prefix")).agg(
-        F.sum("__size").alias("words"), F.count(F.lit(1)).alias("rows")
+    held = rows.groupBy("__mix_source", bucket.alias("prefix")).agg(
+        F.sum("__mix_size").alias("words"), F.count(F.lit(1)).alias("rows")
     )
-    running = Window.partitionBy("__source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("__mix_source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        held.join(bounded(open_.select("__source", "before", "extra")), "__source")
+        held.join(bounded(open_.select("__mix_source", "before", "extra")), "__mix_source")
         .withColumn("until", F.col("before") + F.sum("words").over(running))
         .where("until > extra")
     )
     first = F.min(F.struct("prefix", (F.col("until") - F.col("words")).alias("before"), "words", "rows"))
     return (
-        ends.groupBy("__source", "extra")
+        ends.groupBy("__mix_source", "extra")
         .agg(first.alias("end"))
-        .select("__source", "extra", "end.prefix", "end.before", "end.words", "end.rows")
+        .select("__mix_source", "extra", "end.prefix", "end.before", "end.words", "end.rows")
     )
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """Per source: copies of all its documents, and the bounds of one copy more.
 
-    ``rows`` is a stage with ``__source``, ``source``, ``__size``, ``__hash`` and ``__place``.
+    ``rows`` is a stage with ``__mix_source``, ``source``, ``__mix_size``, ``__mix_hash`` and ``__mix_place``.
     """
-    sources = rows.groupBy("__source", "source").agg(
-        F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("docs")
+    sources = rows.groupBy("__mix_source", "source").agg(
+        F.sum("__mix_size").alias("source_size"), F.count(F.lit(1)).alias("docs")
     )
     dealt = staged(targets(sources), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -140,31 +140,31 @@ def thresholds(rows: DataFrame) -> DataFrame:
         "extra", F.col("target") - F.col("whole") * F.col("source_size")
     )
     open_ = staged(
-        dealt.where("extra > 0").select("__source", "extra", F.lit(0).cast("long").alias("before")), "open"
+        dealt.where("extra > 0").select("__mix_source", "extra", F.lit(0).cast("long").alias("before")), "open"
     )
     left, done = rows, []
-    for value in ("__hash", "__place"):
+    for value in ("__mix_hash", "__mix_place"):
         for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
             open_ = staged(_refine(left, open_, value, shift), "open")
-            ends = bounded(open_.select("__source", F.col("prefix").alias("end")))
+            ends = bounded(open_.select("__mix_source", F.col("prefix").alias("end")))
             left = staged(
-                left.join(ends, "__source").where(F.shiftright(value, shift) == F.col("end")).drop("end"),
+                left.join(ends, "__mix_source").where(F.shiftright(value, shift) == F.col("end")).drop("end"),
                 "boundary",
             )
-        least = left.groupBy("__source").agg(F.min("__hash").alias("hash"), F.min("__place").alias("place"))
+        least = left.groupBy("__mix_source").agg(F.min("__mix_hash").alias("hash"), F.min("__mix_place").alias("place"))
         alone = F.col("rows") == 1
-        closed = open_.where(alone if value == "__hash" else F.lit(True)).join(least, "__source")
+        closed = open_.where(alone if value == "__mix_hash" else F.lit(True)).join(least, "__mix_source")
         # The document in which the budget ends is taken if that comes nearer the target.
         near = F.col("before") + F.col("words") - F.col("extra") < F.col("extra") - F.col("before")
-        last = F.lit(-1).cast("long") if value == "__hash" else F.col("place") - 1
-        done.append(closed.select("__source", "hash", F.when(near, F.col("place")).otherwise(last).alias("place")))
+        last = F.lit(-1).cast("long") if value == "__mix_hash" else F.col("place") - 1
+        done.append(closed.select("__mix_source", "hash", F.when(near, F.col("place")).otherwise(last).alias("place")))
         open_ = staged(open_.where(~alone), "open")
         if open_.isEmpty():
             break
     bounds = done[0] if len(done) == 1 else done[0].unionByName(done[1])
     return staged(
-        dealt.join(bounds, "__source", "left").select(
-            "__source",
+        dealt.join(bounds, "__mix_source", "left").select(
+            "__mix_source",
             "source_size",
             "target",
             "docs",
@@ -178,31 +178,32 @@ def thresholds(rows: DataFrame) -> DataFrame:
     )
 
 
-def copies() -> Column:
+def copies(prefix: str = "") -> Column:
     """How often a document is taken, by its hashes and its source's thresholds."""
-    below = (F.col("__hash") < F.col("hash")) | (
-        (F.col("__hash") == F.col("hash")) & (F.col("__place") <= F.col("place"))
+    bound = {name: F.col(prefix + name) for name in ("whole", "hash", "place", "more")}
+    below = (F.col("__mix_hash") < bound["hash"]) | (
+        (F.col("__mix_hash") == bound["hash"]) & (F.col("__mix_place") <= bound["place"])
     )
-    return (F.col("whole") + F.when(F.coalesce(below, F.col("more")), 1).otherwise(0)).cast("int")
+    return (bound["whole"] + F.when(F.coalesce(below, bound["more"]), 1).otherwise(0)).cast("int")
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
     rows = sized(documents.select("doc_id", "source", "text"))
     return staged(
-        rows.select(ROW_KEY, "doc_id", "source", "__source", "__size", "__hash", "__place"), "sizes"
+        rows.select(ROW_KEY, "doc_id", "source", "__mix_source", "__mix_size", "__mix_hash", "__mix_place"), "sizes"
     )
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """A row per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``."""
     rows = _narrow(documents)
-    found = attach_groups(rows, thresholds(rows), "__source", "docs")
+    found = attach_groups(rows, thresholds(rows), "__mix_source", "docs")
     return found.select(
         "doc_id",
-        F.col("__size").alias("size"),
+        F.col("__mix_size").alias("size"),
         "source_size",
         "target",
-        (F.col("__size") * copies()).alias("taken"),
+        (F.col("__mix_size") * copies()).alias("taken"),
     )
 
 
@@ -211,7 +212,10 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     documents = anchored(documents, "mixing-input")
     columns = documents.columns
     bounds = thresholds(_narrow(documents)).drop("source_size", "target", "docs")
-    taken = sized(documents).join(bounded(bounds), "__source").withColumn("__copies", copies())
+    # Documents may have columns of any name.
+    named = [F.col(c).alias(f"__mix_of_{c}") for c in bounds.columns if c != "__mix_source"]
+    taken = sized(documents).join(bounded(bounds.select("__mix_source", *named)), "__mix_source")
+    taken = taken.withColumn("__mix_copies", copies("__mix_of_"))
     # An array of nulls: it only says how many rows there are to be.
-    repeated = F.explode(F.array_repeat(F.lit(0), F.col("__copies")))
-    return taken.withColumn("__copy", repeated).select(*(quoted(c) for c in columns))
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col("__mix_copies")))
+    return taken.withColumn("__mix_copy", repeated).select(*(quoted(c) for c in columns))

@@ -240,7 +240,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document, and its score as ``__score``."""
+    """The columns ``keep`` of every document, and its score as ``__scorelane_score``."""
     sent = keep if "text" in keep else [*keep, "text"]
     at = sent.index("text")
 
@@ -253,9 +253,9 @@ def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     rows = documents.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(sent)))
     kinds = [T.StructField(f"c{i}", rows.schema[f"c{i}"].dataType) for i in range(len(keep))]
-    schema = T.StructType([*kinds, T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*kinds, T.StructField("__scorelane_score", T.DoubleType())])
     found = rows.mapInArrow(run, schema)
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "__score")
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "__scorelane_score")
 
 
 def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -264,8 +264,8 @@ def quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     return found.select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= ACCEPTED).cast("int").alias("predicted"),
+        F.col("__scorelane_score").alias("score"),
+        (F.col("__scorelane_score") >= ACCEPTED).cast("int").alias("predicted"),
     )
 
 
@@ -273,4 +273,4 @@ def accepted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """The documents that the model does not reject, with their own columns."""
     columns = documents.columns
     found = scored(documents, fit(documents, labels, sample), columns)
-    return found.where(F.col("__score") >= ACCEPTED).drop("__score")
+    return found.where(F.col("__scorelane_score") >= ACCEPTED).drop("__scorelane_score")

@@ -1,0 +1,40 @@
+import pytest
+
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Names that operators use themselves, as columns that documents happen to have.
+CLASHING = "score string, kept string, copies string, hash string, whole string, words string, label string"
+
+
+@pytest.fixture(scope="session")
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and clashing columns."""
+    long = " ".join(f"word{i % 977} and{i % 31}" for i in range(60_000))
+    rows = [
+        (1, "A plain text of a few words.", "en", "a", 28),
+        (1, "A plain text of a few words.", "en", "a", 28),
+        (2, "A  plain\ttext of a\n few words.", "en", "b", 31),
+        (3, None, "en", "b", None),
+        (4, "", None, None, 0),
+        (5, " \n\t ", "de", "", 4),
+        (None, "A plain text of a few words.", None, None, 28),
+        (None, None, None, None, None),
+        (6, long, "en", "a", len(long)),
+        (7, long + " end", "en", "c", len(long) + 4),
+        (8, "Apache License, Version 2.0 é漢 <|endoftext|> MIT License", "fr", "c", 55),
+        (8, "another text under the same id", "fr", "c", 30),
+        (9, "x", "en", "a", 1),
+    ]
+    extra = len(CLASHING.split(","))
+    return spark.createDataFrame([(*row, *["z"] * extra) for row in rows], f"{DOCUMENT}, {CLASHING}")
+
+
+@pytest.fixture(scope="session")
+def no_documents(spark):
+    return spark.createDataFrame([], f"{DOCUMENT}, {CLASHING}")
+
+
+def rows_of(frame, *columns):
+    return sorted(
+        (tuple(row) for row in frame.select(*columns).collect()),
+        key=lambda row: [(value is None, str(value)) for value in row],
+    )

@@ -1,0 +1,100 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import xxhash
+
+from scorelane.llm.components import components
+from scorelane.llm.simhash import bucket_links, fingerprint, links, near_groups, pivots
+
+
+def by_rule(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def classes(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def close(prints, bits=4):
+    return [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= bits]
+
+
+def test_fingerprints():
+    for text in (None, "", " \n", "one", "One TWO three", "É a B c d", "a b c d a b c d a", "wörd " * 50):
+        assert fingerprint(text) == by_rule(text)
+
+
+def near_prints(count, seed):
+    """Fingerprints around a few centres, some of them just within or beyond four bits."""
+    chance = random.Random(seed)
+    found = set()
+    for _ in range(count // 20):
+        centre = chance.getrandbits(64)
+        for _ in range(20):
+            found.add(centre ^ sum(1 << b for b in chance.sample(range(64), chance.randrange(7))))
+    return sorted(found)
+
+
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_links_join_what_is_close(spark):
+    prints = near_prints(400, 1)
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links(frame).collect()]
+    assert all((a ^ b).bit_count() for a, b in found)
+    assert classes(found, prints) == classes(close(prints), prints)
+
+
+def test_a_bucket_of_many_near_prints():
+    prints = np.array(near_prints(300, 2), np.uint64)
+    found = [(int(prints[a]), int(prints[b])) for a, b in bucket_links(prints, pivots(16), 4)]
+    listed = prints.tolist()
+    assert classes(found, listed) == classes(close(listed), listed)
+    assert len(found) < len(listed)
+
+
+def test_components_of_chains_and_stars(spark):
+    chance = random.Random(3)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(7, 7)]
+    pairs += [(200 + chance.randrange(40), 200 + chance.randrange(40)) for _ in range(30)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    nodes = sorted({n for a, b in pairs if a != b for n in (a, b)})
+    assert {r.node: r.root for r in components(frame).collect()} == classes(pairs, nodes)
+
+
+def test_groups_of_odd_documents(odd_documents):
+    rows = odd_documents.collect()
+    found = near_groups(odd_documents).collect()
+    prints = sorted({by_rule(r.text) for r in rows})
+    roots = classes(close(prints), prints)
+    least = {}
+    for r in rows:
+        root = roots[by_rule(r.text)]
+        if r.doc_id is not None:
+            least[root] = min(least.get(root, r.doc_id), r.doc_id)
+    assert Counter((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in found) == Counter(
+        (r.doc_id, by_rule(r.text), least.get(roots[by_rule(r.text)])) for r in rows
+    )
+    assert sum(r.kept for r in found) == len(set(roots.values()))
+
+
+def test_no_documents(no_documents):
+    assert near_groups(no_documents).count() == 0
