@@ -210,7 +210,7 @@ def _first_of_equals(rows: DataFrame, k: int) -> DataFrame:
 
 def search(
     vectors: DataFrame,
-    is_query: Column,
+    is_query: Column | str,
     k: int = NEAREST,
     dimensions: int = DIMENSIONS,
     confidence: float = CONFIDENCE,
