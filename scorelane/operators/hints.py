@@ -43,6 +43,31 @@ def attach_hints(
     return joined.withColumn("hint", F.coalesce("hint", F.lit(default)))
 
 
+def hint_match_rate(
+    responses: DataFrame,
+    hints: DataFrame,
+    keys: Sequence[str] = HINT_KEYS,
+    by: Sequence[str] = ("dataset", "split"),
+) -> DataFrame:
+    """Per dataset and split: responses, those that have a hint, and their part. Only keys are read."""
+    known = hints.select(*keys).distinct().withColumn("_hinted", F.lit(1))
+    matched = responses.select(*dict.fromkeys([*keys, *by])).join(known, list(keys), "left")
+    return (
+        matched.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("responses"), F.count("_hinted").alias("hinted"))
+        .withColumn("rate", F.col("hinted") / F.col("responses"))
+    )
+
+
+def require_match(
+    responses: DataFrame, hints: DataFrame, keys: Sequence[str] = HINT_KEYS
+) -> DataFrame:
+    """``responses``, if any of them has a hint; a set of hints that fits none is a mistake."""
+    if responses.select(*keys).join(hints.select(*keys), list(keys), "left_semi").isEmpty():
+        raise ValueError(f"no hint fits a response by {list(keys)}")
+    return responses
+
+
 def without_hint(
     responses: DataFrame, hints: DataFrame, keys: Sequence[str] = HINT_KEYS
 ) -> DataFrame:
@@ -66,6 +91,14 @@ def zip_results(
 
 
 def catalogue_lookup(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Rows with the path, form and audio column of their dataset's run."""
-    entry = catalogue.select("dataset", "binary_preds_path", "form_id", "audio_column")
-    return rows.join(entry, "dataset")
+    """Rows with the path, form and audio column of their dataset's run.
+
+    A dataset that the catalogue does not list fails the job.
+    """
+    entry = catalogue.select(
+        F.col("dataset").alias("_dataset"), "binary_preds_path", "form_id", "audio_column"
+    )
+    joined = rows.join(entry, F.col("dataset").eqNullSafe(F.col("_dataset")) & F.col("dataset").isNotNull(), "left")
+    missing = F.raise_error(F.concat(F.lit("no catalogue entry for dataset "), F.coalesce("dataset", F.lit("null"))))
+    listed = F.when(F.col("_dataset").isNotNull(), True).otherwise(missing.cast("boolean"))
+    return joined.where(listed).drop("_dataset")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 20
-FEW_ROWS = 1000
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def with_position(
@@ -16,11 +16,15 @@ def with_position(
     key: str,
     within: Sequence[str] = (),
     bucket_bits: int = BUCKET_BITS,
+    ties: Sequence[str] = (),
+    first: int | None = None,
 ) -> DataFrame:
     """Add ``position`` (0, 1, ... in the order of ``key``) and ``total`` per dataset.
 
-    ``key`` is an integer without nulls, unique within its dataset. No dataset
-    is ever sorted in one task: the key range is cut into buckets of at most
+    ``key`` is an integer without nulls, unique within its dataset or made so by
+    ``ties``. Only rows before position ``first`` are kept, if it is given: buckets
+    that start behind it go before anything is numbered. No dataset is ever sorted
+    in one task: the key range is cut into buckets of at most
     ``2**bucket_bits`` keys, and the buckets into blocks of as many buckets.
     Rows are numbered inside their bucket, buckets are summed up inside their
     block, and only one row per block is brought together per dataset.
@@ -29,6 +33,8 @@ def with_position(
     null dataset are numbered too. Numbering and join share its partitioning:
     the rows are shuffled once.
     """
+    if dict(rows.dtypes)[key] not in INTEGERS:
+        raise ValueError(f"rows are numbered by an integer key, and {key} is {dict(rows.dtypes)[key]}")
     bucket = F.shiftright(F.col(key), bucket_bits)
     block = F.shiftright(F.col("_bucket.bucket"), bucket_bits)
     buckets = (
@@ -54,14 +60,16 @@ def with_position(
     starts = buckets.join(blocks, "_block").select(
         "_bucket", (F.col("_block_start") + in_block).alias("_start"), "total"
     )
-    own_bucket = Window.partitionBy("_bucket").orderBy(key)
-    numbered = rows.withColumn(
-        "_bucket", F.struct(*within, bucket.alias("bucket"))
-    ).withColumn("_number", F.row_number().over(own_bucket) - 1)
-    placed = numbered.join(starts, "_bucket")
-    return placed.withColumn("position", F.col("_start") + F.col("_number")).select(
-        *rows.columns, "position", "total"
-    )
+    own_bucket = Window.partitionBy("_bucket").orderBy(key, *ties)
+    kept = rows.withColumn("_bucket", F.struct(*within, bucket.alias("bucket")))
+    if first is not None:
+        starts = starts.where(F.col("_start") < first)
+        kept = kept.join(starts.select("_bucket"), "_bucket", "left_semi")
+    numbered = kept.withColumn("_number", F.row_number().over(own_bucket) - 1)
+    placed = numbered.join(starts, "_bucket").withColumn("position", F.col("_start") + F.col("_number"))
+    if first is not None:
+        placed = first_rows(placed, first)
+    return placed.select(*rows.columns, "position", "total")
 
 
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -72,16 +80,10 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
 def take_first(rows: DataFrame, key: str, n: int, within: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows of each dataset in the order of ``key``, with their position.
 
-    For a small ``n`` each task passes on its own first ``n`` rows only, so a
-    dataset of any size comes down to a few rows before they are shuffled. Spark
-    does that up to a thousand rows; beyond, all rows are numbered.
+    There is one way for every ``n``: keys are counted by bucket, buckets that
+    start behind the ``n``-th row are left out, and the rest is numbered.
     """
-    if n > FEW_ROWS:
-        return first_rows(with_position(rows, key, within), n).drop("total")
-    order = Window.partitionBy(*within).orderBy(key)
-    numbered = rows.withColumn("_number", F.row_number().over(order)).where(F.col("_number") <= n)
-    position = (F.col("_number") - 1).cast("bigint")
-    return numbered.withColumn("position", position).drop("_number")
+    return with_position(rows, key, within, first=n).drop("total")
 
 
 def whole_part(dividend: Column, divisor: Column | int) -> Column:

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from scorelane.functions.pairs import grade_to_pair, pair_text
 from scorelane.functions.text import add_suffix
 from scorelane.operators.hints import HINT_KEYS, attach_hints
-from scorelane.operators.position import whole_part
+from scorelane.operators.position import whole_part, with_position
 from scorelane.schemas import AUDIO_MARKER
 from scorelane.sources.responses import optional_question, require_columns
 
 HINT_PLACE = "{hint}"
 EXAMPLES_PLACE = "{examples}"
 VARIANTS = ("audio_first", "question_first", "no_question", "single", "one_line")
-PART_MESSAGES = 256
 
 # The wording is ours; callers whose model was trained on other words pass their own.
 SCORE_RUBRIC = (
@@ -86,23 +85,25 @@ def chat_prompt(content: Column) -> Column:
 
 
 def chat_templates(
-    messages: DataFrame, key: str = "conv_id", turn: str = "turn", part_messages: int = PART_MESSAGES
+    messages: DataFrame, part_messages: int, key: str = "conv_id", turn: str = "turn"
 ) -> DataFrame:
     """Whole conversations as prompts: ``key``, ``part``, ``prompt``.
 
-    A conversation of up to ``part_messages`` turns is one row. A longer one is
-    several parts, to be read in their order, so that no task ever gathers a
-    conversation of any length. The assistant's opening closes the last part.
+    Messages are numbered in the order of their turn, those of one turn in that of
+    role and text. Each ``part_messages`` of them are a part, and parts are to be
+    read in their order, so no task gathers a conversation of any length, also if
+    turn numbers repeat. The assistant's opening closes the last part.
     """
-    shown = messages.select(key, turn, chat_message(F.col("role"), F.col("text")).alias("shown"))
-    opening = messages.groupBy(key).agg(
-        F.max(turn).alias(turn), F.lit(ASSISTANT_START).alias("shown")
+    if part_messages < 1:
+        raise ValueError("a part holds at least one message")
+    placed = with_position(messages.select(key, turn, "role", "text"), turn, [key], ties=["role", "text"])
+    last = F.col("position") == F.col("total") - 1
+    shown = F.concat(
+        chat_message(F.col("role"), F.col("text")), F.when(last, ASSISTANT_START).otherwise("")
     )
-    part = whole_part(F.col(turn), part_messages)
-    # the opening shares the last turn's number, so that it falls in the last part
-    pieces = shown.withColumn("_last", F.lit(0)).unionByName(opening.withColumn("_last", F.lit(1)))
-    gathered = pieces.groupBy(key, part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct(turn, "_last", "shown"))).alias("_pieces")
+    part = whole_part(F.col("position"), part_messages)
+    gathered = placed.groupBy(key, part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("position", shown.alias("shown")))).alias("_pieces")
     )
     text = F.array_join(F.transform("_pieces", lambda piece: piece["shown"]), "")
     return gathered.select(key, "part", text.alias("prompt"))

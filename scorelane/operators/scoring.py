@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from types import ModuleType
 
 import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
+import pyarrow as pa
+from pyspark.cloudpickle import dumps, register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -20,16 +22,24 @@ ScorerFactory = Callable[[], Scorer]
 register_pickle_by_value(scorelane)
 
 
-def _scorer(name: str, factory: ScorerFactory) -> Scorer:
+def _scorer(key: str, factory: ScorerFactory) -> Scorer:
     """The scorer, loaded once per Python worker.
 
     Spark keeps workers between tasks. Functions that travel bring their own
-    globals each time, so the models are kept in a module of the worker's.
+    globals each time, so the model is kept in a module of the worker's. There is
+    one at a time: a second model, as in a cascade, takes the place of the first.
     """
-    loaded = vars(sys.modules.setdefault("scorelane_models", ModuleType("scorelane_models")))
-    if name not in loaded:
-        loaded[name] = factory()
-    return loaded[name]
+    held = sys.modules.setdefault("scorelane_models", ModuleType("scorelane_models"))
+    if getattr(held, "key", None) != key:
+        held.key = held.scorer = None
+        held.scorer = factory()
+        held.key = key
+    return held.scorer
+
+
+def factory_digest(factory: ScorerFactory) -> str:
+    """What tells factories apart: a digest of their code and what they carry along."""
+    return hashlib.sha256(dumps(factory)).hexdigest()
 
 
 def score_batches(
@@ -40,15 +50,17 @@ def score_batches(
     keep: Sequence[str],
     batch_size: int = 4,
     output: str = "prediction",
+    arrow: bool = False,
 ) -> DataFrame:
     """Run a scorer over ``inputs``, ``batch_size`` rows at a time, and keep ``keep``.
 
-    Only the named columns are sent to Python. ``name`` stands for the model:
-    it tells workers which loaded model to use again, so every distinct model
-    needs its own. A plan that is used twice scores twice: write the result
-    first. There are as many tasks as ``rows`` has partitions: where rows are few
-    but dear, repartition them first. Rows with audio are large, so lower
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` to what a worker can hold.
+    Only the named columns are sent to Python. Workers load a model once, and tell
+    models apart by ``name`` and by their factory. A plan that is used twice scores
+    twice: write the result first. There are as many tasks as ``rows`` has
+    partitions: where rows are few but dear, repartition them first. Rows with audio
+    are large, so lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` to what a
+    worker can hold. With ``arrow`` a scorer gets Arrow tables instead of pandas
+    frames, which leaves nested arrays as they are.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
@@ -56,19 +68,35 @@ def score_batches(
     fields = [rows.schema[column] for column in keep]
     schema = T.StructType([*fields, T.StructField(output, T.StringType())])
     kept, used = list(keep), list(inputs)
+    key = f"{name}:{factory_digest(factory)}"
+
+    def checked(answers: Sequence[str], count: int) -> list[str]:
+        answers = list(answers)
+        if len(answers) != count:
+            raise ValueError(f"{len(answers)} answers for {count} rows")
+        return answers
+
+    def run_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(key, factory)
+        for batch in batches:
+            sent = pa.Table.from_batches([batch])
+            asked, texts = sent.select(used), []
+            for start in range(0, batch.num_rows, batch_size):
+                part = asked.slice(start, batch_size)
+                texts.extend(checked(scorer(part), part.num_rows))
+            answered = sent.select(kept).append_column(output, pa.array(texts, pa.string()))
+            yield from answered.to_batches()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(name, factory)
+        scorer = _scorer(key, factory)
         for frame in frames:
             texts: list[str] = []
             for start in range(0, len(frame), batch_size):
                 batch = frame[used].iloc[start : start + batch_size]
-                answers = list(scorer(batch))
-                if len(answers) != len(batch):
-                    raise ValueError(f"{len(answers)} answers for {len(batch)} rows")
-                texts.extend(answers)
+                texts.extend(checked(scorer(batch), len(batch)))
             scored = frame[kept].copy()
             scored[output] = texts
             yield scored
 
-    return rows.select(*columns).mapInPandas(run, schema)
+    sent = rows.select(*columns)
+    return sent.mapInArrow(run_arrow, schema) if arrow else sent.mapInPandas(run, schema)

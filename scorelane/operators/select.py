@@ -20,9 +20,13 @@ def select_by(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def missing_from(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The wanted keys that no row has, each once."""
-    present = rows.select(key).distinct()
-    return wanted.select(key).distinct().join(present, key, "left_anti")
+    """The wanted keys that no row has, each once.
+
+    The rows come down to the wanted keys first, so no other key is gathered.
+    """
+    asked = wanted.select(key).distinct()
+    present = rows.select(key).join(asked, key, "left_semi").distinct()
+    return asked.join(present, key, "left_anti")
 
 
 def choose_samples(

@@ -1,5 +1,9 @@
 """Evaluating a model: examples, scoring, results and metrics.
 
+Results lie in a folder per model. Beside each lies a note of what made them: the
+model, the target and prompt, and a fingerprint of the examples. A run that finds
+a complete table goes on with it only if the note is its own.
+
 Joining hints to responses is the one step that could move audio. Keep large
 response sets in a table bucketed by their key (``write_bucketed``): then only
 the hints, a few bytes a row, are shuffled to them.
@@ -7,19 +11,30 @@ the hints, a few bytes a row, are shuffled to them.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelane.functions.text import base_name
-from scorelane.operators.hints import HINT_KEYS, hints_from_results
+from scorelane.functions.pairs import normalise_pair_text
+from scorelane.functions.text import remove_markers
+from scorelane.operators.hints import HINT_KEYS, hints_from_results, require_match
 from scorelane.operators.metrics import metrics
+from scorelane.operators.position import take_first
 from scorelane.operators.prompts import hint_examples, supervised_examples
-from scorelane.operators.scoring import ScorerFactory, score_batches
-from scorelane.plans.stages import stage
-from scorelane.sinks.results import catalogue_entries, hint_maps, write_catalogue, write_documents
+from scorelane.operators.scoring import ScorerFactory, factory_digest, score_batches
+from scorelane.plans.stages import fingerprint, stage
+from scorelane.sinks.results import (
+    catalogue_entries,
+    folder_name,
+    hint_maps,
+    write_catalogue,
+    write_documents,
+)
+from scorelane.sources.responses import require_rows
 
 
 @dataclass(frozen=True)
@@ -30,16 +45,60 @@ class Model:
     factory: ScorerFactory
     inputs: tuple[str, ...] = ("prompt_text", "audio")
     batch_size: int = 4
+    arrow: bool = False
+
+    @property
+    def folder(self) -> str:
+        """The model's name as a folder that no other name has."""
+        plain = re.sub(r"[^A-Za-z0-9.-]", "_", self.name)
+        return f"{plain}_{hashlib.md5(self.name.encode()).hexdigest()[:8]}"
 
 
 def score(examples: DataFrame, model: Model, keys: Sequence[str] = HINT_KEYS) -> DataFrame:
     """Predictions beside labels, by response."""
     keep = [*keys, "label"]
     return score_batches(
-        examples, model.name, model.factory, model.inputs, keep, model.batch_size
+        examples, model.name, model.factory, model.inputs, keep, model.batch_size, arrow=model.arrow
     )
 
 
+def score_answers(
+    examples: DataFrame, model: Model, target: str = "score", keys: Sequence[str] = HINT_KEYS
+) -> DataFrame:
+    """Single answers as they are shown: ``answer`` is the prediction without markers.
+
+    Pairs are normalised too. ``prediction`` stays as the model gave it.
+    """
+    cleaned = remove_markers(F.col("prediction"))
+    if target == "pair":
+        cleaned = normalise_pair_text(cleaned)
+    return score(examples, model, keys).withColumn("answer", cleaned)
+
+
+def ready(responses: DataFrame, limit: int | None, by: Sequence[str] = ("dataset", "split")) -> DataFrame:
+    """Responses to be scored: at least one, and at most ``limit`` of each dataset and split."""
+    require_rows(responses)
+    if limit is None:
+        return responses
+    return take_first(responses, "sample_id", limit, by).drop("position")
+
+
+def _identity(examples: DataFrame, model: Model, **how: str) -> dict[str, str]:
+    """What a stage is made by and from.
+
+    The examples' keys, labels and prompts are hashed, not their audio, which
+    would be read once more for it.
+    """
+    looked_at = [c for c in (*HINT_KEYS, "label", "prompt_text") if c in examples.columns]
+    return {
+        "model": model.name,
+        "scorer": factory_digest(model.factory),
+        "inputs": ",".join(model.inputs),
+        "examples": fingerprint(examples, looked_at),
+        **how,
+    }
+
+
 def evaluate(
     spark: SparkSession,
     responses: DataFrame,
@@ -49,18 +108,22 @@ def evaluate(
     metric: str = "both",
     by: Sequence[str] = ("dataset", "split"),
     reuse: bool = True,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Result rows, written at ``path``, and one row of metrics per dataset and split.
+    """Result rows, written in the model's folder below ``path``, and metrics per dataset and split.
 
-    All datasets go through one plan: there is no loop over a work list.
+    All datasets go through one plan: there is no loop over a work list. ``limit``
+    is the number of responses of each that are scored.
     """
     variant = "audio_first" if target == "score" else "question_first"
+    examples = supervised_examples(ready(responses, limit), target, variant)
     rows = stage(
         spark,
-        path,
-        lambda: score(supervised_examples(responses, target, variant), model),
+        f"{path}/{model.folder}",
+        lambda: score(examples, model),
         partitions=by,
         reuse=reuse,
+        identity=_identity(examples, model, target=target, variant=variant) if reuse else None,
     )
     return rows, metrics(rows, by, mode=target, metric=metric)
 
@@ -72,17 +135,18 @@ def evaluate_with_catalogue(
     path: str,
     form_id: Column,
     audio_column: str,
+    slice_rows: int,
     reuse: bool = True,
 ) -> DataFrame:
     """Run a pass/fail model over all datasets of a split, and return its metrics.
 
     Leaves results, prediction maps and the catalogue below ``path``. Maps lie
-    in a folder per dataset, which the catalogue names. Forms follow from
-    ``form_id``, an expression over ``dataset``.
+    in a folder per dataset, which the catalogue names, ``slice_rows`` ids each.
+    Forms follow from ``form_id``, an expression over ``dataset``.
     """
-    by, folder = ["dataset"], base_name(F.col("dataset"))
+    by, folder = ["dataset"], folder_name(F.col("dataset"))
     rows, _ = evaluate(spark, responses, model, f"{path}/results", "pair", "binary", reuse=reuse)
-    maps = hint_maps(hints_from_results(rows), audio_column, form_id, by)
+    maps = hint_maps(hints_from_results(rows), audio_column, slice_rows, form_id, by)
     write_documents(maps.withColumn("folder", folder), f"{path}/preds", ["folder"])
     wide = metrics(rows, by, mode="pair", metric="binary")
     location = F.concat(F.lit(f"{path}/preds/folder="), folder)
@@ -101,19 +165,25 @@ def cascade(
     by: Sequence[str] = ("dataset", "split"),
     strict: bool = False,
     reuse: bool = True,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Pass or fail first, then a score that is guided by it.
 
     The first stage is written before the second reads it as hints, and the
-    second before its metrics are taken, so each model runs once.
+    second before its metrics are taken, so each model runs once. Where no hint
+    fits a response the job fails. Responses in a table bucketed by their key
+    (``write_bucketed``) stay where they are in both stages.
     """
+    responses = ready(responses, limit)
     first_rows, _ = evaluate(spark, responses, first, f"{path}/first", "pair", "binary", by, reuse)
     hints = hints_from_results(first_rows, strict)
+    examples = hint_examples(require_match(responses, hints), hints, variant="no_question")
     rows = stage(
         spark,
-        f"{path}/second",
-        lambda: score(hint_examples(responses, hints, variant="no_question"), second),
+        f"{path}/second/{second.folder}",
+        lambda: score(examples, second),
         partitions=by,
         reuse=reuse,
+        identity=_identity(examples, second, first=first.name) if reuse else None,
     )
     return rows, metrics(rows, by, metric=metric)

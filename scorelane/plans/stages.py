@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorelane.session import is_complete
 
 
+def fingerprint(rows: DataFrame, columns: Sequence[str]) -> str:
+    """A number of rows and an order-free sum of their hashes over ``columns``."""
+    hashed = F.xxhash64(*columns).cast("decimal(38,0)")
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hashed), F.lit(0)).alias("h")).first()
+    return f"{found['n']}:{found['h']}"
+
+
+def _same_build(spark: SparkSession, path: str, identity: Mapping[str, str]) -> None:
+    """Fail unless the stage at ``path`` was made by this build from this input."""
+    noted = f"{path.rstrip('/')}.identity"
+    known = spark.read.text(noted).first()["value"] if is_complete(spark, noted) else "{}"
+    known = json.loads(known)
+    other = sorted(k for k in known.keys() | identity.keys() if known.get(k) != identity.get(k))
+    if other:
+        raise ValueError(
+            f"{path} was made by another build, which differs in {', '.join(other)}; "
+            "take another path, or reuse=False to write it anew"
+        )
+
+
 def stage(
     spark: SparkSession,
     path: str,
     build: Callable[[], DataFrame],
     partitions: Sequence[str] = (),
     reuse: bool = True,
+    identity: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """The table at ``path``, built and written there unless it is already complete.
 
+    ``identity`` says what the stage is made by and from. It is noted beside the
+    table, and a complete table with another one is refused, not taken.
+
     Reading it back cuts the lineage at a place every executor can reach, and
     keeps an expensive scorer from running twice. Tasks write what they have
     built without a shuffle, so a lost executor costs only its unfinished tasks.
     A half-written folder has no success marker and is built again.
     """
     frame = build()
-    if not (reuse and is_complete(spark, path)):
+    identity = dict(identity or {})
+    if reuse and is_complete(spark, path):
+        _same_build(spark, path, identity)
+    else:
+        note = spark.createDataFrame([(json.dumps(identity, sort_keys=True),)], "value string")
+        note.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.identity")
         frame.write.mode("overwrite").partitionBy(*partitions).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -38,6 +42,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/scorelane/{name}-{uuid.uuid4().hex}"
 
 
+def few(frame: DataFrame, name: str = "few", rows: int = 100_000) -> DataFrame:
+    """An aggregate that is small as a rule: written, read back, and broadcast if it is small indeed.
+
+    Spark takes an aggregate to be as large as its input, and would shuffle what it
+    is joined to. Of the written table it knows the size, and so do we.
+    """
+    path = work_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    kept = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """That two tables agree in ``keys``, where null is a value like any other."""
+    return reduce(and_, (left[key].eqNullSafe(right[key]) for key in keys))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whatever file system its scheme names."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

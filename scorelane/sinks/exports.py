@@ -21,10 +21,16 @@ OPTIONAL_LINES = {
 def export_name(
     sample_id: Column, file_name: Column, score: Column, speaker: Column | None = None
 ) -> Column:
+    """The name of an exported sample; what is null is left out of it."""
+
+    def part(name: str, value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(name), value.cast("string")), F.lit(""))
+
     base = F.replace(base_name(file_name), F.lit(".wav"), F.lit(""))
-    who = [] if speaker is None else [F.lit("_speaker_"), speaker.cast("string")]
-    parts = [sample_id.cast("string"), *who, F.lit("_"), base, F.lit("_score_")]
-    return F.concat(*parts, score.cast("string"), F.lit(".wav"))
+    who = F.lit("") if speaker is None else part("_speaker_", speaker)
+    return F.concat(
+        sample_id.cast("string"), who, F.lit("_"), base, part("_score_", score), F.lit(".wav")
+    )
 
 
 def _line(name: str, value: Column, unit: str = "") -> Column:

@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.session import path_exists
+from scorelane.session import few, path_exists, same
 
 
 def restored_rows(rows: DataFrame, revision: int, by: Sequence[str] = ("dataset",)) -> DataFrame:
-    """The rows of ``revision`` under the number after each dataset's newest."""
-    newest = rows.groupBy(*by).agg((F.max("revision") + 1).alias("_next"))
+    """The rows of ``revision`` under the number after each dataset's newest.
+
+    The newest revisions are written first: their size is known then, and old rows
+    are not shuffled by the few datasets there are. A null dataset is one like others.
+    """
+    newest = few(rows.groupBy(*by).agg((F.max("revision") + 1).alias("_next")), "newest")
     old = rows.where(F.col("revision") == revision)
-    return old.join(newest, list(by)).withColumn("revision", F.col("_next")).drop("_next")
+    joined = old.join(newest, same(old, newest, by)).drop(*(newest[key] for key in by))
+    return joined.withColumn("revision", F.col("_next")).drop("_next").select(*rows.columns)
 
 
 def restore_revision(

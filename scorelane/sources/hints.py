@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelane.functions.text import read_result_name
 from scorelane.schemas import CATALOGUE, HINT_MAP
 from scorelane.session import path_exists
 
 
 def read_hint_maps(
-    spark: SparkSession, path: str, on_missing: str = "error", multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    on_missing: str = "error",
+    multi_line: bool = True,
+    dataset: str | None = None,
+    split: str | None = None,
+    datasets: Sequence[str] = (),
+    splits: Sequence[str] = (),
 ) -> DataFrame:
     """Prediction maps, one row per document.
 
+    Maps made elsewhere do not say what they are of. ``dataset`` and ``split`` name
+    it for all of them; else it is looked for in their file names, where ``datasets``
+    and ``splits`` are the names that there may be.
+
     A missing or damaged map fails the job. With ``on_missing="empty"`` it is an
     empty one instead, with which responses get the default hint text.
     """
@@ -22,7 +36,13 @@ def read_hint_maps(
     if on_missing == "empty" and not path_exists(spark, path):
         return spark.createDataFrame([], HINT_MAP)
     mode = "FAILFAST" if on_missing == "error" else "PERMISSIVE"
-    return spark.read.schema(HINT_MAP).json(path, multiLine=multi_line, mode=mode)
+    maps = spark.read.schema(HINT_MAP).json(path, multiLine=multi_line, mode=mode)
+    named = {"dataset": F.lit(dataset), "split": F.lit(split)}
+    if datasets and splits:
+        found = read_result_name(F.col("_metadata.file_path"), datasets, splits)
+        named = {name: F.coalesce(value, found[name]) for name, value in named.items()}
+    kept = [F.coalesce(name, value).alias(name) for name, value in named.items()]
+    return maps.select(*kept, *(name for name in HINT_MAP.names if name not in named))
 
 
 def hint_rows(maps: DataFrame, *keep: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelane.schemas import AUDIO, RESPONSES
+from scorelane.session import few, same
 
 PARTITIONS = ("dataset", "split", "revision")
 
@@ -37,15 +38,35 @@ def load_responses(
 def as_of_revision(rows: DataFrame, revision: int, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """For each dataset, its newest revision that is not above ``revision``.
 
-    The aggregate holds one row per dataset and is combined before it is
-    shuffled, so a dataset with most of the rows costs no more than others.
+    The aggregate holds one row per dataset. It is written first, so that its size
+    is known and the rows stay where they are. A null dataset is one like others.
     """
-    current = (
+    current = few(
         rows.where(F.col("revision") <= revision)
         .groupBy(*by)
-        .agg(F.max("revision").alias("revision"))
+        .agg(F.max("revision").alias("revision")),
+        "revisions",
+    )
+    return rows.join(current, same(rows, current, [*by, "revision"]), "left_semi")
+
+
+def checked_columns(rows: DataFrame, names: Sequence[str], by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """A row per dataset: its number of rows, whether it is empty, and the columns it lacks.
+
+    A column that is null in all of a dataset's rows counts as lacking, as it is
+    where datasets of different columns were united.
+    """
+    held = [name for name in names if name in rows.columns]
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), *(F.count(name).alias(f"_{name}") for name in held)
+    )
+    lacking = [F.when(F.col(f"_{n}") == 0, F.lit(n)) if n in held else F.lit(n) for n in names]
+    return counts.select(
+        *by,
+        "rows",
+        (F.col("rows") == 0).alias("empty"),
+        F.array_join(F.array_compact(F.array(*lacking)), ",").alias("missing"),
     )
-    return rows.join(current, [*by, "revision"], "left_semi")
 
 
 def require_columns(rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -79,9 +100,10 @@ def union_datasets(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def audio_value(rows: DataFrame, column: str, fallback: str = "audio") -> Column:
-    """The audio of a row: the chosen column, else the fallback column.
+    """The audio of a row: the first value with samples, else the first with a path.
 
-    A column of paths becomes an audio value with a path and no samples.
+    The chosen column comes before the fallback column. A column of paths becomes
+    an audio value with a path and no samples.
     """
 
     def of(name: str) -> Column:
@@ -95,16 +117,23 @@ def audio_value(rows: DataFrame, column: str, fallback: str = "audio") -> Column
             return F.when(F.col(name).isNotNull(), path).otherwise(empty)
         return F.col(name).cast(AUDIO)
 
-    found = [of(name) for name in (column, fallback) if name in rows.columns]
-    return F.coalesce(*found) if found else F.lit(None).cast(AUDIO)
+    found = [of(name) for name in dict.fromkeys((column, fallback)) if name in rows.columns]
+    if not found:
+        return F.lit(None).cast(AUDIO)
+    sampled = [F.when(has_samples(value), value) for value in found]
+    placed = [F.when(value["path"].isNotNull(), value) for value in found]
+    return F.coalesce(*sampled, *placed, *found)
+
+
+def has_samples(audio: Column) -> Column:
+    return audio["array"].isNotNull() & audio["sampling_rate"].isNotNull()
 
 
 def audio_origin(audio: Column) -> Column:
     """Where the samples of an audio value come from."""
-    has_samples = audio["array"].isNotNull() & audio["sampling_rate"].isNotNull()
     return (
         F.when(audio.isNull(), "none")
-        .when(has_samples, "array")
+        .when(has_samples(audio), "array")
         .when(audio["path"].isNotNull(), "path")
         .otherwise("none")
     )

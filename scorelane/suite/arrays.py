@@ -25,61 +25,68 @@ from scorelane.suite.registry import query
 BATCH = 8
 
 BATCHED = f"""WITH {sql.TOKENS}, placed AS (
-  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sample_id) - 1 AS position FROM tokens
+  SELECT *, list_concat(prompt_ids, answer_ids) AS ids,
+    row_number() OVER (PARTITION BY dataset ORDER BY sample_id) - 1 AS position FROM tokens
 ), batched AS (
   SELECT *, position // {BATCH} AS batch,
-    max(len(prompt_ids)) OVER (PARTITION BY dataset, position // {BATCH}) AS width,
+    max(len(ids)) OVER (PARTITION BY dataset, position // {BATCH}) AS width,
     count(*) OVER (PARTITION BY dataset, position // {BATCH}) AS batch_rows
   FROM placed
 )"""
 
 
 def _batched(spark: SparkSession, folder: str) -> DataFrame:
-    placed = with_position(data.token_rows(spark, folder), "sample_id", ["dataset"])
-    return with_batch_width(placed, "prompt_ids", BATCH, ["dataset"])
+    """Whole texts as ids, prompt and answer together, with the width of their batch."""
+    rows = data.token_rows(spark, folder).select(
+        "sample_id", "dataset", training_ids(F.col("prompt_ids"), F.col("answer_ids")).alias("ids")
+    )
+    return with_batch_width(with_position(rows, "sample_id", ["dataset"]), "ids", BATCH, ["dataset"])
+
+
+def _joined(arrays: str) -> str:
+    return f"md5(array_to_string({arrays}, ','))"
 
 
 @query(
     f"""{BATCHED}, padded AS (
-  SELECT *, list_concat(list_transform(range(width - len(prompt_ids)), lambda i: 0::BIGINT),
-      prompt_ids) AS l,
-    list_concat(prompt_ids,
-      list_transform(range(width - len(prompt_ids)), lambda i: 0::BIGINT)) AS r
+  SELECT *, list_concat(list_transform(range(width - len(ids)), lambda i: 0::BIGINT), ids) AS l,
+    list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0::BIGINT)) AS r
   FROM batched
 )
-SELECT sample_id, CAST(width AS BIGINT) AS width, array_to_string(l, ',') AS left_padded,
-  array_to_string(r, ',') AS right_padded,
-  array_to_string(list_transform(l, lambda x: CAST(x <> 0 AS INTEGER)), ',') AS attention
+SELECT sample_id, CAST(width AS BIGINT) AS width, {_joined('l')} AS left_padded,
+  {_joined('r')} AS right_padded, CAST(list_sum(l) AS BIGINT) AS held,
+  {_joined('list_transform(l, lambda x: CAST(x <> 0 AS INTEGER))')} AS attention
 FROM padded"""
 )
 def padded_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompt ids padded to the longest of their batch, on either side, with their mask."""
-    ids, width = F.col("prompt_ids"), F.col("width")
-    return _batched(spark, folder).select(
+    """Whole texts padded to the longest of their batch, on either side, with their mask."""
+    ids, width = F.col("ids"), F.col("width")
+    padded = _batched(spark, folder).withColumn("left", pad_ids(ids, width, "left"))
+    return padded.select(
         "sample_id",
         width.cast("bigint").alias("width"),
-        ids_text(pad_ids(ids, width, "left")).alias("left_padded"),
-        ids_text(pad_ids(ids, width, "right")).alias("right_padded"),
-        ids_text(attention_mask(pad_ids(ids, width, "left"))).alias("attention"),
+        F.md5(ids_text(F.col("left"))).alias("left_padded"),
+        F.md5(ids_text(pad_ids(ids, width, "right"))).alias("right_padded"),
+        F.aggregate("left", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("held"),
+        F.md5(ids_text(attention_mask(F.col("left")))).alias("attention"),
     )
 
 
 @query(
     f"""{BATCHED}
-SELECT sample_id, batch, batch_rows, CASE WHEN batch_rows > 1 THEN
-  array_to_string(list_transform(range(width),
-    lambda i: CASE WHEN i < len(prompt_ids) THEN 1 ELSE 0 END), ',') END AS mask
+SELECT sample_id, batch, batch_rows, len(ids) AS own, CASE WHEN batch_rows > 1 THEN
+  md5(array_to_string(list_transform(range(width),
+    lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',')) END AS mask
 FROM batched"""
 )
 def length_masks(spark: SparkSession, folder: str) -> DataFrame:
     """Which part of a padded row is its own; there is no mask in a batch of one."""
-    mask = length_mask(F.size("prompt_ids"), F.col("width"))
-    shown = F.when(F.col("batch_rows") > 1, ids_text(F.transform(mask, lambda x: x.cast("int"))))
-    return _batched(spark, folder).select("sample_id", "batch", "batch_rows", shown.alias("mask"))
-
-
-def _joined(arrays: str) -> str:
-    return f"md5(array_to_string({arrays}, ','))"
+    own = F.size("ids")
+    mask = ids_text(F.transform(length_mask(own, F.col("width")), lambda x: x.cast("int")))
+    shown = F.when(F.col("batch_rows") > 1, F.md5(mask))
+    return _batched(spark, folder).select(
+        "sample_id", "batch", "batch_rows", own.cast("bigint").alias("own"), shown.alias("mask")
+    )
 
 
 @query(
@@ -158,11 +165,11 @@ _PADDED_FRAMES = """list_concat(
 
 @query(
     f"""WITH {sql.FRAMES}
-SELECT sample_id, {_frames_sql(_PADDED_FRAMES.format(columns='9', rows='9'))} AS padded FROM frames"""
+SELECT sample_id, {_frames_sql(_PADDED_FRAMES.format(columns='8', rows='22'))} AS padded FROM frames"""
 )
 def padded_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Ragged audio frames brought to nine by nine."""
-    padded = pad_frames(F.col("frames"), F.lit(9), F.lit(9))
+    """Ragged audio frames brought to 22 frames of eight values; there are no more than that."""
+    padded = pad_frames(F.col("frames"), F.lit(22), F.lit(8))
     return data.audio_frames(spark, folder).select("sample_id", _frames_text(padded).alias("padded"))
 
 

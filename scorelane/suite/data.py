@@ -129,19 +129,22 @@ def token_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audio_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight frames of eight values per vector; only positive values, and frames that start so."""
-    rows = F.transform(
-        F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8))
+    """All values of a vector in frames whose length, 3 to 8, follows from the id; the last is short."""
+    width = (F.lit(3) + F.col("vec_id") % 6).cast("int")
+    count = F.ceil(F.size("embedding") / width).cast("int")
+    frames = F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.slice("embedding", i * width + 1, width)
     )
-    started = F.filter(rows, lambda frame: frame[0] > 0)
-    ragged = F.transform(started, lambda frame: F.filter(frame, lambda x: x > 0))
     return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), "label", ragged.alias("frames")
+        F.col("vec_id").alias("sample_id"), "label", frames.alias("frames")
     )
 
 
 def audio_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples whose audio lies in one of two columns, is a mere path, or is missing."""
+    """Samples whose audio lies in one of two columns, is a mere path, or is missing.
+
+    ``clip`` is another column, of paths as texts. Some speakers are not known.
+    """
     path = F.concat(F.lit("clips/a_"), F.col("vec_id"), F.lit(".wav"))
 
     def audio(samples: Column, path: Column) -> Column:
@@ -151,15 +154,16 @@ def audio_rows(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     nothing = F.lit(None)
-    group = F.col("vec_id") % 5
+    group = F.col("vec_id") % 7
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("sample_id"),
-        F.col("label").cast("bigint").alias("speaker_id"),
+        F.when(group != 6, F.col("label").cast("bigint")).alias("speaker_id"),
         (F.lit(1.0) + (F.col("vec_id") % 9) / 2).alias("grade"),
-        F.when(group.isin(0, 1), audio(F.col("embedding"), path))
-        .when(group == 2, audio(nothing.cast("array<float>"), path))
+        F.when(group.isin(0, 1, 6), audio(F.col("embedding"), path))
+        .when(group.isin(2, 5), audio(nothing.cast("array<float>"), path))
         .alias("wav_path"),
-        F.when(group.isin(1, 3), audio(F.col("embedding"), nothing.cast("string"))).alias("audio"),
+        F.when(group.isin(1, 3, 5), audio(F.col("embedding"), nothing.cast("string"))).alias("audio"),
+        F.when(group.isin(0, 2, 5), path).alias("clip"),
         F.concat(F.lit("topic "), F.col("label")).alias("prompt"),
         F.when(F.col("label") > 1, "en").alias("language"),
     )

@@ -10,9 +10,17 @@ from scorelane.operators.metrics import metrics
 from scorelane.operators.position import take_first, with_position
 from scorelane.operators.prompts import supervised_examples
 from scorelane.plans.conversion import convert_results
-from scorelane.plans.evaluation import Model, cascade, evaluate, evaluate_with_catalogue, score
+from scorelane.plans.evaluation import (
+    Model,
+    cascade,
+    evaluate,
+    evaluate_with_catalogue,
+    ready,
+    score,
+    score_answers,
+)
 from scorelane.plans.export import export_samples, write_manifest
-from scorelane.plans.stages import stage
+from scorelane.plans.stages import fingerprint, stage
 from scorelane.session import is_complete, work_path
 from scorelane.sinks.results import result_documents, write_documents
 from scorelane.sources.hints import hint_rows, read_catalogue, read_hint_maps
@@ -55,9 +63,22 @@ def plain_rule():
     return answer
 
 
+def low_rule():
+    """Answers with 1.0 whatever it is asked."""
+    return lambda batch: ["1.0"] * len(batch)
+
+
+def marked_rule():
+    """Answers like the plain rule, with a stop marker behind."""
+    plain = plain_rule()
+    return lambda batch: [text + "<|end|>" for text in plain(batch)]
+
+
 FIRST = Model("suite/pass-fail", pass_fail_rule, ("prompt_text", "tenths"), 1024)
 SECOND = Model("suite/guided", guided_rule, ("prompt_text", "tenths"), 1024)
 PLAIN = Model("suite/plain", plain_rule, ("prompt_text", "tenths"), 1024)
+LOW = Model("suite/low", low_rule, ("prompt_text",), 1024)
+MARKED = Model("suite/marked", marked_rule, ("prompt_text", "tenths"), 1)
 
 FIRST_SQL = """printf('%d,0.%d', CASE WHEN tenths >= 40 THEN 1 ELSE 0 END, 60 + tenths % 10)"""
 
@@ -151,19 +172,58 @@ def cascade_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {sql.PARSED_SCORES}
-SELECT dataset, {sql.SCORE_METRICS}, count(*) AS num_samples, true AS complete, true AS reused
+SELECT dataset, {sql.SCORE_METRICS}, count(*) AS num_samples, true AS complete, true AS refused
 FROM parsed GROUP BY dataset"""
 )
 def resumed_stage(spark: SparkSession, folder: str) -> DataFrame:
-    """A stage that is complete is read; what would be built instead is not."""
+    """A complete stage of the same build is read again; another build at its place is refused."""
     path = work_path(spark, "stage")
     rows = data.score_results(spark, folder).select("dataset", "prediction", "label")
-    stage(spark, path, lambda: rows, ["dataset"])
+    own = {"model": "near", "rows": fingerprint(rows, rows.columns)}
+    stage(spark, path, lambda: rows, ["dataset"], identity=own)
+    again = stage(spark, path, lambda: rows, ["dataset"], identity=own)
     other = rows.withColumn("prediction", F.lit("built again"))
-    again = stage(spark, path, lambda: other, ["dataset"])
-    reused = F.lit(True) & (F.col("num_samples") > 0) & (F.col("accuracy") > 0)
-    complete = F.lit(is_complete(spark, path))
-    return metrics(again, ["dataset"]).withColumns({"complete": complete, "reused": reused})
+    changed = {"model": "near", "rows": fingerprint(other, other.columns)}
+    try:
+        stage(spark, path, lambda: other, ["dataset"], identity=changed)
+        refused = False
+    except ValueError:
+        refused = True
+    flags = {"complete": F.lit(is_complete(spark, path)), "refused": F.lit(refused)}
+    return metrics(again, ["dataset"]).withColumns(flags)
+
+
+@query(
+    f"""WITH {PLAIN_ROWS}, both_models AS (
+  SELECT 'suite/plain' AS model, dataset, split, grade AS t, {sql.score('prediction')} AS g FROM answered
+  UNION ALL
+  SELECT 'suite/low', dataset, split, grade, 1.0::DOUBLE FROM answered
+)
+SELECT model, dataset, split, {sql.SCORE_METRICS}, count(*) AS num_samples
+FROM both_models GROUP BY model, dataset, split"""
+)
+def evaluation_of_two_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Two models under one root, one of them twice: each has its own results."""
+    path = work_path(spark, "evaluation")
+    responses = data.responses(spark, folder)
+    found = []
+    for model in (PLAIN, LOW, PLAIN):
+        _, wide = evaluate(spark, responses, model, path)
+        found.append(wide.withColumn("model", F.lit(model.name)))
+    return found[1].unionByName(found[2])
+
+
+@query(
+    f"""WITH {PLAIN_ROWS}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) AS n FROM answered
+)
+SELECT dataset, split, sample_id, label, prediction || '<|end|>' AS prediction,
+  prediction AS answer FROM placed WHERE n <= 40"""
+)
+def single_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The first forty responses of each dataset and split, answered, cleaned of markers and normalised."""
+    rows = ready(data.responses(spark, folder), 40)
+    return score_answers(supervised_examples(rows, variant="single"), MARKED)
 
 
 @query(
@@ -171,14 +231,15 @@ def resumed_stage(spark: SparkSession, folder: str) -> DataFrame:
   SELECT *, CAST(tenths >= 40 AS INTEGER) = {sql.pair_label('grade')} AS same FROM responses
 )
 SELECT dataset, '1764' AS form_id, 'wav_path' AS audio_column, count(*) AS hints,
-  'folder=' || dataset AS folder, avg(CAST(same AS INTEGER)) AS binary_accuracy
+  'folder=' || regexp_replace(dataset, '[^A-Za-z0-9.-]', '_', 'g') || '_' || substr(md5(dataset), 1, 8)
+    AS folder, avg(CAST(same AS INTEGER)) AS binary_accuracy
 FROM parsed GROUP BY dataset"""
 )
 def catalogued_run(spark: SparkSession, folder: str) -> DataFrame:
     """A pass/fail run over all datasets: its catalogue, and the maps the catalogue names."""
     path = work_path(spark, "run")
     responses = data.responses(spark, folder)
-    evaluate_with_catalogue(spark, responses, FIRST, path, F.lit("1764"), "wav_path")
+    evaluate_with_catalogue(spark, responses, FIRST, path, F.lit("1764"), "wav_path", 1000)
     maps = read_hint_maps(spark, f"{path}/preds", multi_line=False)
     hints = hint_rows(maps, "dataset").groupBy("dataset").agg(F.count("*").alias("hints"))
     entries = read_catalogue(spark, f"{path}/catalogue", multi_line=False)
@@ -207,11 +268,14 @@ def converted_results(spark: SparkSession, folder: str) -> DataFrame:
     placed = with_position(rows, "sample_id", ["dataset"]).withColumns(
         {"sample_id": F.col("position"), "split": F.lit("test")}
     )
-    docs = result_documents(placed, ["dataset", "split"], slice_rows=700)
-    write_documents(docs, f"{path}/results_1964")
-    convert_results(
-        spark, f"{path}/results_1964", f"{path}/preds", "wav_path", multi_line=False, slice_rows=300
-    )
+    docs = result_documents(placed, 700, ["dataset", "split"])
+    first = F.col("dataset") < "m"
+    # two sets of documents, converted to one place
+    for number, part in enumerate((docs.where(first), docs.where(~first))):
+        write_documents(part, f"{path}/{number}/results_1964")
+        convert_results(
+            spark, f"{path}/{number}/results_1964", f"{path}/preds", "wav_path", 300, multi_line=False
+        )
     maps = read_hint_maps(spark, f"{path}/preds", multi_line=False)
     return hint_rows(maps, "dataset", "form_id").select("dataset", "sample_id", "hint", "form_id")
 
@@ -219,12 +283,12 @@ def converted_results(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {sql.AUDIO}, asked AS (SELECT DISTINCT c_nationkey AS speaker_id FROM customer)
 SELECT 'exported' AS outcome, sample_id AS id FROM audio_rows JOIN asked USING (speaker_id)
-WHERE kind IN (0, 1, 3)
+WHERE kind IN (0, 1, 3, 5, 6)
 UNION ALL
-SELECT 'skipped', sample_id FROM audio_rows JOIN asked USING (speaker_id) WHERE kind NOT IN (0, 1, 3)
+SELECT 'skipped', sample_id FROM audio_rows JOIN asked USING (speaker_id) WHERE kind NOT IN (0, 1, 3, 5, 6)
 UNION ALL
 SELECT 'missing', CAST(speaker_id AS BIGINT) FROM asked
-WHERE speaker_id NOT IN (SELECT speaker_id FROM audio_rows)"""
+WHERE speaker_id NOT IN (SELECT speaker_id FROM audio_rows WHERE speaker_id IS NOT NULL)"""
 )
 def export_by_speaker(spark: SparkSession, folder: str) -> DataFrame:
     """Samples of the speakers another table lists: exported, skipped, or nowhere to be found."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelane.functions.scores import decimal_text
 from scorelane.functions.text import form_of
-from scorelane.operators.hints import catalogue_lookup, hints_from_results
+from scorelane.operators.hints import catalogue_lookup, hint_match_rate, hints_from_results
 from scorelane.operators.metrics import metrics
 from scorelane.operators.position import with_position
 from scorelane.schemas import METRIC_NAMES
@@ -31,9 +31,11 @@ from scorelane.sources.hints import (
 )
 from scorelane.sources.responses import (
     as_of_revision,
+    attach_audio_files,
     audio_origin,
     audio_value,
     canonical_names,
+    checked_columns,
     load_responses,
     optional_question,
     union_datasets,
@@ -63,6 +65,11 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _some_unnamed(rows: DataFrame, column: str) -> DataFrame:
+    """The rows, every fifth with a null in ``column``."""
+    return rows.withColumn(column, F.when(F.col("sample_id") % 5 != 0, F.col(column)))
+
+
 PLACED = f"""WITH {sql.SCORES}, placed AS (
   SELECT dataset, prediction, label,
     row_number() OVER (PARTITION BY dataset ORDER BY sample_id) - 1 AS sample_id FROM scores
@@ -98,16 +105,18 @@ def load_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.RESPONSES}, newest AS (
-  SELECT prompt AS topic, max(revision) AS newest FROM responses WHERE revision <= 2 GROUP BY prompt
+    f"""WITH {sql.RESPONSES}, named AS (
+  SELECT * REPLACE (CASE WHEN sample_id % 5 <> 0 THEN prompt END AS prompt) FROM responses
+), newest AS (
+  SELECT prompt AS topic, max(revision) AS newest FROM named WHERE revision <= 2 GROUP BY prompt
 )
-SELECT sample_id, prompt, revision, grade FROM responses JOIN newest
-  ON prompt = topic AND revision = newest"""
+SELECT sample_id, prompt, revision, grade FROM named JOIN newest
+  ON prompt IS NOT DISTINCT FROM topic AND revision = newest"""
 )
 def as_of_revision_2(spark: SparkSession, folder: str) -> DataFrame:
     """For each topic, its newest revision up to 2."""
     rows = data.responses(spark, folder)
-    return as_of_revision(rows, 2, ["prompt"]).select("sample_id", "prompt", "revision", "grade")
+    return as_of_revision(_some_unnamed(rows, "prompt"), 2, ["prompt"]).select("sample_id", "prompt", "revision", "grade")
 
 
 @query(
@@ -130,15 +139,17 @@ def restore_old_revision(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.RESPONSES}, newest AS (
-  SELECT dataset, max(revision) + 1 AS next FROM responses GROUP BY dataset
+    f"""WITH {sql.RESPONSES}, named AS (
+  SELECT * REPLACE (CASE WHEN sample_id % 5 <> 0 THEN dataset END AS dataset) FROM responses
+), newest AS (
+  SELECT dataset, max(revision) + 1 AS next FROM named GROUP BY dataset
 )
-SELECT sample_id, dataset, next AS revision FROM responses JOIN newest USING (dataset)
-WHERE revision = 3"""
+SELECT sample_id, named.dataset, next AS revision FROM named JOIN newest
+  ON named.dataset IS NOT DISTINCT FROM newest.dataset WHERE revision = 3"""
 )
 def rows_of_restored_revision(spark: SparkSession, folder: str) -> DataFrame:
     """What restoring revision 3 would append."""
-    rows = data.responses(spark, folder)
+    rows = _some_unnamed(data.responses(spark, folder), "dataset")
     return restored_rows(rows, 3).select("sample_id", "dataset", "revision")
 
 
@@ -146,7 +157,7 @@ def rows_of_restored_revision(spark: SparkSession, folder: str) -> DataFrame:
 def result_documents_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents under either of the two keys, written, read and taken apart again."""
     path = work_path(spark, "documents")
-    docs = result_documents(_placed(spark, folder), slice_rows=500)
+    docs = result_documents(_placed(spark, folder), 500)
     other_key = F.col("dataset") == "click"
     pairs = F.col("predictions_and_labels")
     write_documents(
@@ -166,7 +177,7 @@ def parallel_arrays_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The older layout of two arrays side by side."""
     path = work_path(spark, "documents")
     pairs = F.col("predictions_and_labels")
-    docs = result_documents(_placed(spark, folder), slice_rows=500)
+    docs = result_documents(_placed(spark, folder), 500)
     write_documents(
         docs.select(
             "dataset",
@@ -189,7 +200,7 @@ FROM placed WHERE dataset = 'view' GROUP BY dataset"""
 )
 def result_document_slices(spark: SparkSession, folder: str) -> DataFrame:
     """How a run is cut into documents, and which documents have no samples."""
-    docs = result_documents(_placed(spark, folder), slice_rows=500)
+    docs = result_documents(_placed(spark, folder), 500)
     sizes = docs.select("dataset", "first_id", F.size("predictions_and_labels").cast("bigint"))
     bare = docs.withColumn(
         "predictions_and_labels",
@@ -202,14 +213,20 @@ def result_document_slices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"WITH {sql.SCORES} SELECT dataset, split, sample_id, prediction, label FROM scores")
+@query(
+    f"""WITH {sql.SCORES}
+SELECT 'near_model' AS model, dataset, split, sample_id, prediction, label FROM scores
+UNION ALL
+SELECT 'label_model', dataset, split, sample_id, label, label FROM scores"""
+)
 def results_table_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Result rows written in a folder per model, dataset and split."""
+    """Results of two models, written one after the other in a folder per model, dataset and split."""
     path = work_path(spark, "results")
     columns = ["dataset", "split", "sample_id", "prediction", "label"]
     rows = data.score_results(spark, folder).select(F.lit("near_model").alias("model"), *columns)
     write_results(rows, path)
-    return spark.read.schema(rows.schema).parquet(path).select(*columns)
+    write_results(rows.withColumns({"model": F.lit("label_model"), "prediction": F.col("label")}), path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query(f"WITH {sql.HINTS} SELECT dataset, split, sample_id, hint FROM hints")
@@ -217,7 +234,7 @@ def prediction_maps_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Usable predictions as maps from id to text, and as rows again."""
     path = work_path(spark, "hints")
     hints = hints_from_results(data.pair_results(spark, folder))
-    write_documents(hint_maps(hints, "wav_path", slice_rows=1000), path)
+    write_documents(hint_maps(hints, "wav_path", 1000), path)
     maps = read_hint_maps(spark, path, multi_line=False)
     return hint_rows(maps, "dataset", "split")
 
@@ -233,8 +250,8 @@ def prediction_maps_of_other_audio(spark: SparkSession, folder: str) -> DataFram
     """Maps that were made from another audio column than the one in use."""
     hints = hints_from_results(data.pair_results(spark, folder))
     form = form_of(F.col("dataset"))
-    dev = hint_maps(hints.where("split = 'dev'"), "wav_file", form, slice_rows=1000)
-    train = hint_maps(hints.where("split = 'train'"), "wav_path", form, slice_rows=1000)
+    dev = hint_maps(hints.where("split = 'dev'"), "wav_file", 1000, form)
+    train = hint_maps(hints.where("split = 'train'"), "wav_path", 1000, form)
     other = audio_column_mismatches(union_datasets([dev, train]), "wav_path")
     entries = F.map_entries("binary_predictions")
     shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]))
@@ -267,7 +284,10 @@ def run_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     wide = metrics(data.pair_results(spark, folder), ["dataset"], mode="pair", metric="binary")
     preds = F.concat(F.lit("eval/binary_preds_"), F.col("dataset"), F.lit(".json"))
     form = form_of(preds)
-    write_catalogue(catalogue_entries(wide, preds, form, F.lit("wav_path")), path)
+    entries = catalogue_entries(wide, preds, form, F.lit("wav_path"))
+    first = F.col("dataset") < "m"
+    write_catalogue(entries.where(first), path)
+    write_catalogue(entries.where(~first), path)
     return read_catalogue(spark, path, multi_line=False).select(
         "dataset",
         "binary_preds_path",
@@ -371,9 +391,8 @@ def work_list(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {sql.AUDIO}
 SELECT sample_id,
-  CASE WHEN kind IN (0, 1, 3) THEN 'array' WHEN kind = 2 THEN 'path' ELSE 'none' END AS origin,
-  CASE WHEN kind IN (0, 1, 2) THEN path END AS path,
-  CASE WHEN kind IN (0, 1, 3) THEN 16000 END AS sampling_rate
+  CASE WHEN kind IN (0, 1, 3, 5, 6) THEN 'array' WHEN kind = 2 THEN 'path' ELSE 'none' END AS origin,
+  path, CASE WHEN kind IN (0, 1, 3, 5, 6) THEN 16000 END AS sampling_rate
 FROM audio_rows"""
 )
 def audio_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -389,14 +408,14 @@ def audio_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {sql.AUDIO}, usable AS (
   SELECT *, coalesce(path, 'sample_' || sample_id || '.wav') AS original
-  FROM audio_rows WHERE kind IN (0, 1, 3)
+  FROM audio_rows WHERE kind IN (0, 1, 3, 5, 6)
 )
 SELECT sample_id,
-  sample_id || '_speaker_' || speaker_id || '_'
+  sample_id || coalesce('_speaker_' || speaker_id, '') || '_'
     || replace(regexp_replace(original, '^.*/', ''), '.wav', '') || '_score_' || grade || '.wav'
     AS file_name,
   sample_id || '_metadata.txt' AS metadata_name,
-  'Sample index: ' || sample_id || chr(10) || 'Speaker ID: ' || speaker_id || chr(10)
+  'Sample index: ' || sample_id || chr(10) || coalesce('Speaker ID: ' || speaker_id || chr(10), '')
     || 'Original filename: ' || original || chr(10) || 'Truth score: ' || grade || chr(10)
     || 'Sampling rate: 16000 Hz' || chr(10) || 'Prompt: ' || prompt || chr(10)
     || coalesce('Language: ' || language || chr(10), '') AS metadata
@@ -408,7 +427,7 @@ def export_files(spark: SparkSession, folder: str) -> DataFrame:
     return manifest
 
 
-@query(f"WITH {sql.AUDIO} SELECT sample_id FROM audio_rows WHERE kind NOT IN (0, 1, 3)")
+@query(f"WITH {sql.AUDIO} SELECT sample_id FROM audio_rows WHERE kind NOT IN (0, 1, 3, 5, 6)")
 def export_skipped(spark: SparkSession, folder: str) -> DataFrame:
     """Samples that cannot be exported."""
     _, skipped = export_manifest(data.audio_rows(spark, folder), "wav_path")
@@ -416,25 +435,29 @@ def export_skipped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.PARSED_SCORES}, runs AS (
+    f"""WITH {sql.PARSED_SCORES}, named AS (
+  SELECT * REPLACE (CASE WHEN sample_id % 5 <> 0 THEN split END AS split) FROM parsed
+), runs AS (
   SELECT dataset, split, {sql.SCORE_METRICS}, count(*) AS num_samples
-  FROM parsed GROUP BY dataset, split
+  FROM named GROUP BY dataset, split
 ), placed AS (
   SELECT dataset, split,
-    row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) - 1 AS place FROM scores
+    row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) - 1 AS place FROM named
 )
 SELECT dataset, split, place // 2000 * 2000 AS first_id, count(*) AS pairs, num_samples,
   printf('%.4f', accuracy) AS accuracy, printf('%.4f', absolute_accuracy) AS absolute_accuracy,
   printf('%.4f', binary_accuracy) AS binary_accuracy
-FROM placed JOIN runs USING (dataset, split) GROUP BY ALL"""
+FROM (SELECT placed.dataset, placed.split, place, runs.* EXCLUDE (dataset, split) FROM placed JOIN runs
+  ON placed.dataset = runs.dataset AND placed.split IS NOT DISTINCT FROM runs.split) GROUP BY ALL"""
 )
 def documents_with_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Result documents that carry their run's metrics, as a reader finds them."""
     path = work_path(spark, "documents")
     by = ["dataset", "split"]
     rows = data.score_results(spark, folder).select(*by, "sample_id", "prediction", "label")
+    rows = _some_unnamed(rows, "split")
     placed = with_position(rows, "sample_id", by).withColumn("sample_id", F.col("position"))
-    write_documents(result_documents(placed, by, metrics(rows, by), slice_rows=2000), path)
+    write_documents(result_documents(placed, 2000, by, metrics(rows, by)), path)
     docs = read_result_documents(spark, path, multi_line=False)
     return docs.select(
         *by,
@@ -443,3 +466,142 @@ def documents_with_metrics(spark: SparkSession, folder: str) -> DataFrame:
         "num_samples",
         *[decimal_text(F.col(name), 4).alias(name) for name in METRIC_NAMES[:3]],
     )
+
+
+@query(
+    f"""WITH {sql.AUDIO}
+SELECT sample_id, CASE WHEN kind IN (1, 3, 5) THEN 'array' WHEN clip_path IS NOT NULL THEN 'path'
+  ELSE 'none' END AS origin, CASE WHEN kind NOT IN (1, 3, 5) THEN clip_path END AS path
+FROM audio_rows"""
+)
+def audio_of_path_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """A column of paths as the audio: the fallback is taken where it has samples."""
+    rows = data.audio_rows(spark, folder)
+    rows = rows.select("sample_id", audio_value(rows, "clip").alias("value"))
+    return rows.select("sample_id", audio_origin(F.col("value")).alias("origin"), "value.path")
+
+
+@query(
+    """SELECT page_id AS sample_id, CASE WHEN page_id % 3 <> 0 THEN strlen(html)::BIGINT + 1 END AS bytes,
+  CASE WHEN page_id % 3 <> 0 THEN md5(html || chr(10)) END AS digest
+FROM pages"""
+)
+def attached_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that rows name by path, as bytes; two rows of three have one.
+
+    The files are a page each, written by Spark in a folder per page.
+    """
+    root = work_path(spark, "clips")
+    pages = data.table(spark, folder, "pages")
+    has = F.col("page_id") % 3 != 0
+    files = pages.where(has).select("html", F.col("page_id").alias("clip"))
+    files.repartition("clip").write.partitionBy("clip").text(root)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    names = names.select(
+        F.regexp_extract("path", r"clip=(\d+)/", 1).cast("bigint").alias("sample_id"),
+        F.regexp_extract("path", r"(clip=\d+/[^/]+)$", 1).alias("path"),
+    )
+    audio = F.struct(
+        F.lit(None).cast("array<float>").alias("array"),
+        F.lit(None).cast("int").alias("sampling_rate"),
+        F.col("path"),
+    )
+    rows = pages.select(F.col("page_id").alias("sample_id")).join(names, "sample_id", "left")
+    found = attach_audio_files(rows.select("sample_id", audio.alias("audio")), "audio", root)
+    return found.select(
+        "sample_id",
+        F.octet_length("content").cast("bigint").alias("bytes"),
+        F.md5("content").alias("digest"),
+    )
+
+
+def _indented(frame: DataFrame, name: str, value: Column, path: str) -> None:
+    """A file per row with ``value`` as indented JSON, in a folder named by ``name``, as others write it."""
+    text = F.to_json(value, {"pretty": "true"})
+    files = frame.select(text.alias("value"), F.col(name).alias("file"))
+    files.repartition("file").write.partitionBy("file").text(path)
+
+
+@query(f"{PLACED} SELECT dataset AS file, sample_id, prediction, label FROM placed")
+def indented_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Result documents in the layout that other programs write: one indented object a file."""
+    path = work_path(spark, "indented")
+    pairs = _placed(spark, folder).groupBy("dataset").agg(
+        F.sort_array(F.collect_list(F.struct("sample_id", "prediction", "label"))).alias("pairs")
+    )
+    shown = F.transform("pairs", lambda p: F.struct(p["prediction"], p["label"]))
+    _indented(pairs, "dataset", F.struct(shown.alias("predictions_and_labels")), path)
+    rows = result_rows(read_result_documents(spark, path), "document")
+    return rows.withColumn("file", F.regexp_extract("document", "file=([^/]+)/", 1)).drop("document")
+
+
+def _foreign_maps(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The train hints, written as one indented map per dataset that does not say what it is of."""
+    hints = hints_from_results(data.pair_results(spark, folder)).where("split = 'train'")
+    maps = hints.groupBy("dataset").agg(
+        F.map_from_entries(
+            F.sort_array(F.collect_list(F.struct(F.col("sample_id").cast("string"), "hint")))
+        ).alias("binary_predictions")
+    )
+    value = F.struct("binary_predictions", F.lit("1764").alias("form_id"), F.lit("wav_path").alias("audio_column"))
+    _indented(maps, "dataset", value, path)
+    return hints
+
+
+@query(f"WITH {sql.HINTS} SELECT dataset, split, sample_id, hint FROM hints WHERE split = 'train' AND dataset = 'click'")
+def indented_prediction_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """A map made elsewhere, with dataset and split named by the caller."""
+    path = work_path(spark, "indented")
+    _foreign_maps(spark, folder, path)
+    maps = read_hint_maps(spark, f"{path}/file=click", dataset="click", split="train")
+    return hint_rows(maps, "dataset", "split")
+
+
+@query(
+    f"""WITH {sql.HINTS}, base_rows AS (SELECT dataset, split, sample_id FROM responses), given AS (
+  SELECT * FROM hints WHERE split = 'train' AND dataset = 'click'
+)
+SELECT dataset, split, count(*) AS responses, count(hint) AS hinted, count(hint) / count(*) AS rate
+FROM base_rows LEFT JOIN given USING (dataset, split, sample_id) GROUP BY dataset, split"""
+)
+def hints_that_match(spark: SparkSession, folder: str) -> DataFrame:
+    """How many responses of each dataset and split a map made elsewhere gives a hint."""
+    path = work_path(spark, "indented")
+    _foreign_maps(spark, folder, path)
+    maps = read_hint_maps(spark, f"{path}/file=click", dataset="click", split="train")
+    return hint_match_rate(data.responses(spark, folder), hint_rows(maps, "dataset", "split"))
+
+
+@query(
+    f"""WITH {sql.PARSED_PAIRS}, wide AS (
+  SELECT dataset, {sql.PAIR_METRICS}, CAST(count(*) AS DOUBLE) AS num_samples
+  FROM parsed GROUP BY dataset
+)
+SELECT dataset, 'eval/' || dataset AS binary_preds_path, round(binary_accuracy, 9) AS binary_accuracy FROM wide"""
+)
+def indented_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """A catalogue as others write it: one indented object of all datasets."""
+    path = work_path(spark, "catalogue")
+    wide = metrics(data.pair_results(spark, folder), ["dataset"], mode="pair", metric="binary")
+    preds = F.concat(F.lit("eval/"), F.col("dataset"))
+    entries = catalogue_entries(wide, preds, F.lit("1764"), F.lit("wav_path"))
+    entry = F.struct("dataset", F.struct("binary_preds_path", "form_id", "audio_column", "accuracy_metrics"))
+    one = entries.agg(F.map_from_entries(F.collect_list(entry)).alias("all"))
+    _indented(one.withColumn("name", F.lit("runs")), "name", F.col("all"), path)
+    found = read_catalogue(spark, path)
+    accuracy = F.round(F.col("accuracy_metrics")["binary_accuracy"], 9)
+    return found.select("dataset", "binary_preds_path", accuracy.alias("binary_accuracy"))
+
+
+@query(
+    f"""WITH {sql.RESPONSES}
+SELECT dataset, count(*) AS rows, false AS empty,
+  CASE WHEN dataset IN ('click', 'view') THEN 'audio' ELSE 'prompt,audio' END AS missing
+FROM responses GROUP BY dataset"""
+)
+def checked_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of the columns that a job needs each dataset of a union lacks."""
+    rows = data.responses(spark, folder)
+    some = F.col("dataset").isin("click", "view")
+    both = union_datasets([rows.where(some), rows.where(~some).drop("prompt")])
+    return checked_columns(both, ["sample_id", "grade", "prompt", "audio"])

@@ -151,16 +151,17 @@ TOKENS = """tokens AS (
 
 FRAMES = """frames AS (
   SELECT vec_id AS sample_id, label,
-    [[x FOR x IN f IF x > 0] FOR f IN
-      [list_slice(embedding, i * 8 + 1, i * 8 + 8) FOR i IN range(8)] IF f[1] > 0] AS frames
+    [list_slice(embedding, i * (3 + vec_id % 6) + 1, (i + 1) * (3 + vec_id % 6))
+      FOR i IN range(CAST(ceil(len(embedding) / (3 + vec_id % 6)) AS BIGINT))] AS frames
   FROM embeddings
 )"""
 
 AUDIO = """audio_rows AS (
-  SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS speaker_id,
-    1 + (vec_id % 9) / 2 AS grade, vec_id % 5 AS kind, 'topic ' || label AS prompt,
+  SELECT vec_id AS sample_id, CASE WHEN vec_id % 7 <> 6 THEN CAST(label AS BIGINT) END AS speaker_id,
+    1 + (vec_id % 9) / 2 AS grade, vec_id % 7 AS kind, 'topic ' || label AS prompt,
     CASE WHEN label > 1 THEN 'en' END AS language,
-    CASE WHEN vec_id % 5 IN (0, 1, 2) THEN 'clips/a_' || vec_id || '.wav' END AS path
+    CASE WHEN vec_id % 7 IN (0, 1, 2, 6) THEN 'clips/a_' || vec_id || '.wav' END AS path,
+    CASE WHEN vec_id % 7 IN (0, 2) THEN 'clips/a_' || vec_id || '.wav' END AS clip_path
   FROM embeddings
 )"""
 

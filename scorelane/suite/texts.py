@@ -331,14 +331,20 @@ FROM parts JOIN last USING (conv_id)"""
 )
 def chat_prompt_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as prompts in parts of three turns."""
-    return chat_templates(data.table(spark, folder, "conversations"), part_messages=3)
+    return chat_templates(data.table(spark, folder, "conversations"), 3)
 
 
 @query(
-    """SELECT conv_id, string_agg('<|' || role || '|>' || text || '<|end|>', '' ORDER BY turn)
-  || '<|assistant|>' AS prompt
-FROM conversations GROUP BY conv_id"""
+    """WITH placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS n FROM conversations
+), parts AS (
+  SELECT conv_id, n // 1000 AS part, max(n) AS last,
+    string_agg('<|' || role || '|>' || text || '<|end|>', '' ORDER BY n) AS shown
+  FROM placed GROUP BY conv_id, n // 1000
+)
+SELECT conv_id, part, shown || CASE WHEN last = max(last) OVER (PARTITION BY conv_id)
+  THEN '<|assistant|>' ELSE '' END AS prompt FROM parts"""
 )
 def chat_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as prompts; each fits one part here."""
-    return chat_templates(data.table(spark, folder, "conversations")).select("conv_id", "prompt")
+    """Conversations as prompts in parts of a thousand messages."""
+    return chat_templates(data.table(spark, folder, "conversations"), 1000)

@@ -95,7 +95,7 @@ def test_bad_shards_are_refused(spark):
         shard_number(F.lit(1), 2, "other")
 
 
-@pytest.mark.parametrize("n", [1, 3, 5000])
+@pytest.mark.parametrize("n", [1, 3, 199, 200, 201, 5000])
 def test_the_first_rows_of_each_dataset(spark, n):
     rng = random.Random(4)
     rows = [("hot" if i % 3 else rng.choice(["a", None]), i * 7) for i in rng.sample(range(900), 300)]
@@ -104,10 +104,24 @@ def test_the_first_rows_of_each_dataset(spark, n):
     assert {(r.dataset, r.id): r.position for r in found.collect()} == expected
 
 
-def test_few_rows_are_taken_before_the_shuffle(spark):
-    lines = plan_of(take_first(keyed(spark, [("a", 1)]), "id", 10, ["dataset"])).split("\n")
-    shuffle = next(i for i, line in enumerate(lines) if "Exchange" in line)
-    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[shuffle:])
+@pytest.mark.parametrize("n", [999, 1000, 1001])
+def test_there_is_one_way_for_every_number(spark, n):
+    rows = [("a", i * 3) for i in range(1200)] + [("b", i) for i in range(1000)]
+    found = take_first(keyed(spark, rows), "id", n, ["dataset"]).collect()
+    assert {(r.dataset, r.position) for r in found} == {
+        *(("a", p) for p in range(n)), *(("b", p) for p in range(min(n, 1000)))
+    }
+    with pytest.raises(ValueError, match="integer key"):
+        take_first(keyed(spark, rows).withColumn("id", F.col("id").cast("string")), "id", n, ["dataset"])
+
+
+def test_buckets_behind_the_first_rows_are_not_numbered(spark):
+    rows = spark.range(5000).select(F.lit("a").alias("dataset"), "id")
+    kept = with_position(rows, "id", ["dataset"], bucket_bits=4, first=20)
+    assert sorted(r.position for r in kept.collect()) == list(range(20))
+    plans = [plan_of(take_first(rows, "id", n, ["dataset"])) for n in (10, 4000)]
+    assert plans[0].count("Window") == plans[1].count("Window")
+    assert "_start#" in plans[0] and "< 10)" in plans[0]
 
 
 def test_the_first_rows_overall(spark):

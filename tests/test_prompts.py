@@ -73,7 +73,7 @@ def test_long_conversations_are_cut_into_parts(spark):
     rows = [("hot", i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(1000)]
     rows += [("cold", i, "user", None) for i in range(3)]
     messages = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
-    parts = chat_templates(messages.repartition(5), part_messages=64).collect()
+    parts = chat_templates(messages.repartition(5), 64).collect()
     hot = [p.prompt for p in sorted((p for p in parts if p.conv_id == "hot"), key=lambda p: p.part)]
     assert len(hot) == 16
     shown = "".join(f"<|{role}|>{text}<|end|>" for _, _, role, text in rows[:1000])
@@ -82,5 +82,21 @@ def test_long_conversations_are_cut_into_parts(spark):
     assert cold == ["<|user|><|end|>" * 3 + "<|assistant|>"]
 
 
+@pytest.mark.parametrize("turns", ["own", "same"])
+def test_parts_follow_places_not_turn_numbers(spark, turns):
+    """300 messages, also if all of them have one turn number."""
+    rows = [("c", i if turns == "own" else 7, "user", f"m{i:03}") for i in range(300)]
+    messages = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    for size in (100, 256, 299, 300, 301):
+        parts = sorted(chat_templates(messages.repartition(4), size).collect(), key=lambda p: p.part)
+        assert [p.prompt.count("<|user|>") for p in parts] == [
+            min(size, 300 - start) for start in range(0, 300, size)
+        ]
+        shown = "".join(f"<|user|>m{i:03}<|end|>" for i in range(300))
+        assert "".join(p.prompt for p in parts) == shown + "<|assistant|>"
+    with pytest.raises(ValueError):
+        chat_templates(messages, 0)
+
+
 def test_examples_need_no_shuffle(spark):
     assert exchanges(supervised_examples(responses(spark))) == 0

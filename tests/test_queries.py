@@ -38,6 +38,21 @@ def test_query_equals_its_sql(spark, duck, folder, name):
     assert found and ordered(found) == ordered(expected)
 
 
+def test_arrays_hold_whole_texts_and_vectors(spark, duck, folder):
+    """Padding adds zeros and loses nothing: what is held is what the tables have."""
+    letters = """SELECT sum(length(text)
+      - (length(text) - length(replace(text, ' ', ''))) - CAST(contains(text, chr(10)) AS INT)) FROM documents"""
+    padded = contract.queries()["padded_prompts"](spark, folder).collect()
+    assert sum(r.held for r in padded) == duck.execute(letters).fetchone()[0]
+    values = duck.execute("SELECT sum(len(embedding)) FROM embeddings").fetchone()[0]
+    frames = contract.queries()["collated_batches"](spark, folder).collect()
+    assert sum(int(n) for r in frames for part in r.input_ids.split(";") for n in part.split(",")) == values
+    masks = contract.queries()["length_masks"](spark, folder).collect()
+    words = """SELECT sum(len(string_split(split_part(text, chr(10), 1), ' ')) + CASE WHEN contains(text, chr(10))
+      THEN len(string_split(substr(text, strpos(text, chr(10)) + 1), ' ')) ELSE 0 END) FROM documents"""
+    assert sum(r.own for r in masks) == duck.execute(words).fetchone()[0]
+
+
 def test_entry_has_rows(spark, folder):
     assert contract.entry(spark).count() == 5
 

@@ -5,8 +5,12 @@ import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+from helpers import plan_of
+from scorelane.operators.hints import HINT_KEYS
+from scorelane.operators.prompts import hint_examples, supervised_examples
 from scorelane.operators.scoring import score_batches
-from scorelane.plans.evaluation import Model, cascade, evaluate
+from scorelane.plans.evaluation import Model, cascade, evaluate, ready, score, score_answers
+from scorelane.sinks.results import write_bucketed
 
 # workers cannot import test modules
 register_pickle_by_value(sys.modules[__name__])
@@ -26,6 +30,15 @@ def loads():
     return lambda batch: [made] * len(batch)
 
 
+def others():
+    return lambda batch: ["other"] * len(batch)
+
+
+def arrays(table):
+    """A scorer of Arrow tables: the number of values of each nested array."""
+    return [str(len(frames)) for frames in table.column("frames").to_pylist()]
+
+
 def short():
     return lambda batch: ["x"]
 
@@ -51,6 +64,22 @@ def test_a_model_is_loaded_once_per_worker(spark):
     assert len(found) == 320 and len(made) == len({m.split(":")[0] for m in made})
 
 
+def test_models_are_told_apart_by_their_factory(spark):
+    """Another factory under the same name is another model."""
+    rows = spark.range(8, numPartitions=1)
+    assert {r.prediction for r in score_batches(rows, "t/same", sizes, ["id"], ["id"]).collect()} == {"4"}
+    assert {r.prediction for r in score_batches(rows, "t/same", others, ["id"], ["id"]).collect()} == {"other"}
+
+
+def test_nested_inputs_go_as_arrow_tables(spark):
+    rows = spark.range(10, numPartitions=1).withColumn("frames", F.array_repeat(F.array(F.lit(1.0)), F.col("id").cast("int")))
+    found = score_batches(rows, "t/arrays", lambda: arrays, ["frames"], ["id"], arrow=True)
+    assert {r.id: r.prediction for r in found.collect()} == {i: str(i) for i in range(10)}
+    assert "ArrowPython" in found._jdf.queryExecution().toString() or "MapInArrow" in found._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="1 answers for 4 rows"):
+        score_batches(rows, "t/short", short, ["frames"], ["id"], arrow=True).collect()
+
+
 def test_a_scorer_must_answer_every_row(spark):
     with pytest.raises(Exception, match="1 answers for 4 rows"):
         score_batches(spark.range(8, numPartitions=1), "t/short", short, ["id"], ["id"]).collect()
@@ -99,6 +128,69 @@ def test_evaluation_scores_once_and_resumes(spark, tmp_path):
     assert len(list(marks.iterdir())) == asked
 
 
+def test_a_changed_run_is_refused(spark, tmp_path):
+    """Another scorer, other responses, or another target at a place that is complete."""
+    path = str(tmp_path / "out")
+    model = Model("t/others", others, ("prompt_text",))
+    evaluate(spark, responses(spark), model, path)
+    assert evaluate(spark, responses(spark), model, path)[0].count() == 20
+    more = responses(spark).unionByName(responses(spark).withColumn("sample_id", F.col("sample_id") + 100))
+    for rows, used, target in (
+        (more, model, "score"), (responses(spark), Model("t/others", sizes, ("prompt_text",)), "score"),
+        (responses(spark), model, "pair"),
+    ):
+        with pytest.raises(ValueError, match="another build"):
+            evaluate(spark, rows, used, path, target=target)
+    rows, _ = evaluate(spark, responses(spark), Model("t/sizes", sizes, ("prompt_text",)), path)
+    assert {r.prediction for r in rows.collect()} <= {"1", "2", "3", "4"}
+
+
+def test_limits_and_empty_sets(spark, tmp_path):
+    model = Model("t/others", others, ("prompt_text",))
+    _, wide = evaluate(spark, responses(spark), model, str(tmp_path), limit=5)
+    assert {r.dataset: r.num_samples for r in wide.collect()} == {"a": 5, "b": 5}
+    with pytest.raises(ValueError, match="no rows"):
+        evaluate(spark, responses(spark).limit(0), model, str(tmp_path / "e"))
+
+
+def test_hints_that_fit_nothing_fail_the_cascade(spark, tmp_path):
+    first = Model("t/none", others, ("prompt_text",))
+    with pytest.raises(ValueError, match="no hint fits"):
+        cascade(spark, responses(spark), first, Model("t/echo", echo, ("prompt_text",)), str(tmp_path), strict=True)
+
+
+def test_bucketed_responses_stay_where_they_are(spark, tmp_path):
+    """Neither stage of a cascade shuffles the audio of a bucketed table."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wide = responses(spark).withColumn("audio", F.array(F.lit(0.5)))
+        write_bucketed(wide, "cascade_responses", str(tmp_path / "t"), 4, list(HINT_KEYS))
+        rows = spark.table("cascade_responses")
+        hints = responses(spark).select(*HINT_KEYS, F.lit("1,0.65").alias("hint"))
+        hints.write.parquet(str(tmp_path / "h"))
+        examples = hint_examples(rows, spark.read.parquet(str(tmp_path / "h")))
+        plan = plan_of(score(examples, Model("t/echo", echo, ("prompt_text", "audio"))))
+        above = [line for line in plan.split("\n") if "Exchange" in line]
+        assert len(above) == 1 and "SortMergeJoin" in plan
+        assert "audio" in plan and "audio" not in plan[plan.index("Exchange") :]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS cascade_responses")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_single_answers_are_cleaned(spark):
+    def factory():
+        return lambda batch: [" 3.0 <|end|>" for _ in batch["prompt_text"]]
+
+    rows = supervised_examples(ready(responses(spark), 3), variant="single")
+    model = Model("t/cleaned", factory, ("prompt_text",), 1)
+    for target, answer in (("score", "3.0"), ("pair", "0,0.25")):
+        found = score_answers(rows, model, target).collect()
+        assert len(found) == 6 and {(r.prediction, r.answer) for r in found} == {(" 3.0 <|end|>", answer)}
+
+
 def echo():
     """Answers 4.5 where the prompt hints at a pass, else 2.0."""
     return lambda batch: ["4.5" if "First model: 1," in text else "2.0" for text in batch["prompt_text"]]

@@ -4,9 +4,10 @@ import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
 
+from scorelane.operators.hints import catalogue_lookup, hint_match_rate, require_match
 from scorelane.operators.metrics import metrics
 from scorelane.plans.conversion import convert_results
-from scorelane.plans.stages import stage
+from scorelane.plans.stages import fingerprint, stage
 from scorelane.schemas import AUDIO
 from scorelane.session import is_complete, path_exists, work_path
 from scorelane.sinks.exports import export_manifest
@@ -18,7 +19,7 @@ from scorelane.sinks.results import (
     write_documents,
     write_results,
 )
-from scorelane.sinks.revisions import restore_revision
+from scorelane.sinks.revisions import restore_revision, restored_rows
 from scorelane.sources.hints import audio_column_mismatches, hint_rows, read_catalogue, read_hint_maps
 from scorelane.sources.responses import (
     as_of_revision,
@@ -89,20 +90,87 @@ def run(spark, n=10):
 
 def test_documents_are_cut_and_whole(spark, tmp_path):
     path = str(tmp_path / "docs")
-    write_documents(result_documents(run(spark), slice_rows=4), path)
+    write_documents(result_documents(run(spark), 4), path)
     docs = read_result_documents(spark, path, multi_line=False)
     assert sorted((r.first_id, len(r.predictions_and_labels)) for r in docs.collect()) == [(0, 4), (4, 4), (8, 2)]
     assert {(r.sample_id, r.label) for r in result_rows(docs).collect()} == {(i, str(i)) for i in range(10)}
 
 
-def test_documents_refuse_gaps(spark):
-    with pytest.raises(Exception, match="gaps"):
-        result_documents(run(spark).where("sample_id <> 3")).collect()
+@pytest.mark.parametrize("slice_rows", [1, 2, 3, 4, 10, 100])
+def test_documents_refuse_gaps_at_every_size(spark, slice_rows):
+    for ids in ([0, 2, 3], [0, 0, 2], [1, 2, 3], [0, 1, 1], [0, 1, 2, 3, 8, 9]):
+        rows = run(spark, 1).drop("sample_id").crossJoin(spark.createDataFrame([(i,) for i in ids], "sample_id long"))
+        with pytest.raises(Exception, match="gaps"):
+            result_documents(rows, slice_rows).collect()
+    assert sum(len(r.predictions_and_labels) for r in result_documents(run(spark, 9), slice_rows).collect()) == 9
+
+
+def test_documents_with_metrics_of_unnamed_runs(spark):
+    rows = run(spark).withColumn("split", F.when(F.col("model") == "x", "s"))
+    docs = result_documents(rows, 4, metrics=metrics(rows, ["model", "dataset", "split"]))
+    assert [r.num_samples for r in docs.collect()] == [10, 10, 10]
+
+
+def test_sinks_leave_other_runs_alone(spark, tmp_path):
+    first, second = run(spark, 4), run(spark, 3).withColumn("model", F.lit("n"))
+    for write, path in ((write_results, str(tmp_path / "t")), (write_documents, str(tmp_path / "d"))):
+        for rows in (first, second, second):
+            write(rows if write is write_results else result_documents(rows, 2), path)
+    table = spark.read.schema(first.schema).parquet(str(tmp_path / "t"))
+    assert table.groupBy("model").count().orderBy("model").collect() == [("m", 4), ("n", 3)]
+    docs = read_result_documents(spark, str(tmp_path / "d"), multi_line=False)
+    assert result_rows(docs, "model").groupBy("model").count().orderBy("model").collect() == [("m", 4), ("n", 3)]
+    for model in ("org/a:b c", "other/a:b c", "org/a:b c"):
+        wide = metrics(first.withColumn("dataset", F.lit(model)), ["dataset"])
+        entries = catalogue_entries(wide, F.lit("p"), F.lit("1764"), F.lit("w"))
+        write_catalogue(entries, str(tmp_path / "c"))
+    found = read_catalogue(spark, str(tmp_path / "c"), multi_line=False).collect()
+    assert sorted(r.dataset for r in found) == ["org/a:b c", "other/a:b c"]
+
+
+def test_small_aggregates_do_not_move_the_rows(spark, tmp_path):
+    """Old rows are not shuffled by dataset, however low Spark's own threshold is."""
+    rows = table(spark, str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024")
+    try:
+        for found in (as_of_revision(rows, 1), restored_rows(rows, 1)):
+            assert "Exchange hashpartitioning" not in plan_of(found) and "SortMergeJoin" not in plan_of(found)
+        docs = result_documents(run(spark), 4, metrics=metrics(run(spark), ["model", "dataset", "split"]))
+        assert "SortMergeJoin" not in plan_of(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_foreign_maps_are_named(spark, tmp_path):
+    content = {"binary_predictions": {"0": "1,0.65"}, "form_id": "1764", "audio_column": "w"}
+    path = foreign(tmp_path / "near_model_Set_A_test.json", content)
+    one = read_hint_maps(spark, path, dataset="d", split="s").first()
+    assert (one.dataset, one.split) == ("d", "s")
+    one = read_hint_maps(spark, path, datasets=["Set", "Set_A"], splits=["test"]).first()
+    assert (one.dataset, one.split) == ("Set_A", "test")
+    hints = hint_rows(read_hint_maps(spark, path, dataset="d", split="s"), "dataset", "split")
+    rows = run(spark, 4)
+    rate = hint_match_rate(rows, hints).first()
+    assert (rate.responses, rate.hinted, rate.rate) == (4, 1, 0.25)
+    assert require_match(rows, hints) is rows
+    with pytest.raises(ValueError, match="no hint fits"):
+        require_match(rows, hint_rows(read_hint_maps(spark, path), "dataset", "split"))
+
+
+def test_lookups_fail_on_unlisted_datasets(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "dataset string, n int")
+    entry = spark.createDataFrame(
+        [("a", "p", "1764", "w")], "dataset string, binary_preds_path string, form_id string, audio_column string"
+    )
+    assert catalogue_lookup(rows.where("n = 1"), entry).first().binary_preds_path == "p"
+    for n in (2, 3):
+        with pytest.raises(Exception, match="no catalogue entry"):
+            catalogue_lookup(rows.where(f"n = {n}"), entry).collect()
 
 
 def test_one_map_per_slice(spark):
     hints = run(spark).withColumnRenamed("prediction", "hint").where("sample_id <> 3")
-    found = hint_maps(hints, "wav_path", slice_rows=5).collect()
+    found = hint_maps(hints, "wav_path", 5).collect()
     assert sorted(len(r.binary_predictions) for r in found) == [4, 5]
     first = next(r for r in found if "0" in r.binary_predictions)
     assert list(first.binary_predictions) == ["0", "1", "2", "4"]
@@ -187,6 +255,33 @@ def test_audio_from_struct_path_or_fallback(spark, tmp_path):
     assert none.audio is None
 
 
+def test_audio_with_samples_comes_before_a_path(spark):
+    audio = "struct<array:array<float>,sampling_rate:int,path:string>"
+    own, path, none = ([0.5], 16000, "f.wav"), (None, None, "p.wav"), (None, None, None)
+    rows = spark.createDataFrame(
+        [(1, own, path, "c.wav"), (2, path, own, "c.wav"), (3, path, None, None), (4, none, path, None), (5, None, None, "c.wav")],
+        f"sample_id long, wav_path {audio}, audio {audio}, clip string",
+    )
+
+    def origins(column):
+        value = audio_value(rows, column)
+        found = rows.select("sample_id", audio_origin(value).alias("o"), value["path"].alias("p"))
+        return [(r.o, r.p) for r in found.orderBy("sample_id").collect()]
+
+    assert origins("wav_path") == [("array", "f.wav"), ("array", "f.wav"), ("path", "p.wav"), ("path", "p.wav"), ("none", None)]
+    assert origins("clip") == [("path", "c.wav"), ("array", "f.wav"), ("none", None), ("path", "p.wav"), ("path", "c.wav")]
+
+
+def test_export_names_leave_out_what_is_null(spark):
+    rows = spark.createDataFrame(
+        [(1, None, None, ([0.1], 16000, "a.wav")), (2, 7, 3.0, ([0.1], 16000, "b.wav"))],
+        "sample_id long, speaker_id long, grade double, audio struct<array:array<float>,sampling_rate:int,path:string>",
+    )
+    found = export_manifest(rows)[0].orderBy("sample_id").collect()
+    assert [r.file_name for r in found] == ["1_a.wav", "2_speaker_7_b_score_3.0.wav"]
+    assert found[0].metadata == "Sample index: 1\nOriginal filename: a.wav\nSampling rate: 16000 Hz\n"
+
+
 def test_export_without_optional_columns(spark):
     rows = spark.createDataFrame(
         [(42, 3.5, ([0.1], 16000, "d/a.wav.wav")), (43, 4.0, ([0.1], 8000, None)), (44, 4.0, None)],
@@ -217,6 +312,19 @@ def test_a_half_written_stage_is_built_again(spark, tmp_path):
     assert stage(spark, path, lambda: frame, ["form"], reuse=False).first().n == 1
 
 
+def test_a_stage_of_another_build_is_refused(spark, tmp_path):
+    path = str(tmp_path / "s")
+    frame = spark.createDataFrame([("a", 1), ("b", 2)], "form string, n int")
+    own = {"model": "m", "rows": fingerprint(frame, ["n"])}
+    stage(spark, path, lambda: frame, ["form"], identity=own)
+    assert stage(spark, path, lambda: frame.limit(0), ["form"], identity=own).count() == 2
+    assert own["rows"] == fingerprint(frame.repartition(3), ["n"]) != fingerprint(frame.limit(1), ["n"])
+    for other in ({**own, "model": "x"}, {**own, "rows": "3:1"}, {}):
+        with pytest.raises(ValueError, match="another build"):
+            stage(spark, path, lambda: frame, ["form"], identity=other)
+    assert stage(spark, path, lambda: frame.limit(1), ["form"], reuse=False, identity=own).count() == 1
+
+
 class Session:
     """As much of a session as ``work_path`` looks at."""
 
@@ -251,7 +359,8 @@ def test_foreign_results_are_converted_file_by_file(spark, tmp_path):
     foreign(tmp_path / "in" / "results_SetB.json", {"samples": pairs[:1]})
     out = str(tmp_path / "results_out")
     names = {"SetA": "org/SetA", "SetB": "org/SetB"}
-    hints = convert_results(spark, str(tmp_path / "in"), out, "wav_path", names=names)
+    hints = convert_results(spark, str(tmp_path / "in"), out, "wav_path", 100, names=names, split="test")
+    assert {r.split for r in hints.collect()} == {"test"}
     assert {(r.dataset, r.sample_id, r.hint) for r in hints.collect()} == {
         ("org/SetA", 0, "1,0.65"), ("org/SetA", 2, "0,0.70"), ("org/SetB", 0, "1,0.65"),
     }
@@ -260,6 +369,11 @@ def test_foreign_results_are_converted_file_by_file(spark, tmp_path):
     assert first.binary_predictions == {"0": "1,0.65", "2": "0,0.70"}
     other = read_hint_maps(spark, f"{out}/file=preds_SetB.json", multi_line=False).first()
     assert (other.form_id, other.binary_predictions) == ("1764", {"0": "1,0.65"})
+    (tmp_path / "more").mkdir()
+    foreign(tmp_path / "more" / "results_SetC.json", {"samples": pairs[:1]})
+    convert_results(spark, str(tmp_path / "more"), out, "wav_path", 100, names={"SetC": "org/SetC"}, split="dev")
+    maps = read_hint_maps(spark, out, multi_line=False).collect()
+    assert sorted((m.dataset, m.split) for m in maps) == [("org/SetA", "test"), ("org/SetB", "test"), ("org/SetC", "dev")]
 
 
 def test_damaged_documents_are_not_taken_for_empty_ones(spark, tmp_path):
