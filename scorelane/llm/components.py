@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.llm.common import staged
+from scorelane.llm.common import attach_groups, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (a > b): nodes hang their neighbours on the smallest of them.
 
     The large star moves a node's larger neighbours, the small star its smaller ones
-    and itself. Groups are summed up before they meet, and the join by node is left
-    to adaptive execution, which splits a node of very many edges.
+    and itself. Groups are summed up before they meet, and edges of a node that has
+    very many stay where they are while the node's smallest neighbour comes to them.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-    moved = both.join(least, "node")
+    least = staged(
+        both.groupBy("node").agg(
+            F.least(F.min("other"), F.col("node")).alias("least"), F.count(F.lit(1)).alias("edges")
+        ),
+        "least",
+    )
+    moved = attach_groups(both, least, "node", "edges")
     if large:
         moved = moved.where("other > node").select(F.col("other").alias("a"), F.col("least").alias("b"))
     else:
@@ -42,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     )
     mark = _mark(edges)
     while True:
-        edges = staged(_star(_star(edges, True), False), "edges")
+        edges = staged(_star(staged(_star(edges, True), "stars"), False), "edges")
         now = _mark(edges)
         if now == mark:
             break

@@ -30,6 +30,8 @@ SLOTS = 4
 KICKS = 64
 #: Distinct digests that a shard holds about; a task's memory follows from it.
 SHARD_DIGESTS = 50_000
+#: Distinct digests that a task gathers before it passes them on and starts anew.
+TASK_DIGESTS = 200_000
 
 ENTRY = "shard int, digest string, keep_null boolean, keep_id bigint, keep_row bigint, copies bigint"
 
@@ -164,7 +166,10 @@ def digests(documents: DataFrame) -> DataFrame:
     )
 
 
-def _partials(shards: int):
+def _partials(shards: int, most: int):
+    def shard_of(digest: str) -> int:
+        return int(digest[-8:], 16) % shards
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         copies = Copies()
         for frame in frames:
@@ -172,14 +177,17 @@ def _partials(shards: int):
             ids = frame["doc_id"].fillna(0).astype("int64")
             for digest, *first in zip(frame["digest"], none, ids, frame[ROW_KEY], strict=True):
                 copies.add(digest, tuple(first), 1)
-        yield copies.frame(lambda digest: int(digest[-8:], 16) % shards)
+            if len(copies.first) >= most:
+                yield copies.frame(shard_of)
+                copies = Copies()
+        yield copies.frame(shard_of)
 
     return run
 
 
-def changes(rows: DataFrame, shards: int) -> DataFrame:
-    """The copies of each task's digests, as entries to insert."""
-    return rows.mapInPandas(_partials(shards), struct_of(ENTRY))
+def changes(rows: DataFrame, shards: int, task_digests: int = TASK_DIGESTS) -> DataFrame:
+    """The copies of each task's digests, as entries to insert; a digest may have several."""
+    return rows.mapInPandas(_partials(shards, task_digests), struct_of(ENTRY))
 
 
 def update(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | None = None) -> DataFrame:

@@ -76,6 +76,8 @@ def test_index_table_inserts_and_deletes(spark):
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = staged(digests(documents), "test")
     index = staged(update(None, changes(rows, 4)), "test")
+    parted = update(None, changes(rows.coalesce(1).repartition(3), 4, task_digests=1))
+    assert sorted(parted.collect()) == sorted(index.collect())
     more = staged(update(index, changes(rows.where("doc_id < 100"), 4)), "test")
     counts = Counter(texts) + Counter(texts[:100])
     name = {text: hashlib.sha256(text.encode()).hexdigest() for text in texts}
