@@ -123,6 +123,7 @@ def evaluate(
         lambda: score(examples, model),
         partitions=by,
         reuse=reuse,
+        gather=True,
         identity=_identity(examples, model, target=target, variant=variant) if reuse else None,
     )
     return rows, metrics(rows, by, mode=target, metric=metric)
@@ -184,6 +185,7 @@ def cascade(
         lambda: score(examples, second),
         partitions=by,
         reuse=reuse,
+        gather=True,
         identity=_identity(examples, second, first=first.name) if reuse else None,
     )
     return rows, metrics(rows, by, metric=metric)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,11 @@ def _same_build(spark: SparkSession, path: str, identity: Mapping[str, str]) ->
         )
 
 
+def _note(spark: SparkSession, path: str, identity: Mapping[str, str]) -> None:
+    line = spark.createDataFrame([(json.dumps(dict(identity), sort_keys=True),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.identity")
+
+
 def stage(
     spark: SparkSession,
     path: str,
@@ -38,12 +44,16 @@ def stage(
     partitions: Sequence[str] = (),
     reuse: bool = True,
     identity: Mapping[str, str] | None = None,
+    gather: bool = False,
 ) -> DataFrame:
     """The table at ``path``, built and written there unless it is already complete.
 
     ``identity`` says what the stage is made by and from. It is noted beside the
     table, and a complete table with another one is refused, not taken.
 
+    With ``gather`` the rows are written twice: as the tasks make them, and then
+    in few files per folder, which is for rows that are narrow and dear.
+
     Reading it back cuts the lineage at a place every executor can reach, and
     keeps an expensive scorer from running twice. Tasks write what they have
     built without a shuffle, so a lost executor costs only its unfinished tasks.
@@ -54,7 +64,14 @@ def stage(
     if reuse and is_complete(spark, path):
         _same_build(spark, path, identity)
     else:
-        note = spark.createDataFrame([(json.dumps(identity, sort_keys=True),)], "value string")
-        note.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.identity")
-        frame.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+        # No build has this identity, so what is half done is never taken for either's.
+        _note(spark, path, {"unfinished": uuid.uuid4().hex})
+        schema, rows = frame.schema, frame
+        if gather:
+            # Written as the tasks come, so that nothing dear is done again for the shuffle's sake.
+            parts = f"{path.rstrip('/')}.parts"
+            frame.write.mode("overwrite").parquet(parts)
+            rows = spark.read.schema(schema).parquet(parts).hint("rebalance", *partitions)
+        rows.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+        _note(spark, path, identity)
     return spark.read.schema(frame.schema).parquet(path)

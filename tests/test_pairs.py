@@ -54,6 +54,7 @@ def test_labels_have_nothing_behind(spark):
     assert read(spark, texts, parse_label_pair) == expected
 
 
+# Fixed values below: the pattern of a pair, its quotes, and the two older probabilities.
 def by_rule(text):
     """The reading rule, stated over Python strings."""
     text = text.strip()

@@ -191,6 +191,14 @@ def test_single_answers_are_cleaned(spark):
         assert len(found) == 6 and {(r.prediction, r.answer) for r in found} == {(" 3.0 <|end|>", answer)}
 
 
+def test_results_lie_in_few_files(spark, tmp_path):
+    """However many tasks scored, a folder has one file of so few rows."""
+    model = Model("t/others", others, ("prompt_text",))
+    rows, _ = evaluate(spark, responses(spark).repartition(16), model, str(tmp_path))
+    files = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()]
+    assert len(files) == 2 and rows.count() == 20
+
+
 def echo():
     """Answers 4.5 where the prompt hints at a pass, else 2.0."""
     return lambda batch: ["4.5" if "First model: 1," in text else "2.0" for text in batch["prompt_text"]]
