@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
+
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +26,8 @@ HOT_PART = 1000
 
 ROW_KEY = "__scorelane_row"
 
+Kept = TypeVar("Kept")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,6 +93,21 @@ def select_rows(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataF
     )
 
 
+def kept_by_worker(key: object, make: Callable[[], Kept]) -> Kept:
+    """What ``make`` gives, kept by this Python worker for its next tasks.
+
+    Spark keeps workers, and functions that travel bring their own globals each
+    time, so it lies in a module of the worker's. There is one such thing at a
+    time: another operator's takes the place of the last, and frees its memory.
+    """
+    held = sys.modules.setdefault("scorelane_kept", ModuleType("scorelane_kept"))
+    if getattr(held, "key", None) != key:
+        held.key = held.value = None
+        held.value = make()
+        held.key = key
+    return held.value
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -10,14 +10,14 @@ tokenizer.
 from __future__ import annotations
 
 import re
-import sys
-from types import ModuleType
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Words whose ids a worker keeps; beyond these, words are encoded each time.
-KEPT_WORDS = 1_000_000
+from scorelane.llm.common import kept_by_worker
+
+#: Words whose ids a worker keeps (some 200 bytes each); beyond these, words are encoded each time.
+KEPT_WORDS = 400_000
 
 # The tokenizer's own way to cut words, for lower-case Latin-1 characters.
 _PRE_TOKEN = re.compile(
@@ -64,8 +64,5 @@ class WordEncoder(dict):
 
 
 def worker_encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
-    """The encoder of this Python worker, which Spark keeps between tasks."""
-    held = vars(sys.modules.setdefault("scorelane_encoders", ModuleType("scorelane_encoders")))
-    if (path, kept) not in held:
-        held[path, kept] = WordEncoder(path, kept)
-    return held[path, kept]
+    """The encoder of this Python worker."""
+    return kept_by_worker(("encoder", path, kept), lambda: WordEncoder(path, kept))

@@ -19,11 +19,9 @@ a null ``doc_id`` is scored, and held out, as its text has remainder 0.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelane.llm.common import quoted, staged, struct_of
+from scorelane.llm.common import kept_by_worker, quoted, staged, struct_of
 
 SAMPLE = 8000
 COLUMNS = 1 << 20
 FOLDS = 5
 ACCEPTED = 0.3
-KEPT_WORDS = 500_000
+#: Words whose hashes a worker keeps, some 200 bytes each.
+KEPT_WORDS = 300_000
 
 _CASES = str.maketrans(
     {c: "X" for c in map(chr, range(0x250)) if c.isupper()}
@@ -60,8 +59,7 @@ class _Words(dict):
 
 
 def worker_words() -> _Words:
-    held = vars(sys.modules.setdefault("scorelane_words", ModuleType("scorelane_words")))
-    return held.setdefault("words", _Words())
+    return kept_by_worker("words", _Words)
 
 
 def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:

@@ -16,16 +16,14 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
 from collections.abc import Callable, Iterable, Iterator
-from types import ModuleType
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.llm.common import struct_of
+from scorelane.llm.common import kept_by_worker, struct_of
 
 SEGMENT = 1024
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -155,13 +153,13 @@ class CountedText:
 
 def worker_count(path: str, pattern: str) -> Callable[[str], int]:
     """How many tokens a text has, with the tokenizer of this Python worker."""
-    held = vars(sys.modules.setdefault("scorelane_counters", ModuleType("scorelane_counters")))
-    if (path, pattern) not in held:
+
+    def load() -> tiktoken.Encoding:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        held[path, pattern] = encoding
-    encode = held[path, pattern].encode_ordinary
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    encode = kept_by_worker(("ranks", path, pattern), load).encode_ordinary
     return lambda text: len(encode(text))
 
 
