@@ -3,9 +3,11 @@
 A document's words give a rolling hash of each pair of neighbours. The hashes are
 joined to those of the templates; a hit votes for a diagonal, the word at which
 the template would have to start. A phrase is found where all its pairs vote for
-one diagonal. For the longer notices neighbouring diagonals are merged, so that a
-word put in or left out does not part a span, and a span counts if it covers
-enough of its template and is not much longer than it.
+one diagonal. For notices neighbouring diagonals are merged to bands, so that a word
+put in or left out does not part a span. A band may be longer than its template, so
+it is verified from each of its hits on: a span counts if the hits that are not much
+further away than the template is long stand at enough different places of it. A
+place that is hit again counts once.
 
 Templates are a fixed table, so it is broadcast. A document keeps one row through
 the join and has its hits beside it, so there is one shuffle, of hits only. Pairs
@@ -60,6 +62,8 @@ FUNCTION_WORDS = frozenset(
 NEAR = 2
 COVERED = 0.75
 STRETCH = 1.5
+#: Into how many steps a span's reach is cut, as a window's range has one bound for all templates.
+SCALE = 1000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -113,35 +117,30 @@ def scan(documents: DataFrame, phrases=PHRASES, notices=NOTICES, covered: float
         rolled.join(F.broadcast(templates), "gram", "left")
         .where(F.col("template").isNotNull() | (F.coalesce("place", F.lit(0)) == 0))
         .withColumn("diagonal", F.col("place") - F.col("at"))
-        .drop("gram", "at")
+        .drop("gram")
         .repartition(ROW_KEY)
     )
     document = [ROW_KEY, "doc_id", "n_words"]
     template = ["template", "label", "base", "span", "pairs"]
-    votes = hits.groupBy(*document, *template, "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("place").alias("low"), F.max("place").alias("high")
-    )
     line = Window.partitionBy(*document, *template).orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(line) > NEAR
     joined = F.when(F.col("base"), F.col("diagonal")).otherwise(
         F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(line)
     )
+    # From each hit as far as a span may reach: places are whole, so half a word more lets in no other.
+    reach = F.floor(F.col("span") * STRETCH) - 2 + 0.5
+    within = Window.partitionBy(*document, *template, "band").orderBy("stretch").rangeBetween(0, SCALE)
     spans = (
-        votes.withColumn("band", joined)
-        .groupBy(*document, *template, "band")
-        .agg(
-            F.min("diagonal").alias("start"),
-            F.sum("votes").alias("votes"),
-            (F.max("high") - F.min("low") + 2).alias("length"),
-        )
-        .withColumn("cover", F.least(F.col("votes") / F.col("pairs"), F.lit(1.0)))
+        hits.withColumn("band", joined)
+        .withColumn("stretch", F.col("place") * SCALE / reach)
+        .withColumn("cover", F.size(F.collect_set("at").over(within)) / F.col("pairs"))
     )
-    place = F.col("base") & (F.col("votes") == F.col("pairs"))
-    notice = ~F.col("base") & (F.col("cover") >= covered) & (F.col("length") <= F.col("span") * STRETCH)
+    place = F.col("base") & (F.col("cover") == 1)
+    notice = ~F.col("base") & (F.col("cover") >= covered)
     found = spans.groupBy(*document).agg(
         F.count(F.when(place, 1)).alias("n_base"),
-        F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
+        F.min(F.when(place, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(place, F.col("diagonal"))).cast("long").alias("last_word"),
         F.collect_set(F.when(place, F.col("label"))).alias("base_labels"),
         F.collect_set(F.when(place | notice, F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(place | notice, F.col("cover"))), F.lit(0.0)).alias("score"),

@@ -59,6 +59,26 @@ def test_notices_with_words_put_in_and_left_out(spark):
     assert [found[i].labels for i in range(9)] == ["mit", "mit", "mit", "", "", "mit", "cc-by,cc-by-nc", "all-rights-reserved", ""]
 
 
+def test_lists_of_notices(spark):
+    """A place of a template counts once, and what stands beside a notice does not hide it."""
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    words = notice.split()
+    texts = [
+        "CC BY, CC BY-SA",
+        "CC BY or CC BY",
+        "CC BY-NC, CC BY-ND, CC BY-SA",
+        "CC BY CC BY CC BY CC BY",
+        "free of charge free of charge free of charge free of charge " + notice + " a copy of a copy of this copy of this",
+        "hereby granted granted " * 3 + " ".join(words[:6] + ["really"] + words[6:]) + " this software of this software",
+        "free of charge " * 12,
+    ]
+    found = assert_base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [found[i].labels for i in range(7)] == [
+        "cc-by,cc-by-sa", "cc-by", "cc-by,cc-by-nc,cc-by-nd,cc-by-sa", "cc-by", "mit", "mit", "",
+    ]
+    assert [found[i].score for i in range(7)] == [1, 1, 1, 1, 1, found[5].score, 0]
+
+
 def test_documents_of_the_table(spark, folder):
     assert_base(table(spark, folder, "documents"))
 
