@@ -226,6 +226,17 @@ def single_answers(spark: SparkSession, folder: str) -> DataFrame:
     return score_answers(supervised_examples(rows, variant="single"), MARKED)
 
 
+@query(
+    f"""WITH {PLAIN_ROWS}
+SELECT dataset, split, sample_id, label, prediction || '<|end|>' AS prediction,
+  prediction AS answer FROM answered"""
+)
+def all_single_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every response, answered, cleaned of markers and normalised."""
+    rows = ready(data.responses(spark, folder), None)
+    return score_answers(supervised_examples(rows, variant="single"), MARKED)
+
+
 @query(
     f"""WITH {sql.RESPONSES}, parsed AS (
   SELECT *, CAST(tenths >= 40 AS INTEGER) = {sql.pair_label('grade')} AS same FROM responses

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from scorelane.suite import ORACLES, QUERIES
+from scorelane.suite import ORACLES, QUERIES, data
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -53,6 +53,16 @@ def test_arrays_hold_whole_texts_and_vectors(spark, duck, folder):
     assert sum(r.own for r in masks) == duck.execute(words).fetchone()[0]
 
 
+def test_every_response_is_answered(spark, folder):
+    """No dataset or split is cut: there is an answer for each response."""
+    keys = ["dataset", "split", "sample_id"]
+    asked = sorted(tuple(r) for r in data.responses(spark, folder).select(*keys).collect())
+    found = contract.queries()["all_single_answers"](spark, folder).select(*keys).collect()
+    assert sorted(tuple(r) for r in found) == asked
+    limited = contract.queries()["single_answers"](spark, folder).count()
+    assert limited < len(asked)
+
+
 def test_entry_has_rows(spark, folder):
     assert contract.entry(spark).count() == 5
 
