@@ -19,8 +19,14 @@ CONTRACT = {
     8: ["doc_id", "fingerprint", "component_id"],
     9: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     10: ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    11: ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    12: ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    13: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
-LONG = "start length ids_crc32 doc_tokens sequence_id offset size source_size taken n_chars group_size payload_bytes n_words n_base"
+LONG = (
+    "start length ids_crc32 doc_tokens sequence_id offset size source_size taken n_chars group_size payload_bytes "
+    "n_words n_base n_removed depth n_convs n_children n_leaves saved_tokens"
+)
 
 
 def test_all_are_registered():
@@ -40,7 +46,7 @@ def test_columns(spark, folder, name):
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_query_equals_its_sql(spark, name, size):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "labels", "embeddings"):
+    for table in ("documents", "pages", "labels", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/{size}/{table}.parquet'")
     frame = QUERIES[name](spark, f"/root/testdata/{size}")
     columns = sorted(frame.columns)
