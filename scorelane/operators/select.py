@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelane.functions.scores import strip_space
+from scorelane.operators.keys import KEY, keyed
 
 
 def select_by(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -54,11 +55,11 @@ def unmatched_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     """How many keys both sides share, and how many only one of them has.
 
     Rows are counted per key on each side before the shuffle, so a key that
-    occurs often is one row by the time the sides meet.
+    occurs often is one row by the time the sides meet. Null is a key like others.
     """
-    lefts = left.groupBy(*keys).agg(F.count("*").alias("left_rows"))
-    rights = right.groupBy(*keys).agg(F.count("*").alias("right_rows"))
-    both = lefts.join(rights, list(keys), "full_outer")
+    lefts = keyed(left.select(*keys), keys).groupBy(KEY).agg(F.count("*").alias("left_rows"))
+    rights = keyed(right.select(*keys), keys).groupBy(KEY).agg(F.count("*").alias("right_rows"))
+    both = lefts.join(rights, KEY, "full_outer")
     return both.agg(
         F.count_if(F.col("left_rows").isNotNull() & F.col("right_rows").isNotNull()).alias(
             "matched"

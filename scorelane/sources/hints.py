@@ -45,10 +45,15 @@ def read_hint_maps(
     return maps.select(*kept, *(name for name in HINT_MAP.names if name not in named))
 
 
-def hint_rows(maps: DataFrame, *keep: str) -> DataFrame:
-    """One row per prediction, keyed by ``sample_id``."""
-    return maps.select(*keep, F.explode("binary_predictions")).select(
-        *keep, F.col("key").try_cast("bigint").alias("sample_id"), F.col("value").alias("hint")
+def hint_rows(maps: DataFrame, *keep: str, place: str | None = None) -> DataFrame:
+    """One row per prediction, keyed by ``sample_id``; ``place`` names a column for its place in the map.
+
+    A map may repeat an id. Its entries all come out, and their place tells the last.
+    """
+    entries = maps.select(*keep, F.posexplode("binary_predictions").alias("_place", "key", "value"))
+    placed = [] if place is None else [F.col("_place").alias(place)]
+    return entries.select(
+        *keep, F.col("key").try_cast("bigint").alias("sample_id"), F.col("value").alias("hint"), *placed
     )
 
 

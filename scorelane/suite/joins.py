@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scorelane.operators.hints import (
     attach_hints,
+    hint_conflicts,
+    hint_match_rate,
     hints_from_results,
     without_hint,
     zip_results,
@@ -87,6 +89,110 @@ def documents_against_labels(spark: SparkSession, folder: str) -> DataFrame:
     return unmatched_counts(documents, data.table(spark, folder, "labels"), ["doc_id"])
 
 
+UNNAMED = f"""{sql.HINTS}, asked AS (
+  SELECT sample_id, CASE WHEN dataset <> 'click' THEN dataset END AS dataset,
+    CASE WHEN sample_id % 5 > 0 THEN split END AS split, prediction, label
+  FROM pairs
+), given AS (
+  SELECT sample_id, dataset, split, trim(prediction, {sql.SPACE}) AS hint, 1 AS run
+  FROM asked WHERE contains(prediction, ',')
+  UNION ALL
+  SELECT sample_id, dataset, split, trim(prediction, {sql.SPACE}) || ' again', 2
+  FROM asked WHERE contains(prediction, ',') AND sample_id % 3 = 0
+  UNION ALL
+  SELECT sample_id, dataset, split, trim(prediction, {sql.SPACE}), 2
+  FROM asked WHERE contains(prediction, ',') AND sample_id % 4 = 0
+)"""
+
+KEYS = ("sample_id", "dataset", "split")
+
+
+def _unnamed(rows: DataFrame) -> DataFrame:
+    """Rows of which one dataset and some splits have no name."""
+    return rows.withColumns(
+        {
+            "dataset": F.when(F.col("dataset") != "click", F.col("dataset")),
+            "split": F.when(F.col("sample_id") % 5 > 0, F.col("split")),
+        }
+    )
+
+
+def _repeated(results: DataFrame) -> DataFrame:
+    """Hints of two runs; the second repeats some with another text, some with the same."""
+    hints = hints_from_results(results).select(*KEYS, "hint").withColumn("run", F.lit(1))
+    other = hints.where(F.col("sample_id") % 3 == 0).withColumns(
+        {"hint": F.concat("hint", F.lit(" again")), "run": F.lit(2)}
+    )
+    same = hints.where(F.col("sample_id") % 4 == 0).withColumn("run", F.lit(2))
+    return hints.unionByName(other).unionByName(same)
+
+
+@query(
+    f"""WITH {UNNAMED}
+SELECT a.sample_id, a.dataset, a.split, coalesce(h.hint, 'No binary prediction') AS hint
+FROM asked a LEFT JOIN (
+  SELECT sample_id, dataset, split, arg_max(hint, (run, hint)) AS hint FROM given GROUP BY sample_id, dataset, split
+) h ON a.sample_id = h.sample_id AND a.dataset IS NOT DISTINCT FROM h.dataset
+  AND a.split IS NOT DISTINCT FROM h.split"""
+)
+def unnamed_responses_with_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Null names are names like others, and of repeated hints the last run's counts."""
+    results = _unnamed(data.pair_results(spark, folder))
+    rows = attach_hints(_unnamed(data.responses(spark, folder)), _repeated(results), order=["run"])
+    return rows.select(*KEYS, "hint")
+
+
+@query(
+    f"""WITH {UNNAMED}
+SELECT sample_id, dataset, split, count(*) AS hints, min(hint) AS least, max(hint) AS greatest
+FROM given GROUP BY sample_id, dataset, split HAVING count(DISTINCT hint) > 1"""
+)
+def conflicting_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that two runs gave different hints."""
+    return hint_conflicts(_repeated(_unnamed(data.pair_results(spark, folder))))
+
+
+@query(f"WITH {UNNAMED} SELECT sample_id, dataset, split FROM asked WHERE NOT contains(prediction, ',')")
+def unnamed_responses_without_hint(spark: SparkSession, folder: str) -> DataFrame:
+    results = _unnamed(data.pair_results(spark, folder))
+    rows = without_hint(_unnamed(data.responses(spark, folder)), hints_from_results(results))
+    return rows.select(*KEYS)
+
+
+@query(
+    f"""WITH {UNNAMED}
+SELECT dataset, split, count(*) AS responses, count(*) FILTER (contains(prediction, ',')) AS hinted,
+  count(*) FILTER (contains(prediction, ',')) / count(*) AS rate
+FROM asked GROUP BY dataset, split"""
+)
+def unnamed_match_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated hints count once, and null names have a rate of their own."""
+    results = _unnamed(data.pair_results(spark, folder))
+    return hint_match_rate(_unnamed(data.responses(spark, folder)), _repeated(results))
+
+
+@query(f"WITH {UNNAMED} SELECT sample_id, dataset, split, prediction, label FROM asked")
+def unnamed_predictions_beside_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _unnamed(data.pair_results(spark, folder))
+    return zip_results(rows.select(*KEYS, "prediction"), rows.select(*KEYS, "label"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT CASE WHEN doc_id % 9 > 0 THEN doc_id END AS k, lang FROM documents),
+l AS (
+  SELECT DISTINCT CASE WHEN doc_id % 9 > 0 THEN doc_id END AS k, lang FROM documents WHERE doc_id % 4 <> 1
+)
+SELECT count(*) FILTER (d.lang IS NOT NULL AND l.lang IS NOT NULL) AS matched,
+  count(*) FILTER (l.lang IS NULL) AS left_only, count(*) FILTER (d.lang IS NULL) AS right_only
+FROM d FULL JOIN l ON d.k IS NOT DISTINCT FROM l.k AND d.lang = l.lang"""
+)
+def unnamed_documents_against_others(spark: SparkSession, folder: str) -> DataFrame:
+    """Null keys on both sides are one key."""
+    number = F.col("doc_id")
+    documents = data.table(spark, folder, "documents").select(F.when(number % 9 > 0, number).alias("k"), "lang", "doc_id")
+    return unmatched_counts(documents, documents.where(number % 4 != 1), ["k", "lang"])
+
+
 @query(
     f"""WITH {sql.RESPONSES}
 SELECT sample_id, speaker_id, grade FROM responses

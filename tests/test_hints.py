@@ -2,7 +2,15 @@ import pytest
 from helpers import exchanges
 from pyspark.sql import functions as F
 
-from scorelane.operators.hints import attach_hints, hints_from_results, without_hint, zip_results
+from scorelane.operators.hints import (
+    attach_hints,
+    hint_conflicts,
+    hint_match_rate,
+    hints_from_results,
+    settled_hints,
+    without_hint,
+    zip_results,
+)
 from scorelane.operators.select import (
     choose_samples,
     missing_from,
@@ -11,6 +19,7 @@ from scorelane.operators.select import (
     unmatched_counts,
 )
 from scorelane.sinks.results import write_bucketed
+from scorelane.sources.hints import hint_rows, read_hint_maps
 
 KEYS = "dataset string, split string, sample_id long"
 
@@ -96,3 +105,38 @@ def test_bucketed_tables_are_joined_without_a_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS hints")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_null_names_and_repeats(spark):
+    """Null is a name like others, and a repeated hint does not repeat the response."""
+    rows = spark.createDataFrame([(None, "dev", 0), ("a", None, 0), ("a", "dev", 0), (None, "dev", 1)], KEYS)
+    hints = spark.createDataFrame(
+        [(None, "dev", 0, "old", 1), (None, "dev", 0, "new", 2), (None, "dev", 0, None, 2), ("a", None, 0, "x", 1)],
+        f"{KEYS}, hint string, run int",
+    )
+    found = attach_hints(rows, hints, default="none", order=["run"]).collect()
+    assert {(r.dataset, r.split, r.sample_id): r.hint for r in found} == {
+        (None, "dev", 0): "new", ("a", None, 0): "x", ("a", "dev", 0): "none", (None, "dev", 1): "none"
+    }
+    assert len(found) == 4 and attach_hints(rows, hints, default="none").count() == 4
+    conflict = hint_conflicts(hints).collect()
+    assert [(r.sample_id, r.dataset, r.split, r.hints, r.least, r.greatest) for r in conflict] == [
+        (0, None, "dev", 3, "new", "old")
+    ]
+    assert without_hint(rows, hints).count() == 2
+    rates = {(r.dataset, r.split): r.rate for r in hint_match_rate(rows, hints).collect()}
+    assert rates == {(None, "dev"): 0.5, ("a", None): 1.0, ("a", "dev"): 0.0}
+    left, right = rows.withColumn("prediction", F.lit("p")), rows.withColumn("label", F.lit("l"))
+    assert zip_results(left, right).count() == 4
+    assert tuple(unmatched_counts(rows, rows, ["dataset", "split", "sample_id"]).first()) == (4, 0, 0)
+
+
+def test_the_last_entry_of_an_id_counts(spark, tmp_path):
+    """A map that repeats an id, as a text may: the place in the map decides."""
+    path = tmp_path / "map.json"
+    path.write_text('{"dataset": "a", "split": "dev", "binary_predictions": {"7": "z first", "8": "b", "7": "a last"}}')
+    hints = hint_rows(read_hint_maps(spark, str(path)), "dataset", "split", place="place")
+    assert settled_hints(hints, order=["place"]).where("sample_id = 7").first().hint == "a last"
+    rows = spark.createDataFrame([("a", "dev", 7), ("a", "dev", 8)], KEYS)
+    found = attach_hints(rows, hints, order=["place"]).collect()
+    assert {r.sample_id: r.hint for r in found} == {7: "a last", 8: "b"}
