@@ -22,11 +22,34 @@ def pad_ids(ids: Column, width: Column, side: str = "left") -> Column:
     return pad(ids, width, F.lit(PAD_ID).cast("bigint"), side)
 
 
+def pad_block(values: Column, sizes: Sequence[Column], fill: Column) -> Column:
+    """A nested array of any rank brought to ``sizes``, one for each dimension from the outermost.
+
+    ``fill`` is the value that is put in; whole rows and planes of it where one is missing.
+    Blocks that are to be joined along a dimension keep their own size there.
+    """
+    if len(sizes) == 1:
+        return pad(values, sizes[0], fill)
+    row = fill
+    for size in reversed(sizes[1:]):
+        row = F.array_repeat(row, size.cast("int"))
+    return pad(F.transform(values, lambda inner: pad_block(inner, sizes[1:], fill)), sizes[0], row)
+
+
+def block_sizes(values: Column, rank: int) -> list[Column]:
+    """The size of a nested array of ``rank`` dimensions: in each the longest array there, 0 if none."""
+    sizes, level = [F.greatest(F.size(values), F.lit(0))], values
+    for depth in range(1, rank):
+        longest = F.array_max(F.transform(level, lambda inner: F.size(inner)))
+        sizes.append(F.greatest(F.coalesce(longest, F.lit(0)), F.lit(0)))
+        if depth + 1 < rank:
+            level = F.flatten(level)
+    return sizes
+
+
 def pad_frames(frames: Column, rows: Column, columns: Column) -> Column:
     """A list of frames brought to ``rows`` frames of ``columns`` values each."""
-    zero = F.lit(0.0).cast("float")
-    wide = F.transform(frames, lambda frame: pad(frame, columns, zero))
-    return pad(wide, rows, F.array_repeat(zero, columns.cast("int")))
+    return pad_block(frames, [rows, columns], F.lit(0.0).cast("float"))
 
 
 def attention_mask(ids: Column) -> Column:
@@ -68,3 +91,58 @@ def cut_generated(ids: Column, prompt_length: Column, stop_ids: Sequence[int]) -
     places = [F.nullif(place, F.lit(0)) for place in found]
     first = (F.least(*places) if len(places) > 1 else places[0]).cast("int")
     return F.when(first > 0, F.slice(generated, 1, first - 1)).otherwise(generated)
+
+
+def stop_automaton(stops: Sequence[Sequence[int]]) -> tuple[list[int], list[list[int]], list[int]]:
+    """What follows several stop sequences at once: the ids in them, a table of states, and lengths.
+
+    A state stands for the longest beginning of a stop that the ids read so far end
+    with. Its row in the table has the next state for any other id, and then for each
+    id of the stops; its length is that of the longest stop that ends there, or 0.
+    """
+    alphabet = sorted({token for stop in stops for token in stop})
+    states: dict[tuple[int, ...], int] = {}
+    for stop in stops:
+        for end in range(len(stop) + 1):
+            states.setdefault(tuple(stop[:end]), len(states))
+
+    def longest(read: tuple[int, ...]) -> int:
+        return next(states[read[cut:]] for cut in range(len(read) + 1) if read[cut:] in states)
+
+    table = [[0, *(longest((*held, token)) for token in alphabet)] for held in states]
+    whole = {tuple(stop) for stop in stops}
+    lengths = [max((len(held[cut:]) for cut in range(len(held)) if held[cut:] in whole), default=0) for held in states]
+    return alphabet, table, lengths
+
+
+def cut_at_sequences(
+    ids: Column, prompt_length: Column, stops: Sequence[Sequence[int]], pad_id: int | None = PAD_ID
+) -> Column:
+    """What was generated behind the prompt, up to the stop sequence that is complete first.
+
+    Stops of different lengths may come padded with ``pad_id``, which is not part of
+    them; ``None`` where no id is padding. Of stops that are complete at one id the
+    longest counts. A stop does not begin in the prompt. The ids are read once, however
+    many stops there are; a null among them is no id of a stop.
+    """
+    bare = [tuple(token for token in stop if token != pad_id) for stop in stops]
+    if not bare or not all(bare):
+        raise ValueError("a stop sequence has at least one id that is not padding")
+    alphabet, table, lengths = stop_automaton(bare)
+    generated = F.slice(ids, prompt_length + 1, F.greatest(F.size(ids) - prompt_length, F.lit(0)))
+    known = F.array(*(F.lit(token).cast("bigint") for token in alphabet))
+    rows = F.array(*(F.array(*(F.lit(state) for state in row)) for row in table))
+    ends = F.array(*(F.lit(length) for length in lengths))
+
+    def step(now: Column, token: Column) -> Column:
+        place = F.coalesce(F.array_position(known, token.cast("bigint")), F.lit(0)).cast("int")
+        state = F.get(F.get(rows, now["state"]), place)
+        read = now["read"] + 1
+        found = F.when(F.get(ends, state) > 0, read - F.get(ends, state))
+        return F.struct(
+            state.alias("state"), read.alias("read"), F.coalesce(now["kept"], found).alias("kept")
+        )
+
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("kept"))
+    kept = F.aggregate(generated, start, step, lambda last: last["kept"])
+    return F.when(kept.isNotNull(), F.slice(generated, 1, kept)).otherwise(generated)

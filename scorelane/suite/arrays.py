@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from scorelane.functions.arrays import (
     attention_mask,
+    block_sizes,
+    cut_at_sequences,
     cut_generated,
     drop_pad,
     evaluation_labels,
     length_mask,
+    pad_block,
     pad_frames,
     pad_ids,
     training_ids,
@@ -145,6 +148,38 @@ def generated_until_stop(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stop_ends(stop: tuple[int, ...]) -> str:
+    """(end, length) of each place where a stop stands."""
+    bare = [token for token in stop if token]
+    n = len(bare)
+    held = f"list_slice(answer_ids, i, i + {n - 1}) = {bare}"
+    return f"[{{'e': i + {n - 1}, 'n': -{n}}} FOR i IN range(1, len(answer_ids) - {n} + 2) IF {held}]"
+
+
+@query(
+    f"""WITH {sql.TOKENS}, ends AS (
+  SELECT sample_id, answer_ids,
+    list_min(list_concat({', '.join(map(_stop_ends, data.STOPS))})) AS first FROM tokens
+), cut AS (
+  SELECT sample_id, CASE WHEN first IS NULL THEN answer_ids
+    ELSE list_slice(answer_ids, 1, first.e + first.n) END AS generated, first IS NOT NULL AS stopped FROM ends
+)
+SELECT sample_id, stopped, len(generated) AS n, {_joined('generated')} AS generated FROM cut"""
+)
+def generated_until_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """What follows the prompt, up to the stop sequence that is complete first."""
+    rows = data.token_rows(spark, folder)
+    ids = training_ids(F.col("prompt_ids"), F.col("answer_ids"))
+    cut = cut_at_sequences(ids, F.size("prompt_ids"), data.STOPS)
+    shown = rows.select("sample_id", F.size("answer_ids").alias("own"), cut.alias("generated"))
+    return shown.select(
+        "sample_id",
+        (F.size("generated") < F.col("own")).alias("stopped"),
+        F.size("generated").cast("bigint").alias("n"),
+        F.md5(ids_text(F.col("generated"))).alias("generated"),
+    )
+
+
 def _frames_sql(frames: str) -> str:
     """Frames as text: values in millionths, cut off, so that engines print them alike."""
     whole = "CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)"
@@ -173,6 +208,39 @@ def padded_frames(spark: SparkSession, folder: str) -> DataFrame:
     return data.audio_frames(spark, folder).select("sample_id", _frames_text(padded).alias("padded"))
 
 
+_BLOCK = """list_concat(
+  [list_concat([list_concat(f, [0::BIGINT FOR k IN range(c - len(f))]) FOR f IN p],
+    [[0::BIGINT FOR k IN range(c)] FOR j IN range(b - len(p))]) FOR p IN block],
+  [[[0::BIGINT FOR k IN range(c)] FOR j IN range(b)] FOR i IN range(a - len(block))])"""
+
+
+@query(
+    f"""WITH {sql.TOKENS}, planes AS (
+  SELECT sample_id, dataset, [[prompt_ids, answer_ids], [[CAST(len(prompt_ids) AS BIGINT)]],
+    [[sample_id FOR i IN range(sample_id % 3)] FOR j IN range(sample_id % 2)]] AS block FROM tokens
+), sized AS (
+  SELECT *, len(block) AS a, list_max([len(p) FOR p IN block]) AS b,
+    list_max([coalesce(list_max([len(f) FOR f IN p]), 0) FOR p IN block]) AS c FROM planes
+), wide AS (SELECT sample_id, block, a + sample_id % 2 AS a, b, c FROM sized)
+SELECT sample_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c,
+  md5(array_to_string([array_to_string([array_to_string(f, ',') FOR f IN p], ';') FOR p IN {_BLOCK}], '|')) AS padded
+FROM wide"""
+)
+def padded_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ragged arrays of rank three brought to the same size in each dimension, some with a plane more."""
+    number = F.col("sample_id")
+    empty = F.array().cast("array<bigint>")
+    last = F.array_repeat(F.array_repeat(number, (number % 3).cast("int")), (number % 2).cast("int"))
+    size = F.size("prompt_ids").cast("bigint")
+    block = F.array(F.array("prompt_ids", "answer_ids"), F.array(F.array(size)), F.coalesce(last, F.array(empty)))
+    rows = data.token_rows(spark, folder).select("sample_id", block.alias("block"))
+    a, b, c = block_sizes(F.col("block"), 3)
+    rows = rows.withColumns({"a": (a + number % 2).cast("bigint"), "b": b.cast("bigint"), "c": c.cast("bigint")})
+    padded = pad_block(F.col("block"), [F.col("a"), F.col("b"), F.col("c")], F.lit(0).cast("bigint"))
+    planes = F.transform(padded, lambda plane: F.array_join(F.transform(plane, ids_text), ";"))
+    return rows.select("sample_id", "a", "b", "c", F.md5(F.array_join(planes, "|")).alias("padded"))
+
+
 def _zeros(missing: str) -> str:
     return f"[0::BIGINT FOR i IN range({missing})]"
 

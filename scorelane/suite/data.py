@@ -14,6 +14,8 @@ from scorelane.functions.pairs import grade_to_pair, pair_text
 from scorelane.operators.position import whole_part
 
 STOP_IDS = (9, 13)
+#: Stop sequences, padded on the right to one length.
+STOPS = ((4, 2, 0), (2, 6, 2), (5, 0, 0), (3, 2, 6))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

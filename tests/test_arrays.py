@@ -1,14 +1,19 @@
+import random
+
 import pytest
 from helpers import column
 from pyspark.sql import functions as F
 
 from scorelane.functions.arrays import (
     attention_mask,
+    block_sizes,
+    cut_at_sequences,
     cut_generated,
     drop_pad,
     evaluation_labels,
     length_mask,
     pad,
+    pad_block,
     pad_frames,
     pad_ids,
     training_ids,
@@ -104,3 +109,50 @@ def test_every_row_of_a_batch_has_its_width(spark):
     assert {r.sample_id: (r.batch, r.width, r.batch_rows) for r in wide} == {
         10: (0, 2, 2), 11: (0, 2, 2), 12: (1, 3, 1), 13: (0, 1, 1),
     }
+
+
+def cut(spark, rows, stops, **how):
+    frame = spark.createDataFrame([(i, p, ids) for i, (p, ids) in enumerate(rows)], "i int, p int, ids array<bigint>")
+    found = frame.select("i", cut_at_sequences(F.col("ids"), F.col("p"), stops, **how).alias("kept")).collect()
+    return [row.kept for row in sorted(found, key=lambda row: row.i)]
+
+
+def by_rule(ids, stops):
+    """Up to the stop that is complete first; of several the longest."""
+    for end in range(1, len(ids) + 1):
+        held = [len(s) for s in stops if len(s) <= end and ids[end - len(s) : end] == list(s)]
+        if held:
+            return ids[: end - max(held)]
+    return ids
+
+
+def test_stop_sequences(spark):
+    stops = [(1, 2, 1, 3), (2, 1, 1), (3, 3), (4,)]
+    chance = random.Random(7)
+    rows = [(0, [chance.randrange(1, 6) for _ in range(chance.randrange(12))]) for _ in range(300)]
+    assert cut(spark, rows, stops) == [by_rule(ids, stops) for _, ids in rows]
+    # overlapping beginnings: the automaton falls back without reading an id again
+    assert cut(spark, [(0, [1, 2, 1, 2, 1, 3, 5])], stops) == [[1, 2]]
+    # a stop neither begins in the prompt nor in an unknown id
+    assert cut(spark, [(2, [3, 3, 3, 5]), (1, [9, None, 2**40, 4]), (5, [4]), (0, [])], stops) == [[3, 5], [None, 2**40], [], []]
+
+
+def test_padded_stops(spark):
+    assert cut(spark, [(0, [5, 0, 7, 8])], [(7, 0), (0, 7, 8)]) == [[5, 0]]
+    assert cut(spark, [(0, [5, 0, 7, 8])], [(0, 7)], pad_id=None) == [[5]]
+    for stops in ([], [()], [(0, 0)]):
+        with pytest.raises(ValueError, match="stop"):
+            cut(spark, [(0, [1])], stops)
+
+
+def test_blocks_of_any_rank(spark):
+    four = [[[[1], [2, 3]]], [[[4]], []]]
+    frame = spark.createDataFrame([(four,), ([],), ([[]],)], "b array<array<array<array<bigint>>>>")
+    sizes = block_sizes(F.col("b"), 4)
+    assert [tuple(r) for r in frame.select(*sizes).collect()] == [(2, 2, 2, 2), (0, 0, 0, 0), (1, 0, 0, 0)]
+    zero = F.lit(0).cast("bigint")
+    padded = pad_block(F.col("b"), [F.lit(2), F.lit(2), F.lit(2), F.lit(3)], zero)
+    found = [r[0] for r in frame.select(padded).collect()]
+    whole = [[[[0] * 3] * 2] * 2] * 2
+    assert found[1] == found[2] == whole
+    assert found[0][0][0] == [[1, 0, 0], [2, 3, 0]] and found[0][1] == [[[4, 0, 0], [0, 0, 0]], [[0] * 3] * 2]
