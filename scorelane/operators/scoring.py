@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from types import ModuleType
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.cloudpickle import dumps, register_pickle_by_value
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 import scorelane
+from scorelane.operators.identity import code_digest
 
 Scorer = Callable[[pd.DataFrame], Sequence[str]]
 ScorerFactory = Callable[[], Scorer]
@@ -37,11 +37,6 @@ def _scorer(key: str, factory: ScorerFactory) -> Scorer:
     return held.scorer
 
 
-def factory_digest(factory: ScorerFactory) -> str:
-    """What tells factories apart: a digest of their code and what they carry along."""
-    return hashlib.sha256(dumps(factory)).hexdigest()
-
-
 def score_batches(
     rows: DataFrame,
     name: str,
@@ -68,7 +63,7 @@ def score_batches(
     fields = [rows.schema[column] for column in keep]
     schema = T.StructType([*fields, T.StructField(output, T.StringType())])
     kept, used = list(keep), list(inputs)
-    key = f"{name}:{factory_digest(factory)}"
+    key = f"{name}:{code_digest(factory)}"
 
     def checked(answers: Sequence[str], count: int) -> list[str]:
         answers = list(answers)

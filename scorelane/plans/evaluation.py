@@ -1,8 +1,10 @@
 """Evaluating a model: examples, scoring, results and metrics.
 
 Results lie in a folder per model. Beside each lies a note of what made them: the
-model, the target and prompt, and a fingerprint of the examples. A run that finds
-a complete table goes on with it only if the note is its own.
+model and its version or code, the target and the prompt. Each row keeps a digest of
+what the model was given, taken while it is scored, so a first run reads its examples
+once. A run that finds results goes on with them only if the note is its own, and, if
+it may grow, scores only examples that are new or have changed.
 
 Joining hints to responses is the one step that could move audio. Keep large
 response sets in a table bucketed by their key (``write_bucketed``): then only
@@ -16,17 +18,19 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scorelane.functions.pairs import normalise_pair_text
 from scorelane.functions.text import remove_markers
-from scorelane.operators.hints import HINT_KEYS, hints_from_results, require_match
+from scorelane.operators.hints import HINT_KEYS, hints_from_results
+from scorelane.operators.identity import code_digest
 from scorelane.operators.metrics import metrics
 from scorelane.operators.position import take_first
 from scorelane.operators.prompts import hint_examples, supervised_examples
-from scorelane.operators.scoring import ScorerFactory, factory_digest, score_batches
-from scorelane.plans.stages import fingerprint, stage
+from scorelane.operators.scoring import ScorerFactory, score_batches
+from scorelane.plans.resume import DIGEST, scored_parts
+from scorelane.schemas import NO_HINT
 from scorelane.sinks.results import (
     catalogue_entries,
     folder_name,
@@ -39,13 +43,18 @@ from scorelane.sources.responses import require_rows
 
 @dataclass(frozen=True)
 class Model:
-    """A scorer and the name its results go by."""
+    """A scorer and the name its results go by.
+
+    ``version`` tells builds of a model apart. Without one a digest of the factory's
+    code does, which does not see weights that the factory loads.
+    """
 
     name: str
     factory: ScorerFactory
     inputs: tuple[str, ...] = ("prompt_text", "audio")
     batch_size: int = 4
     arrow: bool = False
+    version: str | None = None
 
     @property
     def folder(self) -> str:
@@ -56,7 +65,7 @@ class Model:
 
 def score(examples: DataFrame, model: Model, keys: Sequence[str] = HINT_KEYS) -> DataFrame:
     """Predictions beside labels, by response."""
-    keep = [*keys, "label"]
+    keep = [*keys, "label", *([DIGEST] if DIGEST in examples.columns else [])]
     return score_batches(
         examples, model.name, model.factory, model.inputs, keep, model.batch_size, arrow=model.arrow
     )
@@ -83,20 +92,26 @@ def ready(responses: DataFrame, limit: int | None, by: Sequence[str] = ("dataset
     return take_first(responses, "sample_id", limit, by).drop("position")
 
 
-def _identity(examples: DataFrame, model: Model, **how: str) -> dict[str, str]:
-    """What a stage is made by and from.
+def _identity(model: Model, **how: str) -> dict[str, str]:
+    """What results are made by. Audio is told by the rest of its row, and is not read for it."""
+    build = {"scorer": code_digest(model.factory)} if model.version is None else {"version": model.version}
+    return {"model": model.name, "inputs": ",".join(model.inputs), **build, **how}
 
-    The examples' keys, labels and prompts are hashed, not their audio, which
-    would be read once more for it.
-    """
-    looked_at = [c for c in (*HINT_KEYS, "label", "prompt_text") if c in examples.columns]
-    return {
-        "model": model.name,
-        "scorer": factory_digest(model.factory),
-        "inputs": ",".join(model.inputs),
-        "examples": fingerprint(examples, looked_at),
-        **how,
-    }
+
+def _scored(
+    spark: SparkSession, path: str, examples: DataFrame, model: Model, by: Sequence[str], how: dict[str, str], **kept
+) -> DataFrame:
+    return scored_parts(
+        spark,
+        path,
+        examples,
+        lambda part: score(part, model),
+        HINT_KEYS,
+        ["label", "prompt_text", *model.inputs],
+        by,
+        _identity(model, **how),
+        **kept,
+    )
 
 
 def evaluate(
@@ -109,22 +124,21 @@ def evaluate(
     by: Sequence[str] = ("dataset", "split"),
     reuse: bool = True,
     limit: int | None = None,
+    grow: bool = False,
+    parts: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Result rows, written in the model's folder below ``path``, and metrics per dataset and split.
 
     All datasets go through one plan: there is no loop over a work list. ``limit``
-    is the number of responses of each that are scored.
+    is the number of responses of each that are scored. With ``grow`` a finished run
+    is brought up to date: responses that are new or changed are scored, the others
+    keep their predictions. ``parts`` is the number of jobs that a run is dealt to.
     """
     variant = "audio_first" if target == "score" else "question_first"
     examples = supervised_examples(ready(responses, limit), target, variant)
-    rows = stage(
-        spark,
-        f"{path}/{model.folder}",
-        lambda: score(examples, model),
-        partitions=by,
-        reuse=reuse,
-        gather=True,
-        identity=_identity(examples, model, target=target, variant=variant) if reuse else None,
+    how = {"target": target, "variant": variant}
+    rows = _scored(
+        spark, f"{path}/{model.folder}", examples, model, by, how, reuse=reuse, grow=grow, parts=parts
     )
     return rows, metrics(rows, by, mode=target, metric=metric)
 
@@ -167,25 +181,47 @@ def cascade(
     strict: bool = False,
     reuse: bool = True,
     limit: int | None = None,
+    grow: bool = False,
+    parts: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Pass or fail first, then a score that is guided by it.
 
     The first stage is written before the second reads it as hints, and the
-    second before its metrics are taken, so each model runs once. Where no hint
-    fits a response the job fails. Responses in a table bucketed by their key
-    (``write_bucketed``) stay where they are in both stages.
+    second before its metrics are taken, so each model runs once, and each stage
+    reads the responses once. Where no hint fits a response the job fails: how many
+    do is counted while the second stage is scored, and its rows then do not count.
+    Responses in a table bucketed by their key (``write_bucketed``) stay where they
+    are in both stages. Where the first stage's answer to a response changes, its
+    prompt does, and a run that may ``grow`` scores it anew.
     """
     responses = ready(responses, limit)
-    first_rows, _ = evaluate(spark, responses, first, f"{path}/first", "pair", "binary", by, reuse)
+    kept = {"reuse": reuse, "grow": grow, "parts": parts}
+    first_rows, _ = evaluate(spark, responses, first, f"{path}/first", "pair", "binary", by, **kept)
     hints = hints_from_results(first_rows, strict)
-    examples = hint_examples(require_match(responses, hints), hints, variant="no_question")
-    rows = stage(
+    if hints.isEmpty():
+        raise ValueError(f"no hint fits a response by {list(HINT_KEYS)}: there are none")
+    examples = hint_examples(responses, hints, variant="no_question")
+    #: The first is of the plan that only tells the schema.
+    seen: list[Observation] = []
+
+    def build(part: DataFrame) -> DataFrame:
+        seen.append(Observation())
+        return score(part.observe(seen[-1], F.count_if(F.col("hint") != NO_HINT).alias("hinted")), second)
+
+    def accept() -> None:
+        if not any(one.get["hinted"] for one in seen[1:]):
+            raise ValueError(f"no hint fits a response by {list(HINT_KEYS)}")
+
+    rows = scored_parts(
         spark,
         f"{path}/second/{second.folder}",
-        lambda: score(examples, second),
-        partitions=by,
-        reuse=reuse,
-        gather=True,
-        identity=_identity(examples, second, first=first.name) if reuse else None,
+        examples,
+        build,
+        HINT_KEYS,
+        ["label", "prompt_text", *second.inputs],
+        by,
+        _identity(second, first=first.name),
+        accept=accept,
+        **kept,
     )
     return rows, metrics(rows, by, metric=metric)

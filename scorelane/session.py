@@ -69,3 +69,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a job has written all of ``path``."""
     return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path``, if anything does; for folders of our own making."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    jvm_path.getFileSystem(conf).delete(jvm_path, True)

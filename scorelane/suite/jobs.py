@@ -213,6 +213,34 @@ def evaluation_of_two_models(spark: SparkSession, folder: str) -> DataFrame:
     return found[1].unionByName(found[2])
 
 
+def late_rule():
+    """Answers like the plain rule, and says that it was asked in a later run."""
+    plain = plain_rule()
+    return lambda batch: [text + " (late)" for text in plain(batch)]
+
+
+EARLY = Model("suite/dated", plain_rule, ("prompt_text", "tenths"), 1024, version="1")
+LATE = Model("suite/dated", late_rule, ("prompt_text", "tenths"), 1024, version="1")
+
+
+@query(
+    f"""WITH {PLAIN_ROWS}
+SELECT sample_id, dataset, split, label,
+  CASE WHEN sample_id % 3 = 0 OR sample_id % 7 = 0 THEN prediction || ' (late)' ELSE prediction END AS prediction
+FROM answered WHERE sample_id % 11 > 0"""
+)
+def resumed_by_part(spark: SparkSession, folder: str) -> DataFrame:
+    """A run that meets more responses, changed ones and fewer: only the new and the changed are scored."""
+    path = work_path(spark, "evaluation")
+    number = F.col("sample_id")
+    responses = data.responses(spark, folder)
+    evaluate(spark, responses.where(number % 3 > 0), EARLY, path, parts=2)
+    changed = F.when(number % 7 == 0, F.concat("prompt", F.lit(" Say why."))).otherwise(F.col("prompt"))
+    later = responses.where(number % 11 > 0).withColumn("prompt", changed)
+    rows, _ = evaluate(spark, later, LATE, path, grow=True, parts=3)
+    return rows.select("sample_id", "dataset", "split", "label", "prediction")
+
+
 @query(
     f"""WITH {PLAIN_ROWS}, placed AS (
   SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) AS n FROM answered
