@@ -74,10 +74,17 @@ def marked_rule():
     return lambda batch: [text + "<|end|>" for text in plain(batch)]
 
 
+def marked_pair_rule():
+    """Answers like the pass/fail rule, with a digit too many and a stop marker."""
+    plain = pass_fail_rule()
+    return lambda batch: [f" {text}4<|end|>" for text in plain(batch)]
+
+
 FIRST = Model("suite/pass-fail", pass_fail_rule, ("prompt_text", "tenths"), 1024)
 SECOND = Model("suite/guided", guided_rule, ("prompt_text", "tenths"), 1024)
 PLAIN = Model("suite/plain", plain_rule, ("prompt_text", "tenths"), 1024)
 LOW = Model("suite/low", low_rule, ("prompt_text",), 1024)
+MARKED_PAIRS = Model("suite/marked-pairs", marked_pair_rule, ("prompt_text", "tenths"), 1)
 MARKED = Model("suite/marked", marked_rule, ("prompt_text", "tenths"), 1)
 
 FIRST_SQL = """printf('%d,0.%d', CASE WHEN tenths >= 40 THEN 1 ELSE 0 END, 60 + tenths % 10)"""
@@ -242,16 +249,14 @@ def resumed_by_part(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PLAIN_ROWS}, placed AS (
-  SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY sample_id) AS n FROM answered
-)
-SELECT dataset, split, sample_id, label, prediction || '<|end|>' AS prediction,
-  prediction AS answer FROM placed WHERE n <= 40"""
+    f"""WITH {sql.RESPONSES}, pairs AS (SELECT *, {FIRST_SQL} AS pair, {sql.pair_text('grade')} AS label FROM responses)
+SELECT dataset, split, sample_id, label, ' ' || pair || '4<|end|>' AS prediction, pair AS answer FROM pairs"""
 )
 def single_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The first forty responses of each dataset and split, answered, cleaned of markers and normalised."""
-    rows = ready(data.responses(spark, folder), 40)
-    return score_answers(supervised_examples(rows, variant="single"), MARKED)
+    """Every response asked for a pair, cleaned of markers and brought to its usual form."""
+    rows = ready(data.responses(spark, folder), None)
+    examples = supervised_examples(rows, "pair", variant="single")
+    return score_answers(examples, MARKED_PAIRS, target="pair")
 
 
 @query(

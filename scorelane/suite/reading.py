@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from scorelane.sources.hints import (
     read_catalogue,
     read_hint_maps,
 )
+from scorelane.sources.indented import indented_hint_rows, indented_result_rows
 from scorelane.sources.responses import (
     as_of_revision,
     attach_audio_files,
@@ -522,54 +525,97 @@ def _indented(frame: DataFrame, name: str, value: Column, path: str) -> None:
     files.repartition("file").write.partitionBy("file").text(path)
 
 
+#: Ids that a document made elsewhere holds at most here.
+FOREIGN_IDS = 700
+
+
+def _foreign_documents(spark: SparkSession, folder: str, path: str) -> None:
+    """Results as others write them, so many ids to a file; the file's name says which come first."""
+    block = F.floor(F.col("sample_id") / FOREIGN_IDS)
+    pairs = _placed(spark, folder).groupBy("dataset", block.alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("sample_id", "prediction", "label"))).alias("pairs")
+    )
+    shown = F.transform("pairs", lambda p: F.struct(p["prediction"], p["label"]))
+    named = pairs.withColumn("name", F.concat_ws("-", "dataset", "block"))
+    _indented(named, "name", F.struct(shown.alias("predictions_and_labels")), path)
+
+
+def _of_foreign_documents(rows: DataFrame) -> DataFrame:
+    """``document`` as the dataset, and ids counted on from the file before."""
+    name = F.regexp_extract("document", "file=([^/]+)/", 1)
+    return rows.select(
+        F.substring_index(name, "-", 1).alias("file"),
+        (F.col("sample_id") + F.substring_index(name, "-", -1).cast("bigint") * FOREIGN_IDS).alias("sample_id"),
+        "prediction",
+        "label",
+    )
+
+
 @query(f"{PLACED} SELECT dataset AS file, sample_id, prediction, label FROM placed")
 def indented_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Result documents in the layout that other programs write: one indented object a file."""
     path = work_path(spark, "indented")
-    pairs = _placed(spark, folder).groupBy("dataset").agg(
-        F.sort_array(F.collect_list(F.struct("sample_id", "prediction", "label"))).alias("pairs")
-    )
-    shown = F.transform("pairs", lambda p: F.struct(p["prediction"], p["label"]))
-    _indented(pairs, "dataset", F.struct(shown.alias("predictions_and_labels")), path)
-    rows = result_rows(read_result_documents(spark, path), "document")
-    return rows.withColumn("file", F.regexp_extract("document", "file=([^/]+)/", 1)).drop("document")
+    _foreign_documents(spark, folder, path)
+    return _of_foreign_documents(result_rows(read_result_documents(spark, path), "document"))
 
 
-def _foreign_maps(spark: SparkSession, folder: str, path: str) -> DataFrame:
-    """The train hints, written as one indented map per dataset that does not say what it is of."""
-    hints = hints_from_results(data.pair_results(spark, folder)).where("split = 'train'")
-    maps = hints.groupBy("dataset").agg(
+@query(f"{PLACED} SELECT dataset AS file, sample_id, prediction, label FROM placed")
+def indented_documents_by_line(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, read by lines, as documents are that no task could hold."""
+    path = work_path(spark, "indented")
+    _foreign_documents(spark, folder, path)
+    return _of_foreign_documents(indented_result_rows(spark, path))
+
+
+def _foreign_maps(spark: SparkSession, folder: str, path: str, named: bool = False) -> None:
+    """All hints as indented maps; only if ``named`` do they say what they are of."""
+    hints = hints_from_results(data.pair_results(spark, folder))
+    block = F.floor(F.col("sample_id") / FOREIGN_IDS)
+    maps = hints.groupBy("dataset", "split", block.alias("block")).agg(
         F.map_from_entries(
             F.sort_array(F.collect_list(F.struct(F.col("sample_id").cast("string"), "hint")))
         ).alias("binary_predictions")
     )
-    value = F.struct("binary_predictions", F.lit("1764").alias("form_id"), F.lit("wav_path").alias("audio_column"))
-    _indented(maps, "dataset", value, path)
-    return hints
+    names = ["dataset", "split"] if named else []
+    about = [F.lit("1764").alias("form_id"), F.lit("wav_path").alias("audio_column")]
+    value = F.struct(*names, "binary_predictions", *about)
+    _indented(maps.withColumn("name", F.concat_ws("_", "block", "dataset", "split")), "name", value, path)
 
 
-@query(f"WITH {sql.HINTS} SELECT dataset, split, sample_id, hint FROM hints WHERE split = 'train' AND dataset = 'click'")
-def indented_prediction_maps(spark: SparkSession, folder: str) -> DataFrame:
-    """A map made elsewhere, with dataset and split named by the caller."""
+def _foreign_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """The hints of maps made elsewhere: for each dataset and split, the caller names it and its files."""
     path = work_path(spark, "indented")
     _foreign_maps(spark, folder, path)
-    maps = read_hint_maps(spark, f"{path}/file=click", dataset="click", split="train")
-    return hint_rows(maps, "dataset", "split")
+    runs = data.responses(spark, folder).select("dataset", "split").distinct().collect()
+    maps = [
+        read_hint_maps(spark, f"{path}/file=*_{dataset}_{split}", dataset=dataset, split=split)
+        for dataset, split in sorted(runs)
+    ]
+    return hint_rows(reduce(DataFrame.unionByName, maps), "dataset", "split")
+
+
+@query(f"WITH {sql.HINTS} SELECT dataset, split, sample_id, hint FROM hints")
+def indented_prediction_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """Maps made elsewhere, with dataset and split named by the caller."""
+    return _foreign_hints(spark, folder)
+
+
+@query(f"WITH {sql.HINTS} SELECT dataset, split, sample_id, hint, '1764' AS form_id FROM hints")
+def indented_maps_by_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Maps that name their run, read by lines, as maps are that no task could hold."""
+    path = work_path(spark, "indented")
+    _foreign_maps(spark, folder, path, named=True)
+    return indented_hint_rows(spark, path).select("dataset", "split", "sample_id", "hint", "form_id")
 
 
 @query(
-    f"""WITH {sql.HINTS}, base_rows AS (SELECT dataset, split, sample_id FROM responses), given AS (
-  SELECT * FROM hints WHERE split = 'train' AND dataset = 'click'
-)
+    f"""WITH {sql.HINTS}, base_rows AS (SELECT dataset, split, sample_id FROM responses)
 SELECT dataset, split, count(*) AS responses, count(hint) AS hinted, count(hint) / count(*) AS rate
-FROM base_rows LEFT JOIN given USING (dataset, split, sample_id) GROUP BY dataset, split"""
+FROM base_rows LEFT JOIN hints USING (dataset, split, sample_id) GROUP BY dataset, split"""
 )
 def hints_that_match(spark: SparkSession, folder: str) -> DataFrame:
-    """How many responses of each dataset and split a map made elsewhere gives a hint."""
-    path = work_path(spark, "indented")
-    _foreign_maps(spark, folder, path)
-    maps = read_hint_maps(spark, f"{path}/file=click", dataset="click", split="train")
-    return hint_match_rate(data.responses(spark, folder), hint_rows(maps, "dataset", "split"))
+    """How many responses of each dataset and split the maps made elsewhere give a hint."""
+    return hint_match_rate(data.responses(spark, folder), _foreign_hints(spark, folder))
 
 
 @query(
