@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +129,18 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _squeezed(cells: np.ndarray) -> bytes:
+    """Sorted cells of a slice: the first, and the steps between them, whose higher bytes are mostly small."""
+    steps = np.diff(cells, prepend=cells[:1]).astype(np.uint32)
+    planes = _packed(steps)
+    return int(cells[0]).to_bytes(8, "little") + planes[: len(steps)] + zlib.compress(planes[len(steps) :], 1)
+
+
+def _spread(data: bytes, count: int) -> np.ndarray:
+    planes = data[8 : 8 + count] + zlib.decompress(data[8 + count :])
+    return np.cumsum(_unpacked(planes, np.uint32), dtype=np.uint64) + np.uint64(int.from_bytes(data[:8], "little"))
+
+
 class Sketch:
     """The form of the sketches: bits of a cell's number and of a slice's."""
 
@@ -155,7 +168,7 @@ class Sketch:
         return cells[keep]
 
 
-CELLS = "row int, slice int, block bigint, cells binary"
+CELLS = "row int, slice int, block bigint, count bigint, cells binary"
 ANSWERS = "block bigint, row int, slice int, bits binary"
 SENT = "part int, block bigint, first binary, second binary, ids binary"
 ELSEWHERE = "block bigint, first binary, second binary"
@@ -170,20 +183,15 @@ def _counted(sketch: Sketch, size: int):
         for row, hashes in enumerate(block.hashes):
             cells = sketch.sparse(hashes)
             for part, start, end in sketch.slices(cells):
-                steps = np.diff(cells[start:end], prepend=cells[start : start + 1]).astype(np.uint32)
-                inside = int(cells[start]) - (part << sketch.bits - sketch.slice_bits)
-                rows.append((row, part, frame["block"].iloc[0], inside.to_bytes(8, "little") + _packed(steps)))
-        return pd.DataFrame(rows, columns=["row", "slice", "block", "cells"])
+                rows.append((row, part, frame["block"].iloc[0], end - start, _squeezed(cells[start:end])))
+        return pd.DataFrame(rows, columns=["row", "slice", "block", "count", "cells"])
 
     return run
 
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     """The sketches of a slice added up: for each block, which of its cells are counted twice."""
-    sent = [
-        np.cumsum(_unpacked(data[8:], np.uint32), dtype=np.uint64) + np.uint64(int.from_bytes(data[:8], "little"))
-        for data in frame["cells"]
-    ]
+    sent = [_spread(data, count) for data, count in zip(frame["cells"], frame["count"], strict=True)]
     every = np.sort(np.concatenate(sent))
     often = np.unique(every[1:][every[1:] == every[:-1]])
     bits = []
@@ -340,7 +348,7 @@ def blocks_of(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[Dat
     name = f"repeats_{uuid.uuid4().hex}"
     (
         keyed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block")
-        .option("path", work_path(spark, "repeats-blocks")).saveAsTable(name)
+        .option("compression", "zstd").option("path", work_path(spark, "repeats-blocks")).saveAsTable(name)
     )
     return spark.table(name), total
 
