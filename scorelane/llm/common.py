@@ -87,10 +87,12 @@ def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def select_rows(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """Those of the identified ``rows`` that the stage ``wanted`` names."""
-    return rows.join(bounded(wanted.select(ROW_KEY)), ROW_KEY, "left_semi").select(
-        *(quoted(c) for c in columns)
-    )
+    """Those of the identified ``rows`` that the stage ``wanted`` names.
+
+    There is one plan at every size: whole rows meet the wanted keys by a shuffle,
+    unless Spark itself finds the keys few enough to broadcast.
+    """
+    return rows.join(wanted.select(ROW_KEY), ROW_KEY, "left_semi").select(*(quoted(c) for c in columns))
 
 
 def kept_by_worker(key: object, make: Callable[[], Kept]) -> Kept:

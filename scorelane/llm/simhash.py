@@ -44,7 +44,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _shingle_hashes(text: str, words: int) -> np.ndarray:
+def shingle_hashes(text: str, words: int) -> np.ndarray:
     parts = _WORD.findall(text.encode().translate(_LOWER))
     if not parts:
         return np.empty(0, np.uint64)
@@ -63,7 +63,11 @@ def _shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The fingerprint, unsigned: bits that over half of the shingles' hashes have."""
-    hashes = _shingle_hashes(text or "", words)
+    return print_of(shingle_hashes(text or "", words))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), COUNTED):
         bits = np.unpackbits(hashes[at : at + COUNTED].view(np.uint8).reshape(-1, 8), axis=1)

@@ -5,7 +5,7 @@ from scorelane.llm.common import table
 from scorelane.llm.cuckoo import exact_groups
 from scorelane.llm.mixing import mix
 from scorelane.llm.quality import quality
-from scorelane.llm.simhash import near_groups
+from scorelane.llm.similar import similar_groups
 from tests.llm.test_packing import assert_packed
 from tokenizers import Tokenizer
 
@@ -41,7 +41,7 @@ def test_stages_do_what_their_operators_say(spark, tmp_path):
         elif name == "exact dedup":
             assert {r.doc_id for r in kept} == {r.keep_id for r in exact_groups(docs).collect()}
         elif name == "near dedup":
-            assert {r.doc_id for r in kept} == {r.component_id for r in near_groups(docs).collect()}
+            assert {r.doc_id for r in kept} == {r.component_id for r in similar_groups(docs).collect()}
         else:
             taken = {r.doc_id: r for r in mix(docs).collect()}
             sent = Counter(r.doc_id for r in kept)
