@@ -3,6 +3,10 @@
 Every stage takes the documents that its predecessor kept and is written as a
 table that the next one reads, so a lost executor costs tasks of one stage only.
 All but the last give whole documents with their own columns.
+
+Defined results: nulls, empty and very long texts, ties, repeated rows and clashing
+column names are what the operators say of them; rows keep all their columns as they
+are; an empty table gives no rows; a null text is an empty document in every stage.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from scorelane.llm.mixing import mixed_documents
 from scorelane.llm.packing import pack
 from scorelane.llm.quality import accepted
 from scorelane.llm.queries import WORD_BPE
-from scorelane.llm.simhash import near_groups
+from scorelane.llm.similar import similar_groups
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +33,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return _kept(docs, near_groups)
+    """One document of each group of documents that are alike in 0.8 of their five-word shingles.
+
+    The operator's fingerprints give candidates, and so do minima of the shingles; every
+    link is verified.
+    """
+    return _kept(docs, similar_groups)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
