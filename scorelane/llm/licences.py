@@ -1,21 +1,24 @@
 """Licence scans by diagonal voting, in DataFrame functions only.
 
-A document's words give a rolling hash of each pair of neighbours. The hashes are
-joined to those of the templates; a hit votes for a diagonal, the word at which
-the template would have to start. A phrase is found where all its pairs vote for
-one diagonal. For notices neighbouring diagonals are merged to bands, so that a word
+A document's words give a rolling hash of each ``k`` neighbours (pairs, unless asked
+otherwise). The hashes are joined to those of the templates; a hit votes for a diagonal,
+the word at which the template would have to start. A phrase is found where all its
+k-grams vote for one diagonal. For notices neighbouring diagonals are merged to bands, so that a word
 put in or left out does not part a span. A band may be longer than its template, so
 it is verified from each of its hits on: a span counts if the hits that are not much
 further away than the template is long stand at enough different places of it. A
-place that is hit again counts once.
+place that is hit again counts once. Of notices that lie inside one another the longest
+counts: CC BY-NC-SA is not also CC BY-NC.
 
-Templates are a fixed table, so it is broadcast. A document keeps one row through
-the join and has its hits beside it, so there is one shuffle, of hits only. Pairs
-in which both words are function words vote for nothing.
+Templates are the fixed ones below or a table of the caller's. Their k-grams are written
+first, and broadcast if they are at most 100,000. A document keeps one row through
+the join and has its hits beside it, so there is one shuffle, of hits only. K-grams
+in which all words are function words vote for nothing.
 
 Defined results: null and empty texts have no words, no places and empty labels;
-repeated rows and rows with a null ``doc_id`` are scanned like any other; an
-empty table gives an empty result. Other columns are not read.
+very long texts are scanned whole, a k-gram at a time; repeated rows and rows with a
+null ``doc_id`` are scanned like any other; of equally long notices at one place (ties)
+all count; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelane.llm.common import ROW_KEY, identified
+from scorelane.session import few
 
 #: Phrases and their labels.
 PHRASES = (
@@ -49,9 +53,56 @@ NOTICES = (
     ("cc by nc", "cc-by-nc"),
     ("cc by sa", "cc-by-sa"),
     ("cc by nd", "cc-by-nd"),
+    ("cc by nc sa", "cc-by-nc-sa"),
+    ("cc by nc nd", "cc-by-nc-nd"),
+    ("attribution noncommercial", "cc-by-nc"),
+    ("attribution sharealike", "cc-by-sa"),
+    ("attribution noderivatives", "cc-by-nd"),
+    ("attribution noncommercial sharealike", "cc-by-nc-sa"),
+    ("attribution noncommercial noderivatives", "cc-by-nc-nd"),
     ("creative commons zero", "cc0"),
     ("released into the public domain", "public-domain"),
     ("all rights reserved", "all-rights-reserved"),
+    (
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
+    (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+        "bsd",
+    ),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer",
+        "bsd",
+    ),
+    (
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to "
+        "alter it and redistribute it freely",
+        "zlib",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain",
+        "unlicense",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license",
+        "mpl",
+    ),
+    (
+        "you should have received a copy of the gnu general public license along with this program",
+        "gpl",
+    ),
+    ("boost software license", "bsl"),
+    ("eclipse public license", "epl"),
+    ("server side public license", "sspl"),
 )
 #: Function words; a pair of them is in every text.
 FUNCTION_WORDS = frozenset(
@@ -62,6 +113,7 @@ FUNCTION_WORDS = frozenset(
 NEAR = 2
 COVERED = 0.75
 STRETCH = 1.5
+K = 2
 #: Into how many steps a span's reach is cut, as a window's range has one bound for all templates.
 SCALE = 1000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,59 +128,99 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _templates(spark, phrases, notices) -> DataFrame:
-    rows = []
-    for number, (text, label) in enumerate([*phrases, *notices]):
-        parts = text.split()
-        pairs = [
-            (at, pair)
-            for at, pair in enumerate(zip(parts, parts[1:], strict=False))
-            if not FUNCTION_WORDS.issuperset(pair)
-        ]
-        rows.extend(
-            (number, label, number < len(phrases), len(parts), len(pairs), at, *pair) for at, pair in pairs
-        )
-    frame = spark.createDataFrame(
-        rows,
-        "template int, label string, base boolean, span int, pairs int, at int, first string, second string",
+def _gram(parts: Column, size: int) -> Column:
+    """The hashes of each ``size`` neighbours of an array of words."""
+    count = F.greatest(F.size(parts) - size + 1, F.lit(0))
+    slices = [F.slice(parts, 1 + at, count) for at in range(size)]
+    if size == 1:
+        return F.transform(slices[0], lambda word: F.xxhash64(word))
+    if size == 2:
+        return F.zip_with(*slices, lambda one, two: F.xxhash64(one, two))
+    return F.transform(F.arrays_zip(*(s.alias(f"w{i}") for i, s in enumerate(slices))), lambda x: F.xxhash64(x))
+
+
+def _idle(parts: Column, size: int) -> Column:
+    """For each ``size`` neighbours, whether all are function words."""
+    function = F.array(*(F.lit(word) for word in sorted(FUNCTION_WORDS)))
+    return F.transform(
+        F.sequence(F.lit(0), F.size(parts) - size),
+        lambda at: F.size(F.array_except(F.slice(parts, at + 1, size), function)) == 0,
     )
-    return frame.withColumn("gram", F.xxhash64("first", "second")).drop("first", "second")
 
 
-def scan(documents: DataFrame, phrases=PHRASES, notices=NOTICES, covered: float = COVERED) -> DataFrame:
-    """A row per document: its words, the places of phrases, and labels; see the module."""
-    templates = _templates(documents.sparkSession, phrases, notices)
+def _placed(grams: Column) -> Column:
+    return F.transform(grams, lambda gram, at: F.struct(at.alias("place"), gram.alias("gram")))
+
+
+def _fixed(spark, notices) -> DataFrame:
+    return spark.createDataFrame(list(notices), "text string, label string")
+
+
+def _templates(texts: DataFrame, base: bool, k: int) -> DataFrame:
+    """The k-grams of templates (``text``, ``label``), one row each; shorter templates have grams of their length."""
+    split = texts.select(F.xxhash64("text", "label").alias("template"), "label", words(F.col("text")).alias("held"))
+    split = split.where(F.size("held") > 0).distinct()
+    every = None
+    for size in range(1, k + 1):
+        own = F.size("held") >= k if size == k else F.size("held") == size
+        marked = split.where(own).select(
+            "template", "label", F.lit(base).alias("base"), F.size("held").alias("span"), F.lit(size).alias("k"),
+            F.posexplode(
+                F.arrays_zip(_gram(F.col("held"), size).alias("gram"), _idle(F.col("held"), size).alias("empty"))
+            ).alias("at", "of"),
+        )
+        chosen = marked.where(~F.col("of.empty")).select(
+            "template", "label", "base", "span", "k", "at", F.col("of.gram").alias("gram")
+        )
+        every = chosen if every is None else every.unionByName(chosen)
+    pairs = every.groupBy("template").agg(F.count(F.lit(1)).cast("int").alias("pairs"))
+    return every.join(pairs, "template")
+
+
+def scan(
+    documents: DataFrame, phrases=PHRASES, notices=NOTICES, covered: float = COVERED, k: int = K
+) -> DataFrame:
+    """A row per document: its words, the places of phrases, and labels; see the module.
+
+    ``notices`` are pairs of text and label, or a table with these columns, of whole
+    licences if need be. A notice of at least ``k`` words is found by its k-grams, a
+    shorter one by all its words; phrases are found by pairs.
+    """
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    spark = documents.sparkSession
+    table = isinstance(notices, DataFrame)
+    texts = notices.select("text", "label") if table else _fixed(spark, notices)
+    templates = few(_templates(_fixed(spark, phrases), True, 2).unionByName(_templates(texts, False, k)), "templates")
     count = F.size("words")
-    one_less = F.greatest(count - 1, F.lit(0))
-    grams = F.zip_with(
-        F.slice("words", 1, one_less), F.slice("words", 2, one_less), lambda a, b: F.xxhash64(a, b)
-    )
-    texts = identified(documents.select("doc_id", "text"), "licence-input").select(
+    sizes = [2] if k == 2 and not table else sorted({1, 2, *range(3, k + 1)})
+    grams = [_placed(_gram(F.col("words"), size)) for size in sizes]
+    rows = identified(documents.select("doc_id", "text"), "licence-input").select(
         ROW_KEY, "doc_id", words(F.col("text")).alias("words")
     )
-    rolled = texts.select(
+    rolled = rows.select(
         ROW_KEY,
         "doc_id",
         count.cast("long").alias("n_words"),
-        F.posexplode_outer(grams).alias("place", "gram"),
-    )
-    # A document's first pair stays without a hit, for the document's sake.
+        F.explode_outer(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("of"),
+    ).select(ROW_KEY, "doc_id", "n_words", "of.place", "of.gram")
+    # A document's first k-gram stays without a hit, for the document's sake.
     hits = (
-        rolled.join(F.broadcast(templates), "gram", "left")
+        rolled.join(templates, "gram", "left")
         .where(F.col("template").isNotNull() | (F.coalesce("place", F.lit(0)) == 0))
         .withColumn("diagonal", F.col("place") - F.col("at"))
         .drop("gram")
         .repartition(ROW_KEY)
     )
     document = [ROW_KEY, "doc_id", "n_words"]
-    template = ["template", "label", "base", "span", "pairs"]
+    template = ["template", "label", "base", "span", "k", "pairs"]
     line = Window.partitionBy(*document, *template).orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(line) > NEAR
     joined = F.when(F.col("base"), F.col("diagonal")).otherwise(
         F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(line)
     )
     # From each hit as far as a span may reach: places are whole, so half a word more lets in no other.
-    reach = F.floor(F.col("span") * STRETCH) - 2 + 0.5
+    reach = F.greatest(F.floor(F.col("span") * STRETCH) - F.col("k") + 0.5, F.lit(0.5))
     within = Window.partitionBy(*document, *template, "band").orderBy("stretch").rangeBetween(0, SCALE)
     spans = (
         hits.withColumn("band", joined)
@@ -137,6 +229,17 @@ def scan(documents: DataFrame, phrases=PHRASES, notices=NOTICES, covered: float
     )
     place = F.col("base") & (F.col("cover") == 1)
     notice = ~F.col("base") & (F.col("cover") >= covered)
+    # A notice inside a longer one is part of it: it ends no later than what began no later.
+    ends = F.when(notice, F.col("diagonal") + F.col("span"))
+    by_start = Window.partitionBy(*document).orderBy(
+        notice.desc_nulls_last(), F.col("diagonal"), F.col("span").desc()
+    )
+    longest = F.max(F.struct(ends.alias("end"), F.col("span"))).over(
+        by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    spans = spans.withColumns({"end": ends, "longest": longest})
+    inner = (F.col("longest.end") >= F.col("end")) & (F.col("longest.span") > F.col("span"))
+    notice = notice & ~F.coalesce(inner, F.lit(False))
     found = spans.groupBy(*document).agg(
         F.count(F.when(place, 1)).alias("n_base"),
         F.min(F.when(place, F.col("diagonal"))).cast("long").alias("first_word"),

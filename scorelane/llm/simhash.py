@@ -7,6 +7,9 @@ reference fingerprints is made: by the triangle inequality two fingerprints
 link only if no coordinate differs by more than four. Survivors are verified.
 A bucket is walked component by component, each fingerprint against those that
 no component has yet, so a group of near copies needs no list of all its pairs.
+A bucket of more than ``MOST`` fingerprints, as a large family of near copies makes,
+is not walked but dealt once more by the same rule: what its members may differ in
+are the bits outside their two blocks, and of six blocks of those two agree again.
 
 Copies are one fingerprint, so they never meet as pairs.
 
@@ -37,6 +40,10 @@ BITS = 4
 BLOCKS = 6
 PIVOTS = 16
 SEED = 42
+#: Fingerprints that a task walks at once, and how often a larger bucket is dealt again;
+#: three times leave its members 19 bits to differ in.
+MOST = 20_000
+DEALT = 3
 #: Shingles whose bits are counted at a time, which bounds a task's memory.
 COUNTED = 1 << 15
 
@@ -100,11 +107,12 @@ def pivots(count: int = PIVOTS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, count, np.uint64, endpoint=False)
 
 
-def _masks(blocks: int, bits: int) -> list[int]:
-    """A mask of each choice of blocks that ``bits`` differing bits must leave alone."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    block = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - bits)]
+def _masks(held: int, blocks: int, bits: int) -> list[int]:
+    """``held`` and a mask of each choice of blocks of the other bits that ``bits`` differing ones must leave alone."""
+    free = [bit for bit in range(64) if not held >> bit & 1]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    block = [sum(1 << bit for bit in free[edges[i] : edges[i + 1]]) for i in range(blocks)]
+    return [held | sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - bits)]
 
 
 def bucket_links(prints: np.ndarray, references: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
@@ -139,32 +147,28 @@ def bucket_links(prints: np.ndarray, references: np.ndarray, bits: int) -> Itera
             frontier.extend(near.tolist())
 
 
-def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, references: int = PIVOTS) -> DataFrame:
-    """Links ``a``-``b`` between distinct fingerprints, enough to give their components.
-
-    A bucket is one choice of blocks and their bits. Buckets are read in order
-    from sorted partitions, so a task holds one bucket's fingerprints at a time.
-    """
-    masks = [_signed(m) for m in _masks(blocks, bits)]
-    keyed = distinct.select(
-        "print",
-        F.posexplode(F.array(*(F.col("print").bitwiseAND(F.lit(m)) for m in masks))).alias("part", "held"),
-    )
-    table = pivots(references)
+def _walked(dealt: DataFrame, table: np.ndarray, bits: int, most: int | None) -> DataFrame:
+    """Links ``a``-``b`` inside the buckets, and the fingerprints ``a`` with the ``part`` of buckets above ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        last = None
+        count, last = 0, None
+
+        def rows(a: np.ndarray, b: np.ndarray | None, part: int | None) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            parts = none if part is None else pa.array(np.full(len(a), part, np.int64))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a), none if b is None else pa.array(b), parts], names=["a", "b", "part"]
+            )
 
         def done() -> Iterator[pa.RecordBatch]:
-            members = np.concatenate(kept)
-            if len(members) > 1:
+            """The last bucket's links, unless it was passed on."""
+            if 1 < count and (most is None or count <= most):
+                members = np.concatenate(kept)
                 pairs = list(bucket_links(members.view(np.uint64), table, bits))
                 if pairs:
                     index = np.array(pairs)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(members[index[:, 0]]), pa.array(members[index[:, 1]])], names=["a", "b"]
-                    )
+                    yield rows(members[index[:, 0]], members[index[:, 1]], None)
 
         for batch in batches:
             found = batch.column(0).to_numpy()
@@ -177,15 +181,52 @@ def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, reference
             for start, end in zip(edges, edges[1:], strict=False):
                 key = (part[start], held[start])
                 if key != last:
-                    if kept and (len(kept) > 1 or len(kept[0]) > 1):
-                        yield from done()
-                    kept, last = [], key
+                    yield from done()
+                    kept, count, last = [], 0, key
                 kept.append(found[start:end].copy())
-        if kept:
-            yield from done()
+                count += end - start
+                if most is not None and count > most:
+                    yield rows(np.concatenate(kept), None, int(key[0]))
+                    kept = []
+        yield from done()
 
-    dealt = keyed.repartition("part", "held").sortWithinPartitions("part", "held", "print")
-    return dealt.mapInArrow(run, struct_of("a bigint, b bigint")).distinct()
+    return dealt.mapInArrow(run, struct_of("a bigint, b bigint, part bigint"))
+
+
+def links(
+    distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, references: int = PIVOTS, most: int = MOST
+) -> DataFrame:
+    """Links ``a``-``b`` between distinct fingerprints, enough to give their components.
+
+    A bucket is one choice of blocks and their bits. Buckets are read in order
+    from sorted partitions, so a task holds one bucket's fingerprints at a time, and
+    passes on those of a bucket that is too large, to be dealt by more of their bits.
+    """
+    table = pivots(references)
+    masks = _masks(0, blocks, bits)
+    rows = distinct.select("print", F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("part", "mask"))
+    found = []
+    for turn in range(DEALT + 1):
+        keyed = rows.select("print", F.col("part").cast("long"), F.col("print").bitwiseAND(F.col("mask")).alias("held"))
+        dealt = keyed.repartition("part", "held").sortWithinPartitions("part", "held", "print")
+        walked = staged(_walked(dealt, table, bits, most if turn < DEALT else None), f"links-{turn}")
+        found.append(walked.where("part IS NULL").select("a", "b"))
+        passed = walked.where("part IS NOT NULL")
+        if turn == DEALT or passed.isEmpty():
+            break
+        # The masks of the choices that are in use, each with its own further choices.
+        parts = sorted(row["part"] for row in passed.select("part").distinct().collect())
+        finer = [(part, mask) for part in parts for mask in _masks(masks[part], blocks, bits)]
+        again = distinct.sparkSession.createDataFrame(
+            [(part, at, _signed(mask)) for at, (part, mask) in enumerate(finer)], "part long, next int, mask long"
+        )
+        masks = [mask for _, mask in finer]
+        rows = passed.select(F.col("a").alias("print"), "part").join(F.broadcast(again), "part")
+        rows = rows.select("print", F.col("next").alias("part"), "mask")
+    every = found[0]
+    for frame in found[1:]:
+        every = every.unionByName(frame)
+    return every.distinct()
 
 
 def near_groups(documents: DataFrame, words: int = WORDS, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:

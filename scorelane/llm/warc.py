@@ -6,24 +6,28 @@ response. A response's block is an HTTP answer with a chunked body; a block over
 writes the records, with the empty lines that end a record as its line separator.
 
 Reading: each file is a row, and a task goes through it record by record. Whole
-responses are decoded there. Segments are grouped by their origin record and put
-in order by number; numbers without a gap and the total length are verified, then
-the chunked framing is taken off and the payload held against its digest. A group
-is one page's segments, so it is never larger than a page.
+responses are decoded there, and stay there. Segments alone are grouped by their
+origin record and put in order by number; numbers without a gap and the total length
+are verified, then the chunked framing is taken off and the payload held against its
+digest. A group is one page's segments, so it is never larger than a page. Files may
+be plain, one gzip stream, or a gzip member per record.
 
 Defined results: a null html is an empty payload; pages with the largest id of
 their payload are responses, also if that id repeats; a null ``page_id`` is below
-all others; a null url is empty; an empty table gives an archive without records.
-A record that is damaged has ``intact`` false and a null payload.
+all others; a null url is empty; repeated rows are records of their own; texts of any
+length are cut into segments; an empty table gives an archive without records.
+A record that is damaged has ``intact`` false and a null payload: one that is cut off,
+that is not as long as it says, or that lacks what a header must have. Reading goes on
+at the next record that begins a line, in a damaged gzip stream at the next member.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import quote
@@ -33,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelane.llm.common import bounded, staged, struct_of
+from scorelane.llm.common import HOT_PART, staged, struct_of
 from scorelane.session import work_path
 
 CHUNK = 8192
@@ -65,12 +69,16 @@ def digest(payload: Column) -> Column:
 
 
 def _pieces(data: bytes, size: int) -> Iterator[bytes]:
-    """``data`` in pieces of at most ``size`` bytes that end between characters."""
+    """``data`` in pieces of at most ``size`` bytes that end between characters; a character is not cut."""
     start = 0
     while start < len(data):
         end = min(start + size, len(data))
-        while end < len(data) and data[end] & 0xC0 == 0x80:
+        while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
             end -= 1
+        if end == start:
+            end += 1
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
         yield data[start:end]
         start = end
 
@@ -122,7 +130,8 @@ def _sha(payload: bytes) -> str:
 
 def _record(kind: str, name: str, block: bytes, **fields: object) -> str:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
-    lines += [f"WARC-{k.replace('_', '-').title().replace('Uri', 'URI').replace('Id', 'ID')}: {v}" for k, v in fields.items()]
+    for key, value in fields.items():
+        lines.append(f"WARC-{key.replace('_', '-').title().replace('Uri', 'URI').replace('Id', 'ID')}: {value}")
     http = "application/http;msgtype=response"
     lines += [f"Content-Type: {http}"] * (kind != "continuation") + [f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines) + block.decode()
@@ -158,12 +167,25 @@ def responses(pages: DataFrame, least: int = 0) -> DataFrame:
         pages.where(F.octet_length(payload) >= least)
         .groupBy(digest(payload).alias("sha"))
         .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("pages"))
-        .where("pages > 1 AND keeper IS NOT NULL")
-        .select("sha", "keeper"),
+        .where("pages > 1 AND keeper IS NOT NULL"),
         "responses",
     )
 
 
+def _with_keeper(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the page that keeps their payload, if several have it.
+
+    Payloads of over a thousandth of the pages that share one are at most a thousand and
+    are broadcast, so their pages stay; the others meet their keeper by digest.
+    """
+    total = groups.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("pages") > max(1, total // HOT_PART)
+    large = F.broadcast(groups.where(hot).select("sha", "keeper"))
+    others = rows.join(F.broadcast(groups.where(hot).select("sha")), "sha", "left_anti")
+    rest = others.join(groups.where(~hot).select("sha", "keeper"), "sha", "left")
+    return rows.join(large, "sha").unionByName(rest)
+
+
 def write_archive(
     pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, chunk: int = CHUNK,
     records: int = FILE_RECORDS,
@@ -172,11 +194,8 @@ def write_archive(
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"))
     kept = F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))
-    rows = (
-        rows.withColumn("sha", digest(F.col("html")))
-        .join(bounded(responses(pages, least)), "sha", "left")
-        .select("page_id", "url", "html", "sha", F.when(kept, F.col("keeper")).alias("refers_to"))
-    )
+    rows = _with_keeper(rows.withColumn("sha", digest(F.col("html"))), responses(pages, least))
+    rows = rows.select("page_id", "url", "html", "sha", F.when(kept, F.col("keeper")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -199,22 +218,95 @@ def write_archive(
     )
 
 
-def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an uncompressed stream."""
-    while line := source.readline():
-        if not line.strip():
+class Unpacked(io.RawIOBase):
+    """The bytes of a file that is plain, gzip, or gzip members one after the other.
+
+    In a damaged member, what came before the damage is given, and reading goes on at
+    the next one.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.held = data, 0, 0, b""
+        self.packed = data[:2] == b"\x1f\x8b"
+        self.open = zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held and self.at < len(self.data):
+            self.held = self._more()
+        count = min(len(buffer), len(self.held))
+        buffer[:count] = self.held[:count]
+        self.held = self.held[count:]
+        return count
+
+    def _more(self, size: int = 1 << 16) -> bytes:
+        piece = self.data[self.at : self.at + size]
+        if not self.packed:
+            self.at += len(piece)
+            return piece
+        try:
+            found = self.open.decompress(piece)
+        except zlib.error:
+            start = self.data.find(b"\x1f\x8b\x08", self.member + 1)
+            self._next(start if start >= 0 else len(self.data))
+            return b""
+        self.at += len(piece)
+        if self.open.eof:
+            self._next(self.at - len(self.open.unused_data))
+        return found
+
+    def _next(self, start: int) -> None:
+        self.at = self.member = start
+        self.open = zlib.decompressobj(31)
+
+
+_NEXT = re.compile(rb"(?:\r?\n)+(?=WARC/\d)")
+
+
+def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields and block of each record of an uncompressed stream; no block if it is damaged."""
+    back: list[bytes] = []
+
+    def line() -> bytes:
+        first, end, rest = (back.pop() if back else b"").partition(b"\n")
+        if rest:
+            back.append(rest)
+        return first + end if end else first + source.readline()
+
+    def block(size: int) -> bytes:
+        held = b"".join(reversed(back))
+        back[:] = [held[size:]] if len(held) > size else []
+        return held[:size] if len(held) >= size else held + source.read(size - len(held))
+
+    while start := line():
+        if not start.startswith(b"WARC/"):
+            # Empty lines end a record. Others belong to one that was longer than it said.
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("no record where one ought to start")
-        lines = []
-        while (line := source.readline()).strip():
-            lines.append(line)
+        lines, cut = [], False
+        while (field := line()).strip():
+            if cut := field.startswith(b"WARC/"):
+                back.append(field)
+                break
+            lines.append(field)
         fields = _fields(lines)
-        size = int(fields["content-length"])
-        block = source.read(size)
-        if len(block) != size:
-            raise ValueError("the archive ends inside a record")
-        yield fields, block
+        size = fields.get("content-length", "")
+        if cut or not field or not size.isdigit():
+            yield fields, None
+            continue
+        held = block(int(size))
+        inside = _NEXT.search(held)
+        if inside is None:
+            yield fields, held if len(held) == int(size) else None
+            continue
+        # Another record seems to begin in it: it is whole if an empty line follows.
+        after = line()
+        if len(held) == int(size) and (not after.strip()):
+            yield fields, held
+            continue
+        back.append(held[inside.end() :] + after)
+        yield fields, None
 
 
 _PAGE = re.compile(r"<urn:x-page:(-?\d+)")
@@ -225,24 +317,34 @@ def _page(name: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def parsed(fields: dict[str, str], block: bytes) -> tuple | None:
-    """A row of ``RECORDS``; None for records that hold no page."""
-    kind, number = fields["warc-type"], fields.get("warc-segment-number")
-    name = fields["warc-record-id"]
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isdigit() else None
+
+
+def parsed(fields: dict[str, str], block: bytes | None, place: str = "") -> tuple | None:
+    """A row of ``RECORDS``; None for records that hold no page. ``place`` names one without a name."""
+    kind, number = fields.get("warc-type", "response"), _number(fields.get("warc-segment-number"))
+    name = fields.get("warc-record-id") or f"<damaged:{place}>"
     sha = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     row = (kind, _page(name), fields.get("warc-target-uri"))
     if kind == "continuation":
-        total = fields.get("warc-segment-total-length")
-        origin = fields["warc-segment-origin-id"]
-        return origin, int(number), total and int(total), None, None, None, None, None, None, None, block
+        total = _number(fields.get("warc-segment-total-length"))
+        origin = fields.get("warc-segment-origin-id")
+        if origin is None or number is None or block is None:
+            # Its origin misses a number, and says so.
+            return None
+        return origin, number, total, None, None, None, None, None, None, None, block
+    if block is None and kind in ("response", "revisit"):
+        refers = _page(fields.get("warc-refers-to", ""))
+        return name, 1, None, *row, refers, None, sha, False, None
     if kind == "revisit":
-        held = _fields(block.split(b"\r\n")).get("content-length")
+        held = _number(_fields(block.split(b"\r\n")).get("content-length"))
         refers = _page(fields.get("warc-refers-to", ""))
-        return name, 1, None, *row, refers, held and int(held), sha, held is not None, None
+        return name, 1, None, *row, refers, held, sha, held is not None, None
     if kind != "response":
         return None
     if number:
-        return name, int(number), None, *row, None, None, sha, None, block
+        return name, number, None, *row, None, None, sha, None, block
     payload, size, found, intact = _verified(block, sha)
     return name, 1, None, *row, None, size, found, intact, payload
 
@@ -265,24 +367,25 @@ def reassembled(segments: list[dict], total: int | None, sha: str | None) -> tup
     return _verified(block, sha)
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per page of the WARC files in ``path``; ``payloads`` false leaves their bytes out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+def read_archive(spark: SparkSession, path: str, payloads: bool = True, files: str = "*") -> DataFrame:
+    """A row per page of the WARC files in ``path``; ``payloads`` false leaves their bytes out.
+
+    ``files`` is a pattern of the names that are read; hidden files, and such as begin with
+    an underscore, are not.
+    """
+    held = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
     schema, result = struct_of(RECORDS), struct_of(PAGES)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         kinds += [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                source = io.BytesIO(data)
-                if data[:2] == b"\x1f\x8b":
-                    source = gzip.open(source)
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                source = io.BufferedReader(Unpacked(content.as_py()), 1 << 16)
                 found = []
-                for fields, block in read_records(source):
-                    if (row := parsed(fields, block)) is not None:
-                        whole = row[8] is not None and row[9] is not None
+                for count, (fields, block) in enumerate(read_records(source)):
+                    if (row := parsed(fields, block, f"{file}#{count}")) is not None:
+                        whole = row[9] is not None
                         found.append((*row[:10], None) if whole and not payloads else row)
                 if found:
                     columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
@@ -293,10 +396,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                parts, intact = row["parts"], row["intact"]
-                payload, size, sha = parts[0]["block"] if parts else None, row["payload_bytes"], row["payload_digest"]
-                if row["intact"] is None:
-                    payload, size, sha, intact = reassembled(parts, row["total"], sha)
+                payload, size, sha, intact = reassembled(row["parts"], row["total"], row["payload_digest"])
                 held = payload if payloads else None
                 kind = row["kind"] or "response"
                 found.append((row["page_id"], row["url"], kind, row["refers_to"], size, sha, intact, held))
@@ -304,13 +404,17 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=result.names)
 
-    records = files.select("content").mapInArrow(parse, schema)
-    part = F.when(F.col("block").isNotNull(), F.struct("number", "block"))
-    once = ["total", "kind", "page_id", "url", "refers_to", "payload_bytes", "payload_digest", "intact"]
-    grouped = records.groupBy("origin").agg(
-        *(F.max(c).alias(c) for c in once), F.array_sort(F.collect_list(part)).alias("parts")
+    records = staged(held.select("path", "content").mapInArrow(parse, schema), "warc-records")
+    segments = records.where("intact IS NULL")
+    once = ["total", "kind", "page_id", "url", "refers_to", "payload_digest"]
+    grouped = segments.groupBy("origin").agg(
+        *(F.max(c).alias(c) for c in once), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts")
+    )
+    whole = records.where("intact IS NOT NULL").select(
+        "page_id", "url", F.col("kind").alias("record_type"), "refers_to", "payload_bytes", "payload_digest", "intact",
+        F.col("block").alias("payload"),
     )
-    return grouped.drop("origin").mapInArrow(join, result)
+    return whole.unionByName(grouped.drop("origin").mapInArrow(join, result))
 
 
 def round_trip(pages: DataFrame, least: int = 0, path: str | None = None, payloads: bool = True) -> DataFrame:

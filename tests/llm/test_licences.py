@@ -92,3 +92,42 @@ def test_no_python_in_the_plan(spark, folder):
     plan = scan(table(spark, folder, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def labels_of(spark, texts, **how):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in sorted(scan(frame, **how).collect(), key=lambda r: r.doc_id)]
+
+
+def test_the_longest_of_nested_notices_counts(spark):
+    texts = [
+        "CC BY-NC-SA 4.0", "CC BY-NC 4.0 and CC BY-NC-SA 4.0", "Attribution-NonCommercial-NoDerivatives",
+        "This Source Code Form is subject to the terms of the Mozilla Public License", "Mozilla Public License",
+        "released into the public domain, and: This is free and unencumbered software released into the public domain.",
+    ]
+    assert labels_of(spark, texts) == [
+        "cc-by,cc-by-nc-sa", "cc-by,cc-by-nc,cc-by-nc-sa", "cc-by-nc-nd", "mpl", "mpl", "public-domain,unlicense",
+    ]
+
+
+def test_templates_of_a_table_and_longer_grams(spark):
+    """A whole text as a template, words changed in it, and one of a single word."""
+    chance = random.Random(3)
+    licence = [f"{chance.choice('abcdefgh')}{chance.randrange(60)}" for _ in range(400)]
+    changed = [w if at % 40 else "other" for at, w in enumerate(licence)]
+    rows = [(" ".join(licence), "own"), ("Xyzzy", "one"), ("first second third", "three"), ("Xyzzy", "one"), ("", "none")]
+    table = spark.createDataFrame(rows, "text string, label string")
+    texts = [
+        "before " + " ".join(licence).upper() + " after", " ".join(changed), " ".join(licence[:150]),
+        " ".join(sorted(licence)), "say xyzzy", "first second third", "first second", "MIT License", "",
+    ]
+    for k in (2, 3, 5):
+        found = labels_of(spark, texts, notices=table, k=k)
+        assert found == ["own", "own", "", "", "one", "three", "", "mit", ""], k
+
+
+def test_grams_of_three_find_the_fixed_notices(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    assert labels_of(spark, [notice, "GNU General Public License", "all rights reserved"], k=3) == [
+        "mit", "gpl", "all-rights-reserved"
+    ]

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from scorelane.llm.components import components
-from scorelane.llm.simhash import bucket_links, fingerprint, links, near_groups, pivots
+from scorelane.llm.simhash import _masks, bucket_links, fingerprint, links, near_groups, pivots
 
 
 def by_rule(text):
@@ -98,3 +98,45 @@ def test_groups_of_odd_documents(odd_documents):
 
 def test_no_documents(no_documents):
     assert near_groups(no_documents).count() == 0
+
+
+def test_large_buckets_are_dealt_again(spark):
+    """A family of near copies that fills its buckets: they are passed on, and no link is lost."""
+    chance = random.Random(9)
+    centre = chance.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in chance.sample(range(64), chance.randrange(9))) for _ in range(300)}
+    prints = sorted(prints | set(near_prints(100, 4)))
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    expected = classes(close(prints), prints)
+    for most in (20, 100):
+        found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links(frame, most=most).collect()]
+        assert classes(found, prints) == expected
+        assert all(expected[a] == expected[b] for a, b in found)
+
+
+def test_masks_of_further_choices():
+    first = _masks(0, 6, 4)
+    assert len(first) == 15 and all(m.bit_count() in (20, 21, 22) for m in first)
+    for held in first:
+        finer = _masks(held, 6, 4)
+        assert len(set(finer)) == 15 and all(m & held == held and m.bit_count() > held.bit_count() + 12 for m in finer)
+
+
+def test_a_bucket_of_more_than_a_task_walks(spark):
+    """All agree in 24 bits, so in two blocks."""
+    rows = spark.range(60_000).selectExpr("xxhash64(id) & 1099511627775 AS print").distinct()
+    found = links(rows).collect()
+    prints = [r.print for r in rows.sample(0.002, 1).collect()]
+    every = np.array([r.print for r in rows.collect()], np.int64).view(np.uint64)
+    root = {}
+
+    def find(n):
+        while root.get(n, n) != n:
+            n = root[n]
+        return n
+
+    for r in found:
+        root[find(r.a)] = find(r.b)
+    for p in prints:
+        near = every[np.bitwise_count(every ^ np.uint64(p)) <= 4]
+        assert len({find(int(n)) for n in near}) == 1

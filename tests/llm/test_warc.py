@@ -126,3 +126,68 @@ def test_segments_in_any_order_and_damage(spark, damage):
             assert not found[i].intact and found[i].payload is None
         else:
             assert found[i].intact and bytes(found[i].payload).decode() == f"page {i} " * 100
+
+
+def warc(number, payload, **change):
+    """A response record as other programs write it."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    fields = {
+        "WARC-Type": "response", "WARC-Record-ID": f"<urn:x-page:{number}#0>", "WARC-Target-URI": f"http://a/{number}",
+        "Content-Length": len(block), **change,
+    }
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None)
+    return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+INFO = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+
+
+def found_in(spark, folder, name, data, **how):
+    folder.mkdir(parents=True)
+    (folder / name).write_bytes(data)
+    rows = read_archive(spark, str(folder), **how).collect()
+    return sorted(((r.page_id, r.intact, r.payload and bytes(r.payload)) for r in rows), key=str)
+
+
+def test_damaged_records_are_rows(spark, tmp_path):
+    """Whatever is wrong with the second of three records, the others are read."""
+    one, three = warc(1, b"<p>one"), warc(3, b"three \r\n\r\nWARC/1 is a format")
+    whole = [(1, True, b"<p>one"), (3, True, b"three \r\n\r\nWARC/1 is a format")]
+    damaged = {
+        "truncated": warc(2, b"x" * 50)[:-30] + b"\r\n\r\n",
+        "long": warc(2, b"two", **{"Content-Length": 400}),
+        "short": warc(2, b"two and more\r\nlines", **{"Content-Length": 45}),
+        "headless": warc(2, b"two", **{"Content-Length": None}),
+        "odd": warc(2, b"two", **{"Content-Length": "many"}),
+        "wrong": warc(2, b"two", **{"WARC-Payload-Digest": "sha1:AAAA"}),
+    }
+    for name, record in damaged.items():
+        found = found_in(spark, tmp_path / name, "crawl.warc", INFO + one + record + three)
+        assert [r for r in found if r[1]] == whole, name
+        assert [r[0] for r in found if not r[1]] == [2], name
+    # cut off at the end, and without a name
+    assert found_in(spark, tmp_path / "end", "a.warc", one + warc(2, b"two")[:-12]) == [whole[0], (2, False, None)]
+    nameless = warc(2, b"two", **{"WARC-Record-ID": None, "Content-Length": None})
+    assert found_in(spark, tmp_path / "nameless", "a.warc", nameless * 2 + one) == [whole[0], (None, False, None), (None, False, None)]
+
+
+def test_members_and_names(spark, tmp_path):
+    """A gzip member per record, whatever the file is called; a damaged member costs its own records."""
+    records = [warc(i, b"page %d" % i) for i in range(6)]
+    members = [gzip.compress(r) for r in [INFO, *records]]
+    every = [(i, True, b"page %d" % i) for i in range(6)]
+    assert found_in(spark, tmp_path / "a", "crawl.warc.gz", b"".join(members)) == every
+    assert found_in(spark, tmp_path / "b", "x.warc.gz", gzip.compress(b"".join(records))) == every
+    assert found_in(spark, tmp_path / "c", "x.warc.gz", b"".join(members), files="*.warc") == []
+    broken = bytearray(members[3])
+    broken[12:20] = b"\xff" * 8
+    found = found_in(spark, tmp_path / "d", "x.warc.gz", b"".join([*members[:3], bytes(broken), *members[4:]]))
+    assert [r for r in found if r[1]] == every[:2] + every[3:]
+    cut = found_in(spark, tmp_path / "e", "x.warc.gz", gzip.compress(b"".join(records))[:-20])
+    assert [r for r in cut if r[1]] == every[: len([r for r in cut if r[1]])] and len(cut) >= 1
+
+
+def test_pieces_shorter_than_a_character_end():
+    for size in (1, 2, 3):
+        framed = chunked("aé漢😀".encode(), size)
+        assert unchunked(framed).decode() == "aé漢😀"
