@@ -9,16 +9,20 @@ far that a point as near as its k-th would have been met with the probability
 asked for.
 
 The projected space is cut into cells by a kd-tree fitted on a bounded sample;
-every row is then put into its cell. A query asks its own cell first, and then
-those cells that the test cannot rule out for the distance reached. Cells are cut
-into shards of rows and blocks of queries, so no task holds a large cell. Of equal
+every row is then put into its cell. A query asks its own cell first, and then, in
+rounds, the next few cells in the order of their distance, as long as the test cannot
+rule them out for the distance reached: each round brings that down for the next.
+Cells are cut into shards of rows and blocks of queries, so no task holds a large
+cell. In a shard, neighbouring queries go through the leaves of its kd-tree together:
+the nearest leaves first, then those the test leaves over, as products of matrices. Of equal
 vectors only the first ``k + 1`` can be among a query's answers; the others are
 left out before that.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
 null or non-finite numbers take no part, nor do rows without an id; of repeated
 rows each is a candidate for the others; where there are fewer than ``k``
-candidates all are given; an empty table gives an empty result.
+candidates all are given; ties go to the smaller id; a very long vector is one row, and
+a task holds a shard of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,8 +51,12 @@ CELL_ROWS = 8192
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4096
 LEAF = 64
-#: Leaves that are verified at a time at most, and what a quick product may be off by.
-STRIDE = 64
+#: Queries that go through a tree together, and leaves that they look at before the test.
+TOGETHER = 64
+FIRST = 16
+#: Up to which of its cells, in order of distance, a query has asked after each round.
+PROBES = (4, 16, 64, CELLS)
+#: What a quick product may be off by.
 ROUGH = 1e-9
 SEED = 42
 
@@ -150,40 +158,64 @@ class Tree:
         self.low = np.array([points[x].min(0) for x in self.leaves])
         self.high = np.array([points[x].max(0) for x in self.leaves])
 
-    def nearest(self, query, projected, own, vectors, ids, rows, longest, k, bound, reach):
-        """(score, id, squared distance) of the nearest rows, verified until the test holds.
+    def nearest(self, queries, projected, own, reach, vectors, ids, rows, longest, k, bound):
+        """For each query its (scores, ids) of the nearest rows, verified until the test holds.
 
-        Leaves are met in the order of their boxes' distance, more at a time as the
-        search goes on. ``reach`` is a squared distance within which ``k`` rows are
-        known already.
+        ``reach`` has squared distances within which ``k`` rows are known already.
         """
-        away = box_distance(self.low, self.high, projected)
-        order = np.argsort(away, kind="stable")
-        away = away[order]
-        scale = longest / math.sqrt(query @ query)
-        scores, found = np.empty(0), np.empty(0, np.int64)
-        at, step = 0, 1
-        while at < len(order) and away[at] <= bound * reach:
-            stop = min(at + step, int(np.searchsorted(away, bound * reach, "right")))
-            held = np.concatenate([self.leaves[leaf] for leaf in order[at:stop]])
-            held = held[rows[held] != own]
-            at, step = stop, min(2 * step, STRIDE)
-            rough = vectors[held] @ query
-            least = scores[-1] if len(scores) == k else -math.inf
-            if len(rough) > k:
-                least = max(least, np.partition(rough, -k)[-k])
-            near = held[rough >= least - ROUGH * longest**2 / scale]
-            # A sum by row is the same for equal vectors, wherever they stand.
-            scores = np.concatenate([scores, (vectors[near] * query).sum(1)])
-            found = np.concatenate([found, ids[near]])
-            best = np.lexsort((found, -scores))[:k]
-            scores, found = scores[best], found[best]
-            if len(scores) == k:
-                reach = min(reach, max(2 * longest**2 - 2 * scale * scores[-1], 0.0))
-        return [
-            (score, i, max(2 * longest**2 - 2 * scale * score, 0.0))
-            for score, i in zip(scores.tolist(), found.tolist(), strict=True)
-        ]
+        self.looked = 0
+        place = {row: at for at, row in enumerate(rows.tolist())}
+        selves = np.array([place.get(row, -1) for row in own.tolist()], np.int64)
+        home = np.argmin(self._away(projected), axis=1) if len(self.leaves) > 1 else np.zeros(len(queries))
+        order = np.argsort(home, kind="stable")
+        found = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
+        for start in range(0, len(order), TOGETHER):
+            chosen = order[start : start + TOGETHER]
+            away = self._away(projected[chosen])
+            leaves = np.argsort(away.min(0), kind="stable")
+            reached = reach[chosen].copy()
+            for part in (leaves[:FIRST], leaves[FIRST:]):
+                part = part[(away[:, part] <= bound * reached[:, None]).any(0)]
+                if not len(part):
+                    continue
+                held = np.concatenate([self.leaves[leaf] for leaf in part])
+                self.looked += len(held) * len(chosen)
+                rough = vectors[held] @ queries[chosen].T
+                spot = np.full(len(vectors), -1)
+                spot[held] = np.arange(len(held))
+                for column, q in enumerate(chosen.tolist()):
+                    if selves[q] >= 0 and spot[selves[q]] >= 0:
+                        rough[spot[selves[q]], column] = -math.inf
+                    found[q] = self._best(found[q], rough[:, column], held, queries[q], vectors, ids, longest, k)
+                    scores = found[q][0]
+                    if len(scores) == k:
+                        size = math.sqrt(queries[q] @ queries[q])
+                        reached[column] = min(
+                            reached[column], max(2 * longest**2 - 2 * longest / size * scores[-1], 0.0)
+                        )
+        return found
+
+    def _away(self, points: np.ndarray) -> np.ndarray:
+        """Squared distances of points to the leaves' boxes."""
+        found = np.zeros((len(points), len(self.leaves)))
+        for side in range(points.shape[1]):
+            at = points[:, side, None]
+            found += np.maximum(np.maximum(self.low[None, :, side] - at, at - self.high[None, :, side]), 0) ** 2
+        return found
+
+    @staticmethod
+    def _best(known, rough, held, query, vectors, ids, longest, k):
+        """The best ``k`` of what is known and of the rows ``held``, whose products are about ``rough``."""
+        scores, found = known
+        least = scores[-1] if len(scores) == k else -math.inf
+        if len(rough) > k:
+            least = max(least, np.partition(rough, -k)[-k])
+        near = held[(rough >= least - ROUGH * longest * math.sqrt(query @ query)) & (rough > -math.inf)]
+        # A sum by row is the same for equal vectors, wherever they stand.
+        scores = np.concatenate([scores, (vectors[near] * query).sum(1)])
+        found = np.concatenate([found, ids[near]])
+        best = np.lexsort((found, -scores))[:k]
+        return scores[best], found[best]
 
 
 def usable(vector: Column) -> Column:
@@ -298,11 +330,19 @@ def search(
                 matrix_ = np.stack(held["vector"].to_numpy())
                 tree = Tree(np.stack(held["point"].to_numpy()))
                 ids, rows_ = held["vec_id"].to_numpy(), held[ROW_KEY].to_numpy()
-                for q in questions.itertuples(index=False):
-                    hits = tree.nearest(
-                        q.vector, q.asked, q.query, matrix_, ids, rows_, longest, k, bound, q.reach
+                queries_ = np.stack(questions["vector"].to_numpy())
+                hits = tree.nearest(
+                    queries_, np.stack(questions["asked"].to_numpy()), questions["query"].to_numpy(),
+                    questions["reach"].to_numpy(), matrix_, ids, rows_, longest, k, bound,
+                )
+                asking_ids = zip(questions["query"].tolist(), questions["query_id"].tolist(), strict=True)
+                for (query, query_id), vector, (scores, near) in zip(asking_ids, queries_, hits, strict=True):
+                    scale = longest / math.sqrt(vector @ vector)
+                    away = np.maximum(2 * longest**2 - 2 * scale * scores, 0.0)
+                    found.extend(
+                        (query, query_id, i, score, d)
+                        for i, score, d in zip(near.tolist(), scores.tolist(), away.tolist(), strict=True)
                     )
-                    found.extend((q.query, q.query_id, i, score, away) for score, i, away in hits)
             return pd.DataFrame(found, columns=["query", "query_id", "vec_id", "score", "distance"])
 
         keys = ["cell", "shard", "block"]
@@ -315,34 +355,48 @@ def search(
         return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
     everywhere = F.lit(float("inf"))
-    at_home = staged(
+    hits = staged(
         ranked(ask(queries.withColumn("cell", F.col("home")).withColumn("reach", everywhere))), "home-hits"
     )
-    reached = at_home.where(F.col("rank") == k).select("query", F.col("distance").alias("reach"))
-    left = queries.join(reached, "query", "left").withColumn("reach", F.coalesce("reach", everywhere))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(batch.num_rows):
-                row = batch.slice(start, 1)
-                point = np.array(row.column(4)[0].as_py())
-                away = box_distance(low, high, point)
-                open_ = (away <= bound * row.column(5)[0].as_py()) & (numbers != row.column(3)[0].as_py())
-                cells = numbers[open_]
-                if len(cells):
-                    again = row.take(pa.array(np.zeros(len(cells), np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*again.columns, pa.array(cells.astype(np.int32))], names=[*again.schema.names, "cell"]
-                    )
-
-    sent = left.select("query", "query_id", "vector", "home", "asked", "reach")
-    routed = sent.mapInArrow(
-        route,
-        struct_of(
-            "query bigint, query_id bigint, vector array<double>, home int, asked array<double>, "
-            "reach double, cell int"
-        ),
+    sent = struct_of(
+        "query bigint, query_id bigint, vector array<double>, home int, asked array<double>, reach double, cell int"
     )
-    away = ask(staged(routed, "routed"))
-    best = ranked(at_home.drop("rank").unionByName(away))
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def routing(start: int, stop: int):
+        """Queries with each of the cells that are ``start`` to ``stop`` in the order of distance, and in reach."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(at, TOGETHER)
+                    points = _matrix(part.column(4), dimensions)
+                    homes = part.column(3).to_numpy()
+                    reach = part.column(5).to_numpy()
+                    away = np.stack([box_distance(low, high, point) for point in points])
+                    away[homes[:, None] == numbers[None, :]] = math.inf
+                    order = np.argsort(away, axis=1, kind="stable")[:, start:stop]
+                    near = np.take_along_axis(away, order, axis=1)
+                    which, place = np.nonzero((near <= bound * reach[:, None]) & np.isfinite(near))
+                    if len(which):
+                        again = part.take(pa.array(which))
+                        cells = numbers[order[which, place]].astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [*again.columns, pa.array(cells)], names=[*again.schema.names, "cell"]
+                        )
+
+        return run
+
+    start = 0
+    for stop in PROBES:
+        if start >= len(numbers) - 1:
+            break
+        reached = hits.where(F.col("rank") == k).select("query", F.col("distance").alias("reach"))
+        left = queries.join(reached, "query", "left").withColumn("reach", F.coalesce("reach", everywhere))
+        asking = left.select("query", "query_id", "vector", "home", "asked", "reach")
+        routed = staged(asking.mapInArrow(routing(start, stop), sent), "routed")
+        # Cells further away are in no one's reach either.
+        if routed.isEmpty():
+            break
+        hits = staged(ranked(hits.drop("rank").unionByName(ask(routed))), "hits")
+        start = stop
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
