@@ -98,6 +98,77 @@ def metrics(
     return parsed.groupBy(*by).agg(*chosen, F.count("*").alias("num_samples"))
 
 
+def metric_sums(
+    rows: DataFrame,
+    by: Sequence[str] = (),
+    mode: str = "score",
+    prediction: str = "prediction",
+    label: str = "label",
+) -> DataFrame:
+    """What the metrics of a group follow from, as counts and an exact sum.
+
+    Kept beside a run, the sums of other rows or runs can be added to them
+    (``merged_sums``) in any order and grouping, without another look at the texts.
+    """
+    if mode not in ("score", "pair"):
+        raise ValueError(f"unknown mode {mode!r}")
+    parsed = _parsed(rows, mode, "both", prediction, label)
+    guess, truth = F.col("_guess"), F.col("_truth")
+    sums = [F.count("*").alias("num_samples"), F.count_if(F.abs(guess - truth) <= SCORE_TOLERANCE).alias("near_scores")]
+    if mode == "score":
+        sums += [
+            F.count_if(round_half_down(guess) == round_half_down(truth)).alias("same_rounded"),
+            F.count_if(passes(guess) == passes(truth)).alias("same_passes"),
+        ]
+        return parsed.groupBy(*by).agg(*sums)
+    label_, true_label = F.col("_guess_label"), F.col("_true_label")
+    prob, true_prob = F.col("_guess_prob"), F.col("_true_prob")
+    valid = label_.isNotNull() & true_label.isNotNull() & prob.isNotNull() & true_prob.isNotNull()
+    gap = F.when(valid, prob - true_prob)
+    exact = F.sum((gap * gap).cast("decimal(28,18)"))
+    sums += [
+        F.count_if(valid).alias("valid"),
+        F.count_if(valid & (label_ == true_label)).alias("same_labels"),
+        F.count_if(F.abs(gap) <= PROB_TOLERANCE).alias("near_probs"),
+        F.coalesce(exact, F.lit(0).cast("decimal(38,18)")).alias("squared_gaps"),
+    ]
+    return parsed.groupBy(*by).agg(*sums)
+
+
+def merged_sums(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sums of several parts or runs, or of a finer grouping, added up per group."""
+    names = [name for name, kind in sums.dtypes if name not in by and (kind == "bigint" or kind.startswith("decimal"))]
+    added = {name: F.coalesce(F.sum(name), F.lit(0)) for name in names}
+    kept = {name: kind for name, kind in sums.dtypes}
+    return sums.groupBy(*by).agg(*(value.cast(kept[name]).alias(name) for name, value in added.items()))
+
+
+def metrics_of_sums(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The metrics that ``metrics`` gives, from stored sums."""
+    count = F.col("num_samples")
+
+    def share(name: str, of: Column) -> Column:
+        return F.try_divide(F.col(name), of)
+
+    if "valid" not in sums.columns:
+        found = [
+            share("near_scores", count).alias("accuracy"),
+            share("same_rounded", count).alias("absolute_accuracy"),
+            share("same_passes", count).alias("binary_accuracy"),
+        ]
+    else:
+        valid = F.nullif(F.col("valid"), F.lit(0))
+        same, near = share("same_labels", valid), share("near_probs", valid)
+        found = [
+            share("near_scores", count).alias("accuracy"),
+            F.coalesce(same, F.lit(0.0)).alias("binary_accuracy"),
+            (F.col("squared_gaps").cast("double") / valid).alias("probability_mse"),
+            near.alias("probability_accuracy"),
+            (LABEL_WEIGHT * same + PROB_WEIGHT * near).alias("combined_score"),
+        ]
+    return sums.select(*by, *found, "num_samples")
+
+
 def adjusted_accuracy(
     rows: DataFrame,
     by: Sequence[str] = (),

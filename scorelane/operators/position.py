@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelane.session import few, work_path
+
 BUCKET_BITS = 20
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -72,6 +74,36 @@ def with_position(
     return placed.select(*rows.columns, "position", "total")
 
 
+def ordered_position(rows: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Add ``position`` and ``total`` per dataset in the order of ``keys`` of any kind that Spark can sort.
+
+    The rows are dealt by ranges of dataset and keys, which Spark takes from a sample, and
+    written sorted, a range a file. A row's place in its file, less the place where its
+    dataset begins there, plus the dataset's rows in earlier files, is its position: one
+    row per dataset and file is all that meets. So no dataset is sorted in one task if the
+    keys tell its rows apart; make them do so by adding an id, which also settles ties.
+    Nulls come first, and a null dataset is one like others.
+    """
+    spark = rows.sparkSession
+    path = work_path(spark, "ordered")
+    marked = rows.withColumn("_set", F.struct(*within, F.lit(0).alias("all")))
+    dealt = marked.repartitionByRange(*[F.col(name) for name in ("_set", *keys)])
+    dealt.sortWithinPartitions("_set", *keys).write.option("maxRecordsPerFile", 0).parquet(path)
+    kept = spark.read.schema(marked.schema).parquet(path)
+    place = kept.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    runs = place.groupBy("_set", "_file").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    # Files are numbered in the order of their ranges.
+    earlier = Window.partitionBy("_set").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        "_set",
+        "_file",
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_rows").over(Window.partitionBy("_set")).alias("total"),
+    )
+    numbered = place.join(few(starts, "ordered-starts"), ["_set", "_file"])
+    return numbered.withColumn("position", F.col("_place") + F.col("_shift")).select(*rows.columns, "position", "total")
+
+
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of each dataset, by a position that is stored already."""
     return rows.where(F.col("position") < n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_, or_
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,19 +36,32 @@ def load_responses(
     return rows
 
 
-def as_of_revision(rows: DataFrame, revision: int, by: Sequence[str] = ("dataset",)) -> DataFrame:
+#: Datasets whose revisions may be named in a filter.
+NAMED_REVISIONS = 1000
+
+
+def as_of_revision(
+    rows: DataFrame, revision: int, by: Sequence[str] = ("dataset",), named: int = NAMED_REVISIONS
+) -> DataFrame:
     """For each dataset, its newest revision that is not above ``revision``.
 
-    The aggregate holds one row per dataset. It is written first, so that its size
-    is known and the rows stay where they are. A null dataset is one like others.
+    The aggregate holds one row per dataset. Where there are at most ``named``, their
+    revisions become a filter, so of a table in folders by dataset and revision only the
+    chosen ones are listed and read. Where there are more, the aggregate, which is
+    written first so that its size is known, is joined; the rows stay where they are. A
+    null dataset is one like others.
     """
-    current = few(
-        rows.where(F.col("revision") <= revision)
-        .groupBy(*by)
-        .agg(F.max("revision").alias("revision")),
-        "revisions",
-    )
-    return rows.join(current, same(rows, current, [*by, "revision"]), "left_semi")
+    rows = rows.where(F.col("revision") <= revision)
+    current = few(rows.groupBy(*by).agg(F.max("revision").alias("revision")), "revisions")
+    pairs = current.limit(named + 1).collect()
+    if len(pairs) > named:
+        return rows.join(current, same(rows, current, [*by, "revision"]), "left_semi")
+    kinds = {field.name: field.dataType for field in current.schema.fields}
+    chosen = [
+        reduce(and_, (F.col(name).eqNullSafe(F.lit(pair[name]).cast(kinds[name])) for name in (*by, "revision")))
+        for pair in pairs
+    ]
+    return rows.where(reduce(or_, chosen, F.lit(False)))
 
 
 def checked_columns(rows: DataFrame, names: Sequence[str], by: Sequence[str] = ("dataset",)) -> DataFrame:

@@ -16,6 +16,7 @@ from scorelane.operators.hints import (
 from scorelane.operators.position import (
     batch_number,
     drop_short_batch,
+    ordered_position,
     shard_number,
     take_first,
     with_position,
@@ -263,6 +264,23 @@ def positions_overall(spark: SparkSession, folder: str) -> DataFrame:
     return with_position(rows, "doc_id", bucket_bits=7)
 
 
+@query(
+    """SELECT name, brand, part, row_number() OVER (PARTITION BY brand ORDER BY name NULLS FIRST, part) - 1 AS position,
+  count(*) OVER (PARTITION BY brand) AS total
+FROM (SELECT p_partkey AS part, CASE WHEN p_partkey % 10 > 0 THEN p_name END AS name,
+  CASE WHEN p_partkey % 7 > 0 THEN p_brand END AS brand FROM part)"""
+)
+def positions_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts numbered by name inside their brand, where names repeat and some are null, as are brands."""
+    number = F.col("p_partkey")
+    parts = data.table(spark, folder, "part").select(
+        number.alias("part"),
+        F.when(number % 10 > 0, F.col("p_name")).alias("name"),
+        F.when(number % 7 > 0, F.col("p_brand")).alias("brand"),
+    )
+    return ordered_position(parts, ["name", "part"], ["brand"])
+
+
 @query(f"{POSITIONS} SELECT sample_id, dataset, position FROM placed WHERE position < 25")
 def first_of_each_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """The first 25 responses of each dataset."""

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from scorelane.operators.metrics import (
     adjusted_accuracy,
     compare_runs,
+    merged_sums,
     metric_report,
+    metric_sums,
     metrics,
     metrics_long,
+    metrics_of_sums,
     parse_failures,
 )
 from scorelane.schemas import METRIC_NAMES
+from scorelane.session import work_path
 from scorelane.suite import data, sql
 from scorelane.suite.registry import query
 
@@ -34,6 +38,33 @@ def metrics_overall(spark: SparkSession, folder: str) -> DataFrame:
     return metrics(data.score_results(spark, folder))
 
 
+@query(
+    f"""WITH {sql.PARSED_SCORES}
+SELECT {sql.SCORE_METRICS}, count(*) AS num_samples FROM parsed"""
+)
+def merged_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics over all rows from the stored sums of three sets, the third of which came later."""
+    rows, path = data.score_results(spark, folder), work_path(spark, "sums")
+    for part in range(3):
+        metric_sums(rows.where(F.col("sample_id") % 3 == part), ["dataset", "split"]).write.mode("append").parquet(path)
+    return metrics_of_sums(merged_sums(spark.read.parquet(path)))
+
+
+@query(
+    f"""WITH {sql.PARSED_PAIRS}
+SELECT dataset, count(*) FILTER (abs(g - t) <= 0.5) / count(*) AS accuracy, {sql.PAIR_METRICS},
+  count(*) AS num_samples FROM parsed GROUP BY dataset"""
+)
+def merged_pair_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of pairs, per dataset, from sums per dataset and split."""
+    rows, path = data.pair_results(spark, folder), work_path(spark, "sums")
+    for part in range(2):
+        own = rows.where(F.col("sample_id") % 2 == part)
+        metric_sums(own, ["dataset", "split"], "pair").write.mode("append").parquet(path)
+    wide = metrics_of_sums(merged_sums(spark.read.parquet(path), ["dataset"]), ["dataset"])
+    return wide.withColumns({name: F.round(name, 9) for name in ("probability_mse", "combined_score")})
+
+
 @query(
     f"""WITH {sql.PARSED_SCORES}, found AS (
   SELECT dataset, split, {sql.SCORE_METRICS} FROM parsed GROUP BY ALL

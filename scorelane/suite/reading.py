@@ -15,6 +15,7 @@ from scorelane.operators.position import with_position
 from scorelane.schemas import METRIC_NAMES
 from scorelane.session import work_path
 from scorelane.sinks.exports import export_manifest
+from scorelane.sinks.files import write_named_texts
 from scorelane.sinks.results import (
     catalogue_entries,
     hint_maps,
@@ -430,6 +431,28 @@ def export_files(spark: SparkSession, folder: str) -> DataFrame:
     return manifest
 
 
+@query(
+    f"""WITH {sql.AUDIO}, usable AS (
+  SELECT *, coalesce(path, 'sample_' || sample_id || '.wav') AS original
+  FROM audio_rows WHERE kind IN (0, 1, 3, 5, 6)
+)
+SELECT sample_id || '_metadata.txt' AS name,
+  'Sample index: ' || sample_id || chr(10) || coalesce('Speaker ID: ' || speaker_id || chr(10), '')
+    || 'Original filename: ' || original || chr(10) || 'Truth score: ' || grade || chr(10)
+    || 'Sampling rate: 16000 Hz' || chr(10) || 'Prompt: ' || prompt || chr(10)
+    || coalesce('Language: ' || language || chr(10), '') AS text
+FROM usable"""
+)
+def export_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The metadata texts as files under their own names, read back."""
+    path = work_path(spark, "export-texts")
+    manifest, _ = export_manifest(data.audio_rows(spark, folder), "wav_path")
+    write_named_texts(manifest, path, "metadata_name", "metadata")
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")
+    )
+
+
 @query(f"WITH {sql.AUDIO} SELECT sample_id FROM audio_rows WHERE kind NOT IN (0, 1, 3, 5, 6)")
 def export_skipped(spark: SparkSession, folder: str) -> DataFrame:
     """Samples that cannot be exported."""

@@ -1,0 +1,74 @@
+from pathlib import Path
+
+import pytest
+from helpers import plan_of
+from pyspark.sql import functions as F
+
+from scorelane.operators.metrics import merged_sums, metric_sums, metrics, metrics_of_sums
+from scorelane.sinks.files import write_named_texts
+from scorelane.sources.responses import as_of_revision
+
+
+def files(path):
+    return {p.name: p.read_text() for p in Path(path).iterdir() if not p.name.startswith(("_", "."))}
+
+
+def test_texts_under_their_own_names(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(50, numPartitions=7).select(
+        F.concat("id", F.lit("_metadata.txt")).alias("name"), F.concat(F.lit("text é\n"), "id").alias("text"), "id"
+    )
+    write_named_texts(rows, path, "name", "text")
+    assert files(path) == {f"{i}_metadata.txt": f"text é\n{i}" for i in range(50)}
+    assert (Path(path) / "_SUCCESS").exists()
+    # a second run replaces what it writes and leaves the rest
+    write_named_texts(rows.limit(3).withColumn("text", F.lit(None).cast("string")), f"file:{path}", "name", "text")
+    assert sorted(files(path).values()).count("") == 3 and len(files(path)) == 50
+
+
+def test_names_that_lead_elsewhere_are_refused(spark, tmp_path):
+    for name in ("../up", "a/b", "", "_SUCCESS", ".hidden"):
+        rows = spark.createDataFrame([(name, "x")], "name string, text string")
+        with pytest.raises(Exception, match="no name for a file"):
+            write_named_texts(rows, str(tmp_path / "out"), "name", "text")
+    assert not (tmp_path / "out" / "_SUCCESS").exists() and files(tmp_path / "out") == {}
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_only_the_chosen_revisions_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(name, revision, i) for name, last in (("a", 3), ("b", 5), (None, 4)) for revision in range(last + 1) for i in range(2)]
+    frame = spark.createDataFrame(rows, "dataset string, revision long, id long")
+    frame.repartition(1).write.partitionBy("dataset", "revision").parquet(path)
+    read = spark.read.schema(frame.schema).parquet(path)
+    expected = {("a", 3), ("b", 4), (None, 4)}
+    for named in (1000, 1):
+        found = as_of_revision(read, 4, named=named)
+        assert {(r.dataset, r.revision) for r in found.collect()} == expected and found.count() == 6
+    chosen = as_of_revision(read, 4)
+    filters = plan_of(chosen).split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "revision" in filters and "dataset" in filters
+    assert chosen.select(F.input_file_name()).distinct().count() == 3
+    assert "Join" not in plan_of(chosen)
+    assert as_of_revision(read, -1).count() == 0
+
+
+def test_sums_merge_in_any_order(spark):
+    texts = ["3.0", "4.5", "x", "1,0.65", "0,0.80", None, "0,0.50"]
+    rows = [(i % 3, i % 2, texts[i % 7], texts[(i * 3) % 7]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "g int, h int, prediction string, label string")
+    for mode in ("score", "pair"):
+        expected = [tuple(r) for r in metrics(frame, ["g"], mode).orderBy("g").collect()]
+        parts = [metric_sums(frame.where(F.col("h") == h), ["g", "h"], mode) for h in (1, 0)]
+        for both in (parts[0].unionByName(parts[1]), parts[1].unionByName(parts[0])):
+            twice = merged_sums(merged_sums(both, ["g", "h"]), ["g"])
+            found = [tuple(r) for r in metrics_of_sums(twice, ["g"]).orderBy("g").collect()]
+            for one, other in zip(found, expected, strict=True):
+                assert one == pytest.approx(other, abs=1e-12)
+            assert metrics(frame, ["g"], mode).columns == metrics_of_sums(twice, ["g"]).columns
+        nothing = metrics_of_sums(merged_sums(metric_sums(frame.limit(0), ["g"], mode), ["g"]), ["g"])
+        assert nothing.count() == 0
+    with pytest.raises(ValueError, match="mode"):
+        metric_sums(frame, mode="other")
+
+

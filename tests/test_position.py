@@ -8,6 +8,7 @@ from scorelane.operators.position import (
     batch_number,
     drop_short_batch,
     first_rows,
+    ordered_position,
     shard_number,
     take_first,
     with_position,
@@ -127,3 +128,28 @@ def test_buckets_behind_the_first_rows_are_not_numbered(spark):
 def test_the_first_rows_overall(spark):
     rows = keyed(spark, [("a", i) for i in (5, 3, 9, 1)])
     assert [(r.id, r.position) for r in take_first(rows, "id", 2).orderBy("id").collect()] == [(1, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("partitions", ["1", "8"])
+def test_positions_by_any_key(spark, partitions):
+    """Texts, numbers and nulls as keys, a large dataset over several ranges, and a null dataset."""
+    rows = [("a", f"k{i * 7919 % 1009:04}", i) for i in range(3000)] + [(None, None, i) for i in range(5)]
+    rows += [("b", name, i) for i, name in enumerate(["é", "z", None, "Z", "", "z"])]
+    frame = spark.createDataFrame(rows, "dataset string, name string, id long").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = ordered_position(frame, ["name", "id"], ["dataset"]).collect()
+        overall = ordered_position(frame.withColumn("half", F.col("id") / 2), ["half", "dataset", "name"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for dataset in ("a", "b", None):
+        held = sorted((r.name is not None, (r.name or "").encode(), r.id) for r in found if r.dataset == dataset)
+        placed = {(r.name, r.id): (r.position, r.total) for r in found if r.dataset == dataset}
+        names = {(key.decode() if some else None, i): at for at, (some, key, i) in enumerate(held)}
+        assert placed == {key: (at, len(held)) for key, at in names.items()}
+    assert sorted(r.position for r in overall) == list(range(len(rows)))
+    assert [r.half for r in sorted(overall, key=lambda r: r.position)] == sorted(r[2] / 2 for r in rows)
+
+
+def test_no_rows_have_no_position(spark):
+    assert ordered_position(spark.createDataFrame([], "g string, k string"), ["k"], ["g"]).count() == 0
