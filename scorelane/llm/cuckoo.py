@@ -12,7 +12,8 @@ that fills a third of the table reaches its shard as a row per task.
 
 Defined results: null texts count as empty; rows of one text with equal smallest
 ``doc_id`` are told apart by where they are stored, and one of them stays; null
-``doc_id`` comes after all others; an empty table gives an empty result. Only
+``doc_id`` comes after all others; a text of any length is normalised and hashed inside
+the JVM, and only its digest moves; an empty table gives an empty result. Only
 the named columns are read, so others may have any name.
 """
 

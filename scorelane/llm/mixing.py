@@ -11,7 +11,8 @@ then kept or dropped by comparing their hash. Nothing is sorted.
 Defined results: null texts have no words; the null source is a source like any
 other, the last in order; documents of one hash (repeated or null ``doc_id``) are
 told apart by where they are stored; a source without words has target 0 and
-gives no rows; an empty table gives an empty result.
+gives no rows; words of a text of any length are counted inside the JVM, and no text
+moves; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ is scored over its whole text. Labels, language, source and id are not features.
 Defined results: null and empty texts are scored as a text without features;
 labels that are null are left out, of several for a document the smallest holds;
 if the labels have one class only, every score is that class, without labels 0.5;
-a null ``doc_id`` is scored, and held out, as its text has remainder 0.
+a null ``doc_id`` is scored, and held out, as its text has remainder 0; repeated rows
+are each scored, and count once in the fit, as do several texts of one id (the one
+with the least columns counts); a text of any length is read whole, and holds a few
+numbers a word; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -232,7 +235,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
     found = rows.mapInArrow(run, struct_of(f"doc_id {dict(rows.dtypes)['doc_id']}, quality int, columns array<int>"))
-    held = found.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    # Of several texts under one id the one with the least columns counts, so a rerun fits the same model.
+    one = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("columns").alias("columns"))
+    held = one.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     columns = [np.asarray(row.values.to_numpy(zero_copy_only=False)) for row in held.column("columns")]
     return train(columns, np.array(held.column("quality").to_pylist(), dtype=float) == 1)
 

@@ -16,7 +16,9 @@ Copies are one fingerprint, so they never meet as pairs.
 Defined results: null texts are empty; a text without words has fingerprint
 zero and links like any other; a text of fewer than four words has one shingle.
 Rows with a null ``doc_id`` take part; a component's id is its smallest
-``doc_id`` that is not null, or null. Repeated rows are given back as often.
+``doc_id`` that is not null, or null. Repeated rows are given back as often, and of
+equal ids the first by place stays. A very long text is read whole, its shingles
+counted 32,768 at a time. An empty table gives no rows.
 """
 
 from __future__ import annotations

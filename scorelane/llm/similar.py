@@ -41,10 +41,11 @@ MINIMA = 5
 #: Candidates whose minima agree in a smaller part than this are not verified: at a
 #: similarity of 0.8 that is more than four standard deviations away.
 LIKELY = 0.6
-#: Shingles whose minima are taken at a time.
+#: Shingles whose minima are taken at a time, and documents whose sets a task holds.
 TAKEN = 1 << 12
+SIGNED = 1 << 10
 
-_SIGNED = f"{ROW_KEY} bigint, doc_id bigint, print bigint, minima array<int>, shingles array<int>"
+_SCHEMA = f"{ROW_KEY} bigint, doc_id bigint, print bigint, minima array<int>, shingles array<int>"
 
 
 def minima(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -60,7 +61,7 @@ def signatures(documents: DataFrame, words: int = WORDS, count: int = BANDS * MI
     """A row per document: identity, ``doc_id``, fingerprint, minima, and its set of shingles as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SIGNED) for whole in batches for at in range(0, whole.num_rows, SIGNED)):
             prints, least, sets = [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py() or "", words)
@@ -75,7 +76,7 @@ def signatures(documents: DataFrame, words: int = WORDS, count: int = BANDS * MI
             )
 
     rows = identified(documents.select("doc_id", "text"), "similar-input")
-    return rows.select(ROW_KEY, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, struct_of(_SIGNED))
+    return rows.select(ROW_KEY, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, struct_of(_SCHEMA))
 
 
 def _buckets(signed: DataFrame, bands: int, size: int) -> DataFrame:

@@ -9,7 +9,9 @@ anew, and the sums above it are updated.
 
 Defined results: null and empty texts have no tokens; edits beyond the end of a
 text are cut off there; null edits are left out; repeated rows are counted each;
-an empty table gives an empty result. Only the named columns are read.
+a very long text is cut into as many segments as it has such places, and is one
+segment if it has none; an empty table gives an empty result. Only the named columns
+are read.
 """
 
 from __future__ import annotations
