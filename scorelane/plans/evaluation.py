@@ -46,7 +46,8 @@ class Model:
     """A scorer and the name its results go by.
 
     ``version`` tells builds of a model apart. Without one a digest of the factory's
-    code does, which does not see weights that the factory loads.
+    code does, which does not see weights that the factory loads. ``max_bytes`` bounds
+    a batch beside ``batch_size``.
     """
 
     name: str
@@ -55,6 +56,7 @@ class Model:
     batch_size: int = 4
     arrow: bool = False
     version: str | None = None
+    max_bytes: int | None = None
 
     @property
     def folder(self) -> str:
@@ -67,7 +69,8 @@ def score(examples: DataFrame, model: Model, keys: Sequence[str] = HINT_KEYS) ->
     """Predictions beside labels, by response."""
     keep = [*keys, "label", *([DIGEST] if DIGEST in examples.columns else [])]
     return score_batches(
-        examples, model.name, model.factory, model.inputs, keep, model.batch_size, arrow=model.arrow
+        examples, model.name, model.factory, model.inputs, keep, model.batch_size, arrow=model.arrow,
+        max_bytes=model.max_bytes,
     )
 
 

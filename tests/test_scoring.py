@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import plan_of
 from scorelane.operators.hints import HINT_KEYS
 from scorelane.operators.prompts import hint_examples, supervised_examples
-from scorelane.operators.scoring import score_batches
+from scorelane.operators.scoring import batch_ends, score_batches
 from scorelane.plans.evaluation import Model, cascade, evaluate, ready, score, score_answers
 from scorelane.sinks.results import write_bucketed
 
@@ -215,3 +215,42 @@ def test_cascade_hands_hints_on(spark, tmp_path):
     found = {r.sample_id: r.prediction for r in rows.collect()}
     assert found == {i: "4.5" if i % 2 else "2.0" for i in range(20)}
     assert sum(r.num_samples for r in wide.collect()) == 20
+
+
+def told():
+    """A scorer that tells the rows and the bytes of its batch."""
+    return lambda batch: [f"{len(batch)}:{sum(map(len, batch['text']))}"] * len(batch)
+
+
+def told_of_tables():
+    return lambda table: [f"{table.num_rows}:{sum(map(len, table.column('text').to_pylist()))}"] * table.num_rows
+
+
+@pytest.mark.parametrize("arrow", [False, True])
+def test_batches_are_closed_by_bytes_too(spark, arrow):
+    """One row is a hundred times the others: it goes alone, order is kept, and no batch is larger."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(60, numPartitions=1).withColumn(
+            "text", F.repeat(F.lit("x"), F.when(F.col("id") == 20, 10_000).otherwise(100).cast("int"))
+        )
+        maker = told_of_tables if arrow else told
+        found = score_batches(rows, f"t/told-{arrow}", maker, ["text"], ["id"], 4, arrow=arrow, max_bytes=1000).collect()
+        assert [r.id for r in found] == list(range(60))
+        sizes = {r.id: r.prediction for r in found}
+        assert sizes[20] == "1:10000" and sizes[0] == sizes[19] == "4:400" and sizes[21] == "4:400"
+        few = score_batches(rows, f"t/told-{arrow}", maker, ["text"], ["id"], 50, arrow=arrow, max_bytes=1000).collect()
+        assert max(int(r.prediction.split(":")[1]) for r in few if r.id != 20) <= 1000
+        assert {r.prediction.split(":")[0] for r in few if r.id < 10} <= {"9", "8", "10", "1"}
+        # without a bound batches are full across Arrow batches
+        whole = score_batches(rows, f"t/told-{arrow}", maker, ["text"], ["id"], 16, arrow=arrow).collect()
+        assert [r.prediction.split(":")[0] for r in whole] == ["16"] * 48 + ["12"] * 12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_batch_ends():
+    assert batch_ends([1, 1, 1, 1, 1], 2, None, True) == [2, 4, 5]
+    assert batch_ends([1, 1, 1, 1, 1], 2, None, False) == [2, 4]
+    assert batch_ends([5, 90, 5, 5, 200, 5], 4, 100, True) == [3, 4, 5, 6]
+    assert batch_ends([], 4, 10, True) == []
