@@ -83,8 +83,9 @@ def metrics(
     metric: str = "both",
     prediction: str = "prediction",
     label: str = "label",
+    failures: bool = False,
 ) -> DataFrame:
-    """One row of metrics per group.
+    """One row of metrics per group, and with ``failures`` the counts of ``parse_failures`` beside them.
 
     Every text is parsed once, and rows are reduced to a handful of sums per
     group before anything is shuffled; a group with most of the rows is as
@@ -95,9 +96,35 @@ def metrics(
         raise ValueError(f"unknown mode {mode!r} or metric {metric!r}")
     chosen = _score_metrics(metric) if mode == "score" else _pair_metrics(metric)
     parsed = _parsed(rows, mode, metric, prediction, label)
+    if failures:
+        parsed = _judged(parsed, prediction, label)
+        chosen = [*chosen, *_failures(prediction)]
     return parsed.groupBy(*by).agg(*chosen, F.count("*").alias("num_samples"))
 
 
+def _judged(parsed: DataFrame, prediction: str, label: str) -> DataFrame:
+    """Rows with what tells whether their texts can be read, as far as it is not there already."""
+    held = parsed.columns
+    return parsed.withColumns(
+        {
+            "_score": F.col("_guess") if "_guess" in held else parse_score(F.col(prediction)),
+            "_label": F.col("_truth") if "_truth" in held else parse_label_score(F.col(label)),
+            "_pair": F.struct(F.col("_guess_label").alias("label"), F.col("_guess_prob").alias("prob"))
+            if "_guess_label" in held
+            else parse_pair(F.col(prediction)),
+        }
+    )
+
+
+def _failures(prediction: str) -> list[Column]:
+    return [
+        F.count_if(F.col("_score").isNull()).alias("no_score"),
+        F.count_if(~is_pair(F.col("_pair"))).alias("no_pair"),
+        F.count_if(~F.coalesce(F.col(prediction), F.lit("")).contains(",")).alias("no_comma"),
+        F.count_if(F.col("_label").isNull()).alias("no_label_score"),
+    ]
+
+
 def metric_sums(
     rows: DataFrame,
     by: Sequence[str] = (),
@@ -193,20 +220,8 @@ def parse_failures(
     label: str = "label",
 ) -> DataFrame:
     """How many texts cannot be read: as score, as pair, or for want of a comma."""
-    parsed = rows.withColumns(
-        {
-            "_score": parse_score(F.col(prediction)),
-            "_pair": parse_pair(F.col(prediction)),
-            "_label": parse_label_score(F.col(label)),
-        }
-    )
-    return parsed.groupBy(*by).agg(
-        F.count_if(F.col("_score").isNull()).alias("no_score"),
-        F.count_if(~is_pair(F.col("_pair"))).alias("no_pair"),
-        F.count_if(~F.coalesce(F.col(prediction), F.lit("")).contains(",")).alias("no_comma"),
-        F.count_if(F.col("_label").isNull()).alias("no_label_score"),
-        F.count("*").alias("num_samples"),
-    )
+    parsed = _judged(rows, prediction, label)
+    return parsed.groupBy(*by).agg(*_failures(prediction), F.count("*").alias("num_samples"))
 
 
 def metrics_long(wide: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -139,6 +139,20 @@ def failures_by_dataset(spark: SparkSession, folder: str) -> DataFrame:
     return parse_failures(data.pair_results(spark, folder), ["dataset"])
 
 
+@query(
+    f"""WITH {sql.PARSED_PAIRS}
+SELECT dataset, {sql.PAIR_METRICS}, count(*) FILTER (g IS NULL) AS no_score,
+  count(*) FILTER (gl IS NULL OR gp IS NULL) AS no_pair,
+  count(*) FILTER (NOT contains(prediction, ',')) AS no_comma,
+  count(*) FILTER (t IS NULL) AS no_label_score, count(*) AS num_samples
+FROM parsed GROUP BY dataset"""
+)
+def metrics_with_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics and failures from one scan, in which a text is parsed once for both."""
+    wide = metrics(data.pair_results(spark, folder), ["dataset"], "pair", "binary", failures=True)
+    return wide.withColumns({name: F.round(name, 9) for name in ("probability_mse", "combined_score")})
+
+
 @query(
     f"""WITH {sql.PARSED_SCORES}, wide AS (
   SELECT dataset, {sql.SCORE_METRICS}, CAST(count(*) AS DOUBLE) AS num_samples

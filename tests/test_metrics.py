@@ -91,3 +91,15 @@ def test_runs_are_compared_by_metric(spark):
     found = {row.metric: (row.before, row.after, row.change) for row in compare_runs(before, after, ["run"]).collect()}
     assert found["accuracy"] == (0.5, 1.0, 0.5)
     assert "num_samples" not in found
+
+
+def test_failures_come_from_the_metrics_scan(spark, tmp_path):
+    """One scan, one shuffle, and as many parsing expressions as the metrics need, for either mode."""
+    rows = [("a", t, l) for t in ("3.0", "x", "1,0.65", None, "sorry, no") for l in ("3.0", "0,0.80", "y")]
+    frame(spark, rows).write.parquet(str(tmp_path / "r"))
+    read = spark.read.parquet(str(tmp_path / "r"))
+    for mode, metric in (("score", "both"), ("pair", "both"), ("pair", "binary"), ("score", "cl")):
+        both = metrics(read, ["run"], mode, metric, failures=True)
+        assert plan_of(both).count("FileScan") == 1 and exchanges(both) == 1
+        found, plain, failed = both.first(), metrics(read, ["run"], mode, metric).first(), parse_failures(read, ["run"]).first()
+        assert all(found[c] == plain[c] for c in plain.asDict()) and all(found[c] == failed[c] for c in failed.asDict())
