@@ -157,10 +157,10 @@ def score_batches(
             if not parts:
                 break
             sent = _joined(parts)
-            texts: list[str] = []
-            start = 0
-            for end in ends(_frame_sizes, sent[used], len(sent), frame is None):
-                texts.extend(checked(scorer(sent[used].iloc[start:end]), end - start))
+            # The inputs are picked once: for each batch anew, a frame of many small ones would be copied as often.
+            asked, texts, start = sent[used], [], 0
+            for end in ends(_frame_sizes, asked, len(sent), frame is None):
+                texts.extend(checked(scorer(asked.iloc[start:end]), end - start))
                 start = end
             waiting = [sent.iloc[start:]] if start < len(sent) else []
             if start:

@@ -32,9 +32,7 @@ def pass_fail_rule():
     """Answers with a pair: the pass mark of the signal, surer the larger its last digit."""
 
     def answer(batch: pd.DataFrame) -> list[str]:
-        label = (batch["tenths"] >= 40).astype(int).astype(str)
-        sure = (60 + batch["tenths"] % 10).astype(str)
-        return list(label + ",0." + sure)
+        return [f"{int(tenths >= 40)},0.{60 + tenths % 10}" for tenths in batch["tenths"].tolist()]
 
     return answer
 
@@ -56,9 +54,8 @@ def plain_rule():
     """Answers with the signal, and with words where it is lowest."""
 
     def answer(batch: pd.DataFrame) -> list[str]:
-        tenths = batch["tenths"]
-        text = (tenths // 10).astype(str) + "." + (tenths % 10).astype(str)
-        return list(text.where(tenths > 12, "cannot tell"))
+        asked = batch["tenths"].tolist()
+        return [f"{tenths // 10}.{tenths % 10}" if tenths > 12 else "cannot tell" for tenths in asked]
 
     return answer
 
