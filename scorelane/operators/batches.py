@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelane.functions.arrays import attention_mask, length_mask, pad_frames, pad_ids
 from scorelane.operators.position import batch_number, drop_short_batch
@@ -16,12 +17,14 @@ def with_batch_width(
 ) -> DataFrame:
     """Add ``batch``, ``width`` (the longest array in it) and ``batch_rows``.
 
-    A batch never holds more than ``batch_size`` rows, so neither does a window.
+    ``values`` are arrays, or their sizes where the arrays are not to be shuffled. A batch
+    never holds more than ``batch_size`` rows, so neither does a window.
     """
     batch = Window.partitionBy(*within, "batch")
+    size = F.size(values) if isinstance(rows.schema[values].dataType, T.ArrayType) else F.col(values)
     return rows.withColumn("batch", batch_number(F.col("position"), batch_size)).withColumns(
         {
-            "width": F.max(F.size(values)).over(batch),
+            "width": F.max(size).over(batch),
             "batch_rows": F.count("*").over(batch),
         }
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scorelane.session import few, work_path
 
-BUCKET_BITS = 20
+#: A bucket's rows are numbered by one task with all their columns, so it spans a few thousand keys.
+BUCKET_BITS = 12
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 

@@ -114,14 +114,19 @@ def word_lengths(text: Column) -> Column:
 
 def token_rows(spark: SparkSession, folder: str) -> DataFrame:
     """A document's first line as the prompt and the rest as the answer, which may be empty."""
+    texts = table(spark, folder, "documents")
+    return token_ids(texts.select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("dataset"), "text"))
+
+
+def token_ids(rows: DataFrame) -> DataFrame:
+    """``rows`` with prompt and answer ids in place of their ``text``."""
     lines = F.split("text", "\n", 2)
     has_rest = F.size("lines") > 1
+    others = [name for name in rows.columns if name != "text"]
     return (
-        table(spark, folder, "documents")
-        .select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("dataset"), lines.alias("lines"))
+        rows.select(*others, lines.alias("lines"))
         .select(
-            "sample_id",
-            "dataset",
+            *others,
             word_lengths(F.col("lines")[0]).alias("prompt_ids"),
             F.when(has_rest, word_lengths(F.get("lines", F.lit(1))))
             .otherwise(F.array().cast("array<bigint>"))

@@ -156,3 +156,9 @@ def test_blocks_of_any_rank(spark):
     whole = [[[[0] * 3] * 2] * 2] * 2
     assert found[1] == found[2] == whole
     assert found[0][0][0] == [[1, 0, 0], [2, 3, 0]] and found[0][1] == [[[4, 0, 0], [0, 0, 0]], [[0] * 3] * 2]
+
+
+def test_batch_width_of_sizes(spark):
+    rows = spark.createDataFrame([(0, 3), (1, 5), (2, 1)], "position long, own int")
+    found = with_batch_width(rows, "own", 2).orderBy("position").collect()
+    assert [(r.batch, r.width, r.batch_rows) for r in found] == [(0, 5, 2), (0, 5, 2), (1, 1, 1)]

@@ -153,3 +153,15 @@ def test_positions_by_any_key(spark, partitions):
 
 def test_no_rows_have_no_position(spark):
     assert ordered_position(spark.createDataFrame([], "g string, k string"), ["k"], ["g"]).count() == 0
+
+
+def test_rows_of_one_dataset_are_numbered_by_several_tasks(spark):
+    """Neighbouring keys do not all meet in one task, where wide rows would need as much memory as there are."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = with_position(spark.range(80_000), "id").withColumn("task", F.spark_partition_id())
+        counts = [r["count"] for r in placed.groupBy("task").count().collect()]
+        assert sum(counts) == 80_000 and max(counts) < 40_000
+        assert placed.where(F.col("position") != F.col("id")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
