@@ -11,9 +11,9 @@ wrapper.
 
 Nodes are told apart by shape: their element and names, and the shapes of their
 children's runs. Sequences of children are trimmed of what they begin and end with
-alike; what is left is aligned by dynamic programming, a row at a time in numpy, in
-linear memory (Hirschberg). ``CELLS`` bounds one alignment: beyond that, about 14,000
-by 14,000 unlike blocks, both sequences are aligned in as many consecutive pieces. A
+alike; what is left is aligned by dynamic programming, a row at a time in numpy. Of
+long ones some rows are kept, and those between are made again where the path goes, so
+memory is linear and the path is the same at every length; time is their product. A
 block that is not aligned is not template, so its text stays.
 
 Pages are dealt by host, and hosts with over a thousandth of all pages by host and
@@ -57,12 +57,12 @@ MOST = 0.6
 LINKED = 0.6
 #: Part of the content's varying text that a region may hold and be left out for its name.
 NAMED = 0.5
-#: Pairs of blocks that one alignment of two sequences looks at, at most, and those that
-#: it keeps in memory at a time.
-CELLS = 200_000_000
+#: Pairs of blocks that an alignment keeps in memory at a time, and the rows that it keeps
+#: of more; neither has a part in the result.
 TABLE = 1_000_000
-#: Pairs of different shapes in two sequences that are matched in depth.
-SHAPES = 50_000
+SPLIT = 16
+#: Once the most pairs that an alignment looked at. Nothing reads it: alignments are whole at every size.
+CELLS = 200_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -379,13 +379,8 @@ class Shapes:
         return start, end, a[start : len(a) - end], b[start : len(b) - end]
 
     def _weights(self, left: tuple[int, ...], right: tuple[int, ...]):
-        """What each pair of shapes is worth: a table by shape of the left and of the right.
-
-        Where there are too many unlike shapes for all pairs to be matched in depth, it is
-        the number of nodes of equal ones, and one of others.
-        """
+        """What each pair of shapes is worth, matched in depth: a table by shape of the left and of the right."""
         rows, columns = list(dict.fromkeys(left)), list(dict.fromkeys(right))
-        deep = len(rows) * len(columns) <= SHAPES
         by_sign: dict[tuple, list[int]] = {}
         for at, shape in enumerate(columns):
             by_sign.setdefault(self.signs[shape], []).append(at)
@@ -393,10 +388,7 @@ class Shapes:
         for shape in rows:
             table[shape] = {}
             for at in by_sign.get(self.signs[shape], ()):
-                if deep:
-                    table[shape][columns[at]] = yield shape, columns[at]
-                else:
-                    table[shape][columns[at]] = self.counts[shape] if shape == columns[at] else 1
+                table[shape][columns[at]] = yield shape, columns[at]
         return table
 
     def matched(self, one: int, two: int) -> list[tuple[int, int]]:
@@ -425,51 +417,41 @@ def _alignment(left: tuple[int, ...], right: tuple[int, ...], weights: dict) ->
     def row(i: int, low: int, high: int) -> np.ndarray:
         return by_shape[left[i]][columns[low:high]]
 
-    def scores(rows: range, low: int, high: int, back: bool) -> np.ndarray:
-        """The best that ``rows`` reach with each beginning, or ending, of the columns."""
-        best = np.zeros(high - low + 1, np.int32)
-        for i in rows:
-            worth = row(i, low, high)
-            worth = worth[::-1] if back else worth
-            best[1:] = np.maximum(best[1:], best[:-1] + worth)
-            np.maximum.accumulate(best, out=best)
-        return best
-
-    def traced(top: int, bottom: int, low: int, high: int) -> Iterator[tuple[int, int]]:
-        table = [np.zeros(high - low + 1, np.int32)]
-        for i in range(top, bottom):
-            best = table[-1].copy()
-            best[1:] = np.maximum(best[1:], table[-1][:-1] + row(i, low, high))
-            table.append(np.maximum.accumulate(best))
-        i, j = bottom - top, high - low
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                yield top + i, low + j
+    def onward(best: np.ndarray, i: int, low: int, high: int) -> np.ndarray:
+        """What the rows up to ``i`` reach with each beginning of the columns, from what those before it do."""
+        reached = best.copy()
+        reached[1:] = np.maximum(best[1:], best[:-1] + row(i, low, high))
+        return np.maximum.accumulate(reached)
 
-    pieces = -(-len(left) * len(right) // CELLS)
     found: list[tuple[int, int]] = []
-    open_ = [
-        (len(left) * k // pieces, len(left) * (k + 1) // pieces, len(right) * k // pieces, len(right) * (k + 1) // pieces)
-        for k in range(pieces)
-    ]
-    while open_:
-        top, bottom, low, high = open_.pop()
-        if top == bottom or low == high:
-            continue
-        if bottom - top == 1 or (bottom - top) * (high - low) <= TABLE:
-            found.extend(traced(top, bottom, low, high))
+    # Blocks of rows, the last on top, each with what is reached before it; paths end at column ``high``.
+    open_ = [(0, len(left), np.zeros(len(right) + 1, np.int64))]
+    high = len(right)
+    while open_ and high:
+        top, bottom, before = open_.pop()
+        before = before[: high + 1]
+        if bottom - top > 1 and (bottom - top) * high > TABLE:
+            step = -(-(bottom - top) // SPLIT)
+            kept, best = [], before
+            for i in range(top, bottom):
+                if (i - top) % step == 0:
+                    kept.append((i, min(i + step, bottom), best))
+                best = onward(best, i, 0, high)
+            open_.extend(kept)
             continue
-        middle = (top + bottom) // 2
-        before = scores(range(top, middle), low, high, False)
-        after = scores(range(bottom - 1, middle - 1, -1), low, high, True)
-        cut = low + int(np.argmax(before + after[::-1]))
-        open_ += [(top, middle, low, cut), (middle, bottom, cut, high)]
-    return sorted(found)
+        table = [before]
+        for i in range(top, bottom):
+            table.append(onward(table[-1], i, 0, high))
+        i = bottom - top
+        while i and high:
+            if table[i][high] == table[i - 1][high]:
+                i -= 1
+            elif table[i][high] == table[i][high - 1]:
+                high -= 1
+            else:
+                i, high = i - 1, high - 1
+                found.append((top + i, high))
+    return found[::-1]
 
 
 def match(one: Node, two: Node, shapes: Shapes | None = None) -> tuple[int, list[tuple[int, int]]]:

@@ -232,3 +232,37 @@ def test_pages_of_thousands_of_unlike_blocks():
 
     found = extract([page(i) for i in range(4)])
     assert [len(text.split("\n")) for text in found] == [4000] * 4
+
+
+def test_alignments_do_not_depend_on_size(monkeypatch):
+    """The same pairs, all that are worth most, whatever part of the table is kept."""
+    chance = random.Random(9)
+    for _ in range(40):
+        left = tuple(chance.randrange(6) for _ in range(chance.randrange(30, 60)))
+        right = tuple(chance.randrange(6) for _ in range(chance.randrange(30, 60)))
+        weights = {a: {b: chance.randrange(1, 5) for b in {*right} if (a + b) % 3 == 0} for a in range(6)}
+        found = []
+        for table, cells in ((10**6, 10**9), (20, 10**9), (1, 10**9), (20, 300)):
+            monkeypatch.setattr(html, "TABLE", table)
+            monkeypatch.setattr(html, "CELLS", cells)
+            found.append(html._alignment(left, right, weights))
+        assert found.count(found[0]) == 4
+        worth = sum(weights[left[i]].get(right[j], 0) for i, j in found[0])
+        assert worth == by_dynamic_programming(left, right, weights)
+
+
+def test_many_unlike_shapes_are_matched_in_depth():
+    """Every part of one page lies in the other, with a line behind: all of it is found there."""
+
+    def page(count, more):
+        parts = []
+        for k in range(count):
+            tag = ("section", "blockquote")[k % 2]
+            inner = "".join("<ul></ul>" + ("<p>a</p>" if k >> bit & 1 else "<pre>a</pre>") for bit in range(8))
+            parts.append(f"<{tag}>{inner}{more}</{tag}>")
+        return html.tree(f"<div>{more}{''.join(parts)}{more}</div>")[0]
+
+    for count in (20, 240):
+        shapes = html.Shapes()
+        one, two = page(count, ""), page(count, "<h2>b</h2>")
+        assert html.match(one, two, shapes)[0] == shapes.counts[one.shape]
