@@ -515,25 +515,21 @@ FROM pages"""
 def attached_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files that rows name by path, as bytes; two rows of three have one.
 
-    The files are a page each, written by Spark in a folder per page.
+    The files are a page each, under names that the rows give.
     """
     root = work_path(spark, "clips")
     pages = data.table(spark, folder, "pages")
     has = F.col("page_id") % 3 != 0
-    files = pages.where(has).select("html", F.col("page_id").alias("clip"))
-    files.repartition("clip").write.partitionBy("clip").text(root)
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    names = names.select(
-        F.regexp_extract("path", r"clip=(\d+)/", 1).cast("bigint").alias("sample_id"),
-        F.regexp_extract("path", r"(clip=\d+/[^/]+)$", 1).alias("path"),
-    )
+    name = F.concat(F.lit("clip-"), F.col("page_id"), F.lit(".html"))
+    text = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"))
+    write_named_texts(pages.where(has), root, name, text)
     audio = F.struct(
         F.lit(None).cast("array<float>").alias("array"),
         F.lit(None).cast("int").alias("sampling_rate"),
-        F.col("path"),
+        F.when(has, name).alias("path"),
     )
-    rows = pages.select(F.col("page_id").alias("sample_id")).join(names, "sample_id", "left")
-    found = attach_audio_files(rows.select("sample_id", audio.alias("audio")), "audio", root)
+    rows = pages.select(F.col("page_id").alias("sample_id"), audio.alias("audio"))
+    found = attach_audio_files(rows, "audio", root)
     return found.select(
         "sample_id",
         F.octet_length("content").cast("bigint").alias("bytes"),
@@ -542,10 +538,13 @@ def attached_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _indented(frame: DataFrame, name: str, value: Column, path: str) -> None:
-    """A file per row with ``value`` as indented JSON, in a folder named by ``name``, as others write it."""
-    text = F.to_json(value, {"pretty": "true"})
-    files = frame.select(text.alias("value"), F.col(name).alias("file"))
-    files.repartition("file").write.partitionBy("file").text(path)
+    """A file per row, named by ``name``, with ``value`` as indented JSON, as others write it.
+
+    Tasks put the files where they belong, so the driver moves none of them.
+    """
+    text = F.concat(F.to_json(value, {"pretty": "true"}), F.lit("\n"))
+    files = frame.select(F.concat(name, F.lit(".json")).alias("name"), text.alias("text"))
+    write_named_texts(files.repartition("name"), path, "name", "text")
 
 
 #: Ids that a document made elsewhere holds at most here.
@@ -565,7 +564,7 @@ def _foreign_documents(spark: SparkSession, folder: str, path: str) -> None:
 
 def _of_foreign_documents(rows: DataFrame) -> DataFrame:
     """``document`` as the dataset, and ids counted on from the file before."""
-    name = F.regexp_extract("document", "file=([^/]+)/", 1)
+    name = F.regexp_extract("document", r"([^/]+)\.json$", 1)
     return rows.select(
         F.substring_index(name, "-", 1).alias("file"),
         (F.col("sample_id") + F.substring_index(name, "-", -1).cast("bigint") * FOREIGN_IDS).alias("sample_id"),
@@ -611,7 +610,7 @@ def _foreign_hints(spark: SparkSession, folder: str) -> DataFrame:
     _foreign_maps(spark, folder, path)
     runs = data.responses(spark, folder).select("dataset", "split").distinct().collect()
     maps = [
-        read_hint_maps(spark, f"{path}/file=*_{dataset}_{split}", dataset=dataset, split=split)
+        read_hint_maps(spark, f"{path}/*_{dataset}_{split}.json", dataset=dataset, split=split)
         for dataset, split in sorted(runs)
     ]
     return hint_rows(reduce(DataFrame.unionByName, maps), "dataset", "split")

@@ -91,3 +91,13 @@ def test_results_do_not_depend_on_partitions(spark, folder, name):
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(contract.queries())
+
+
+def test_small_files_lie_in_one_folder(spark, folder, tmp_path):
+    """A folder for each file is what the driver moves and lists one by one."""
+    from scorelane.suite import reading
+
+    path = tmp_path / "maps"
+    reading._foreign_maps(spark, folder, str(path))
+    assert not [p for p in path.iterdir() if p.is_dir()]
+    assert len(list(path.glob("*.json"))) > 1
